@@ -74,7 +74,8 @@ def arrow_schema(spark: SparkSession, schema: str) -> pa.Schema:
 
 
 def record_batch(columns: dict, schema: pa.Schema) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(columns[f.name], type=f.type) for f in schema], schema=schema)
+    made = [x if isinstance(x := columns[f.name], pa.Array) and x.type == f.type else pa.array(x, type=f.type) for f in schema]
+    return pa.RecordBatch.from_arrays(made, schema=schema)
 
 
 def texts(batch: pa.RecordBatch, column: str = "text") -> list[str]:

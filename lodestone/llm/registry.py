@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from lodestone.llm import quality_rules, secret_scan
+from lodestone.llm import mixing, packing, quality_rules, secret_scan
 
 QUERIES = {
+    "op2_best_fit_packing": packing.query,
+    "op4_source_mixing": mixing.query,
     "op5_quality_rules": quality_rules.query,
     "op9_secret_scan": secret_scan.query,
 }
