@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from lodestone.llm import mixing, packing, quality_rules, secret_scan
+from lodestone.llm import mixing, packing, quality_model, quality_rules, secret_scan, simhash
 
 QUERIES = {
     "op2_best_fit_packing": packing.query,
+    "op3_simhash": simhash.query,
     "op4_source_mixing": mixing.query,
     "op5_quality_rules": quality_rules.query,
+    "op8_quality_classifier": quality_model.query,
     "op9_secret_scan": secret_scan.query,
 }
 
