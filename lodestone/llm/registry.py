@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from lodestone.llm import mixing, packing, quality_model, quality_rules, secret_scan, simhash
+from lodestone.llm import mixing, packing, quality_model, quality_rules, repeats, secret_scan, simhash
 
 QUERIES = {
+    "op1_suffix_dedup": repeats.query,
     "op2_best_fit_packing": packing.query,
     "op3_simhash": simhash.query,
     "op4_source_mixing": mixing.query,
