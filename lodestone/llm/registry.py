@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lodestone.llm import mixing, packing, quality_model, quality_rules, repeats, secret_scan, simhash
+from lodestone.llm import mixing, nearest, packing, quality_model, quality_rules, repeats, secret_scan, simhash, url_filter
 
 QUERIES = {
     "op1_suffix_dedup": repeats.query,
@@ -10,10 +10,13 @@ QUERIES = {
     "op3_simhash": simhash.query,
     "op4_source_mixing": mixing.query,
     "op5_quality_rules": quality_rules.query,
+    "op6_url_filter": url_filter.query,
+    "op7_nearest_neighbours": nearest.query,
     "op8_quality_classifier": quality_model.query,
     "op9_secret_scan": secret_scan.query,
 }
 
 ORACLE_SQL = {
+    "op6_url_filter": url_filter.SQL,
     "op5_quality_rules": quality_rules.SQL,
 }
