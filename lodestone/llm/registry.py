@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from lodestone.llm import mixing, nearest, packing, quality_model, quality_rules, repeats, secret_scan, simhash, url_filter
+from lodestone.llm import lattice, mixing, nearest, packing, quality_model, quality_rules, repeats, secret_scan, simhash, url_filter
 
 QUERIES = {
     "op1_suffix_dedup": repeats.query,
+    "op10_lattice_score": lattice.query,
     "op2_best_fit_packing": packing.query,
     "op3_simhash": simhash.query,
     "op4_source_mixing": mixing.query,
