@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
-FLAGSHIP = "lookup_e2e"
+from lodestone.plans import scalar_queries, search_queries
+
+QUERIES: dict = {**scalar_queries.QUERIES, **search_queries.QUERIES}
+ORACLE_SQL: dict = {**scalar_queries.ORACLE_SQL, **search_queries.ORACLE_SQL}
+FLAGSHIP = "search_cascade"
