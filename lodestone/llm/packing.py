@@ -17,6 +17,7 @@ table gives an empty table; other columns are not read.
 
 from __future__ import annotations
 
+import re
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
@@ -39,25 +40,25 @@ class WordTokenizer:
     """Ids of a text, as little-endian 32-bit bytes, from caches of words and of pre-tokens.
 
     The vocabulary splits at white space and then into runs of letters, single
-    digits and runs of other characters, so each word's ids are its own. Words
-    of plain Latin letters are taken apart here, lower-cased, and only unseen
-    pre-tokens are encoded, many in one call; any other word goes to the
-    tokenizer whole, and a text with a special token's opening or with
-    separators that only Python splits at is encoded whole.
+    digits and runs of other characters, and each such pre-token's ids are its
+    own. A text of printable Latin-1 is taken apart here, lower-cased, and only
+    unseen pre-tokens are encoded, many in one call. Of other texts each word
+    is looked up, or encoded, whole; a text with a special token's opening or
+    with separators that only Python splits at is encoded whole.
     """
 
     #: Entries of each cache before it starts afresh.
-    CACHE = 400_000
+    CACHE = 700_000
     ODD = ("<|", "\x1c", "\x1d", "\x1e", "\x1f")
+    NOT_PLAIN = re.compile(r"[^\t-\r\x20-\x7e\x85\xa0-\xac\xae-\xff]")
+    SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼½¾]|[^\sa-zªµºß-öø-ÿ0-9²³¹¼½¾]+")
 
     def __init__(self, path: str):
-        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.words: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {}
-        self.split = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+").findall
 
     @classmethod
     def of(cls, path: str) -> WordTokenizer:
@@ -72,39 +73,34 @@ class WordTokenizer:
     def encode(self, text: str) -> bytes:
         if any(x in text for x in self.ODD):
             return self.whole(text)
-        words = text.split()
-        found = list(map(self.words.get, words))
+        if self.NOT_PLAIN.search(text):
+            return self.joined(text.split(), self.words, self.learn_words)
+        return self.joined(self.SPLIT.findall(text.lower()), self.parts, self.learn_parts)
+
+    def joined(self, units: list[str], cache: dict[str, bytes], learn) -> bytes:
+        found = list(map(cache.get, units))
         if None in found:
-            self.learn({w for w, x in zip(words, found, strict=True) if x is None})
-            found = [x if x is not None else self.words[w] for w, x in zip(words, found, strict=True)]
+            new = list({w for w, x in zip(units, found, strict=True) if x is None})
+            if len(cache) + len(new) > self.CACHE:
+                cache.clear()
+                new = list(set(units))
+            for i in range(0, len(new), 512):
+                learn(new[i : i + 512])
+            found = map(cache.__getitem__, units)
         return b"".join(found)
 
-    def learn(self, words: set[str]) -> None:
-        if len(self.words) > self.CACHE:
-            self.words.clear()
-        if len(self.parts) > self.CACHE:
-            self.parts.clear()
-        parts = {}
-        for w in words:
-            if w.isprintable() and max(w) <= "\xff":
-                parts[w] = self.split(w.lower())
-            else:
-                self.words[w] = self.whole(w)
-        new = list({p for some in parts.values() for p in some if p not in self.parts})
-        for i in range(0, len(new), 512):
-            self.learn_parts(new[i : i + 512])
-        for w, some in parts.items():
-            self.words[w] = b"".join([self.parts[p] for p in some])
+    def learn_words(self, words: list[str]) -> None:
+        self.words |= {w: self.whole(w) for w in words}
 
     def learn_parts(self, parts: list[str]) -> None:
         found = self.tokenizer.encode(" ".join(parts), add_special_tokens=False)
-        ids, of = np.array(found.ids, dtype="<u4"), np.array(found.word_ids)
-        starts = np.flatnonzero(np.diff(of, prepend=-1))
+        of = np.array(found.word_ids)
+        starts = (4 * np.flatnonzero(np.diff(of, prepend=-1))).tolist()
         if len(starts) != len(parts):
             self.parts |= {p: self.whole(p) for p in parts}
             return
-        for p, x in zip(parts, np.split(ids, starts[1:]), strict=True):
-            self.parts[p] = x.tobytes()
+        ids = np.array(found.ids, dtype="<u4").tobytes()
+        self.parts |= {p: ids[i:j] for p, i, j in zip(parts, starts, [*starts[1:], len(ids)], strict=True)}
 
 
 def tokenized_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
