@@ -92,9 +92,9 @@ def fuzzy(queries: DataFrame, catalog: DataFrame, k: int, threshold: int = FUZZY
 
 def search(queries: DataFrame, catalog: DataFrame, k: int) -> DataFrame:
     """(query, id, rank, tier): full text, else all words, else fuzzy; each tier sees what the one before left."""
-    one = full_text(queries, catalog, k)
+    one = full_text(queries, catalog, k).persist()  # read by the next tier and by the result
     left = queries.join(one.select("query").distinct(), "query", "left_anti")
-    two = all_words(left, catalog, k)
+    two = all_words(left, catalog, k).persist()
     left = left.join(two.select("query").distinct(), "query", "left_anti")
     three = fuzzy(left, catalog, k).drop("score")
     return first_hit("query", [one, two, three])
