@@ -53,15 +53,16 @@ class Scratch:
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def map_rows(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], Iterator[dict]]], schema: str) -> DataFrame:
-    """mapInArrow whose function gets set up once a task; it yields dicts of columns."""
+def map_rows(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], Iterator[dict]]], schema: str, rows: int = 1 << 20) -> DataFrame:
+    """mapInArrow whose function gets set up once a task and sees `rows` rows at most at a time; it yields dicts of columns."""
     kinds = arrow_schema(df.sparkSession, schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         each = make()
         for batch in batches:
-            for out in each(batch):
-                yield record_batch(out, kinds)
+            for at in range(0, batch.num_rows, rows):
+                for out in each(batch.slice(at, rows)):
+                    yield record_batch(out, kinds)
 
     return df.mapInArrow(run, schema)
 
@@ -84,32 +85,31 @@ def texts(batch: pa.RecordBatch, column: str = "text") -> list[str]:
 
 
 def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
-    """(node, root) for every node of edges (a, b): root is the component's smallest node.
+    """(node, root) for every node of edges (a, b): root is a node of the same component, one for each.
 
-    Labels fall along edges and then jump to their own label's label, so the
-    rounds grow with the logarithm of the longest path. All aggregation is a
-    min, which Spark combines before the shuffle; the joins are plain and thus
-    split by AQE where a node is a hub. Nothing goes to the driver but a count.
+    Every node hooks to its least neighbour, and that one's; what is left of the
+    edges between hooked nodes goes on to the next round, so each round has
+    fewer, and the rounds' labels are put together from the last to the first.
+    Hooking is a min that Spark combines before the shuffle; the joins are plain
+    and thus split by AQE where a node is a hub. Only a count goes to the driver.
     """
-    both = scratch.put(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct())
-    labels = scratch.put(both.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("root")))
-    old = []
+    rounds, old = [], []
+    left = scratch.put(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     while True:
-        lower = (
-            both.join(labels.select(F.col("node").alias("b"), "root"), "b")
-            .select(F.col("a").alias("node"), "root")
-            .union(labels)
-            # what a node's own root hears, so that whole trees hook at once
-            .union(both.join(labels.select(F.col("node").alias("a"), F.col("root").alias("mine")), "a").join(labels.select(F.col("node").alias("b"), F.col("root").alias("other")), "b").select(F.col("mine").alias("node"), F.col("other").alias("root")))
-            .groupBy("node")
-            .agg(F.min("root").alias("root"))
-        )
-        lower = scratch.put(lower)
-        jumped = lower.join(lower.select(F.col("node").alias("root"), F.col("root").alias("next")), "root", "left").select("node", F.least("root", F.coalesce("next", "root")).alias("root"))
-        new = scratch.put(jumped)
-        changed = new.join(labels.withColumnRenamed("root", "was"), "node").where("root <> was").limit(1).count()
-        old += [lower, labels]
-        labels = new
-        if not changed:
-            scratch.drop(both, *old)
-            return labels
+        ends = left.select(F.col("a").alias("node"), F.col("b").alias("to")).union(left.select("b", "a"))
+        hooked = scratch.put(ends.groupBy("node").agg(F.min("to").alias("to")).select("node", F.least("node", "to").alias("root")))
+        jumped = hooked.join(hooked.select(F.col("node").alias("root"), F.col("root").alias("next")), "root").select("node", F.col("next").alias("root"))
+        labels = scratch.put(jumped)
+        rounds.append(labels)
+        moved = left.join(labels.select(F.col("node").alias("a"), F.col("root").alias("x")), "a").join(labels.select(F.col("node").alias("b"), F.col("root").alias("y")), "b")
+        after = scratch.put(moved.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+        old += [left, hooked]
+        left = after
+        if not left.limit(1).count():
+            break
+    out = rounds[-1]
+    for labels in rounds[-2::-1]:
+        final = labels.join(out.select(F.col("node").alias("root"), F.col("root").alias("last")), "root", "left")
+        out = scratch.put(final.select("node", F.coalesce("last", "root").alias("root")))
+    scratch.drop(*old)
+    return out

@@ -7,10 +7,11 @@ marginal over its lattice, by forward recursion in log space, and a text's the
 product over its words and one end.
 
 Words are counted over all training documents, combined in tasks and before
-the shuffle. The counts go to the texts in two ways. The HEAD words of most
-training tokens are broadcast, which bounds that side by its number of rows;
-the words below, each rare, are joined through a shuffle, with one row for
-each document and word. Counts are exact either way.
+the shuffle, and each distinct word's lattice is summed once. Counts and sums
+go to the texts in two ways. The HEAD words of most training tokens are
+broadcast, which bounds that side by its number of rows; the words below, each
+rare, are joined through a shuffle, with one row for each document and word.
+The results are exact either way.
 
 Edge cases: null text has no words but still an end; a null doc_id is never
 held out; repeated rows are counted and scored each; without training documents
@@ -31,10 +32,8 @@ from pyspark.sql import functions as F
 
 from lodestone.llm.common import Scratch, map_rows
 
-#: Words whose counts are broadcast at most, and words whose scores a worker remembers.
-HEAD, CACHE = 250_000, 400_000
-#: The longest piece that is looked up, in characters.
-LONGEST = 20
+#: Words whose counts are broadcast at most.
+HEAD = 250_000
 #: Weight of the vocabulary's own order against the counts, in tokens.
 PRIOR = 1000.0
 HELD_OUT = (7, 2)
@@ -76,16 +75,26 @@ class Lattice:
     def __init__(self, pieces: dict[str, int], single: list[int], p: np.ndarray):
         self.pieces, self.single = pieces, single
         self.log = np.log(np.maximum(p, 1e-300)).tolist()
-        self.scored = {w: self.log[i] for w, i in pieces.items()}
+        # the log of each piece; none for what only starts one
+        self.steps: dict[str, float | None] = {}
+        for w, i in pieces.items():
+            for k in range(1, len(w)):
+                self.steps.setdefault(w[:k], None)
+            self.steps[w] = self.log[i]
 
     def arcs(self, s: str) -> list[list[tuple[int, float]]]:
         """For each place the starts of the pieces that end there, with their logs; a character that is no piece falls to its bytes."""
-        get, out = self.scored.get, []
-        for j in range(1, len(s) + 1):
-            here = [(i, x) for i in range(max(0, j - LONGEST), j) if (x := get(s[i:j])) is not None]
-            if s[j - 1] not in self.scored:
-                here.append((j - 1, sum(self.log[self.single[b]] for b in s[j - 1].encode("utf-8", "surrogatepass"))))
-            out.append(here)
+        get, n = self.steps.get, len(s)
+        out: list[list[tuple[int, float]]] = [[] for _ in range(n)]
+        for i in range(n):
+            for j in range(i + 1, n + 1):
+                x = get(s[i:j], 0.0)
+                if x == 0.0:  # no piece goes on like this
+                    break
+                if x is not None:
+                    out[j - 1].append((i, x))
+            if get(s[i]) is None:
+                out[i].append((i, sum(self.log[self.single[b]] for b in s[i].encode("utf-8", "surrogatepass"))))
         return out
 
     @staticmethod
@@ -161,6 +170,21 @@ def fit_pieces(counts: DataFrame, ends: int, vocabulary: tuple) -> np.ndarray:
     return p / p.sum()
 
 
+def weigh(counts: DataFrame, model: tuple) -> DataFrame:
+    """(word, c, log10): each word's probability over all its segmentations."""
+    shared = counts.sparkSession.sparkContext.broadcast(model)
+
+    def make():
+        lattice = Lattice(*shared.value)
+
+        def each(batch: pa.RecordBatch) -> Iterator[dict]:
+            yield {"word": batch.column("word"), "c": batch.column("c"), "log10": [lattice.word(w) / LOG10 for w in batch.column("word").to_pylist()]}
+
+        return each
+
+    return map_rows(counts.select("word", "c"), make, "word binary, c long, log10 double")
+
+
 def head_limit(counts: DataFrame, head: int) -> int:
     """The least count that keeps the words with it or more within `head`."""
     # counts of counts by powers of 2^(1/4): some two hundred rows at most
@@ -189,37 +213,33 @@ def score(docs: DataFrame, vocabulary_path: str, head: int = HEAD) -> DataFrame:
 
     vocabulary = read_vocabulary(vocabulary_path)
     p = fit_pieces(counts, ends, vocabulary)
+    # words of held-out texts alone have no count, but a lattice
+    unseen = count_words(some.where("held_out")).join(counts, "word", "left_anti").select("word", F.lit(0).cast("long").alias("c"))
+    weighed = scratch.put(weigh(counts, (*vocabulary[:2], p)).union(weigh(unseen, (*vocabulary[:2], p))))
     limit = head_limit(counts, head)
     # `head` rows at most, whatever the corpus
-    top = counts.where(F.col("c") >= limit).toArrow()
-    known = dict(zip(top.column("word").to_pylist(), [math.log10(c + 1) for c in top.column("c").to_pylist()], strict=True))
-    shared = spark.sparkContext.broadcast((*vocabulary[:2], p, known))
+    top = weighed.where(F.col("c") >= limit).toArrow()
+    known = dict(zip(top.column("word").to_pylist(), zip((math.log10(c + 1) for c in top.column("c").to_pylist()), top.column("log10").to_pylist(), strict=True), strict=True))
+    shared = spark.sparkContext.broadcast(known)
+    of_ends = math.log10(ends + 1), math.log10(p[-1])
 
     def make():
-        pieces, single, p, known = shared.value
-        lattice = Lattice(pieces, single, p)
-        seen: dict[bytes, float] = {}
-        end = lattice.log[-1]
+        get = shared.value.get
 
         def each(batch: pa.RecordBatch) -> Iterator[dict]:
             out: dict[str, list] = {c: [] for c in ("doc_id", "held_out", "n_tokens", "known", "base", "score", "rare")}
             for doc, held, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "held_out", "text")), strict=True):
                 tokens = words_of(text or "")
-                total, base, n_known, rare = end, math.log10(ends + 1), int(ends > 0), Counter()
-                if len(seen) > CACHE:
-                    seen.clear()
-                for w in tokens:
-                    x = seen.get(w)
+                (base, total), n_known, rare = of_ends, int(ends > 0), []
+                for w, k in Counter(tokens).items():
+                    x = get(w)
                     if x is None:
-                        x = seen[w] = lattice.word(w)
-                    total += x
-                    c = known.get(w)
-                    if c is None:
-                        rare[w] += 1
+                        rare.append({"word": w, "n": k})
                     else:
-                        base += c
-                        n_known += 1
-                for c, value in zip(out, (doc, held, len(tokens) + 1, n_known, base, total / LOG10, [{"word": w, "n": k} for w, k in rare.items()]), strict=True):
+                        base += k * x[0]
+                        total += k * x[1]
+                        n_known += k
+                for c, value in zip(out, (doc, held, len(tokens) + 1, n_known, base, total, rare), strict=True):
                     out[c].append(value)
             yield out
 
@@ -228,16 +248,15 @@ def score(docs: DataFrame, vocabulary_path: str, head: int = HEAD) -> DataFrame:
     schema = "doc_id long, held_out boolean, n_tokens long, known long, base double, score double, rare array<struct<word:binary,n:long>>"
     scored = scratch.put(map_rows(some, make, schema).withColumn("row", F.monotonically_increasing_id()))
     rare = scored.select("row", F.explode("rare").alias("x")).select("row", "x.word", "x.n")
-    # words with no count at all add nothing
-    joined = rare.join(counts.where(F.col("c") < limit), "word").groupBy("row").agg(F.sum(F.col("n") * F.log10(F.col("c") + 1)).alias("more"), F.sum("n").alias("more_known"))
-    return scored.drop("rare").join(joined, "row", "left").select(
+    sums = rare.join(weighed.where(F.col("c") < limit), "word").groupBy("row").agg(F.sum(F.col("n") * F.log10(F.col("c") + 1)).alias("more"), F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("more_known"), F.sum(F.col("n") * F.col("log10")).alias("more_score"))
+    return scored.drop("rare").join(sums, "row", "left").select(
         "doc_id",
         "held_out",
         "n_tokens",
         (F.col("known") + F.coalesce("more_known", F.lit(0))).alias("n_known"),
         F.lit(n).cast("long").alias("train_tokens"),
         (F.col("base") + F.coalesce("more", F.lit(0.0)) - F.col("n_tokens") * share).alias("base_score"),
-        "score",
+        (F.col("score") + F.coalesce("more_score", F.lit(0.0))).alias("score"),
     )
 
 

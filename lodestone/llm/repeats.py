@@ -39,8 +39,8 @@ from pyspark.sql import functions as F
 
 from lodestone.llm.common import Scratch, arrow_schema, map_rows, record_batch
 
-#: Kinds of context in a bucket that one task puts in order.
-HOT = 4096
+#: Kinds of context in a bucket that one task puts in order, and documents that it unpacks, at a time.
+HOT, ROWS = 1024, 1000
 
 LENGTH, GRAM = 200, 32
 
@@ -127,7 +127,7 @@ def anchors(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFram
 
         return each
 
-    return map_rows(docs.select("key", "row", "text"), make, "key long, row long, pos int, left int, gram long, context long")
+    return map_rows(docs.select("key", "row", "text"), make, "key long, row long, pos int, left int, gram long, context long", ROWS)
 
 
 def _squeezed(docs: DataFrame) -> DataFrame:
@@ -141,7 +141,7 @@ def _squeezed(docs: DataFrame) -> DataFrame:
 
         return each
 
-    return map_rows(docs, make, "doc_id long, key long, row long, packed binary")
+    return map_rows(docs, make, "doc_id long, key long, row long, packed binary", ROWS)
 
 
 _CONTEXT = "gram long, key long, row long, pos int, left int, text binary"
@@ -154,15 +154,18 @@ def _contexts(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
         unpack = zstandard.ZstdDecompressor().decompress
 
         def each(batch: pa.RecordBatch) -> Iterator[dict]:
+            out: dict[str, list] = {c: [] for c in ("gram", "key", "row", "pos", "left", "text")}
             for key, row, packed, places in zip(*(batch.column(c).to_pylist() for c in ("key", "row", "packed", "places")), strict=True):
                 data = unpack(packed)
-                pos, left, grams = ([p[c] for p in places] for c in ("pos", "left", "gram"))
-                yield {"gram": grams, "key": [key] * len(pos), "row": [row] * len(pos), "pos": pos, "left": left, "text": [data[p - n : p + length] for p, n in zip(pos, left)]}
+                for p in places:
+                    for c, v in zip(out, (p["gram"], key, row, p["pos"], p["left"], data[p["pos"] - p["left"] : p["pos"] + length]), strict=True):
+                        out[c].append(v)
+            yield out
 
         return each
 
     places = wanted.groupBy("key", "row").agg(F.collect_list(F.struct("pos", "left", "gram")).alias("places"))
-    return map_rows(_squeezed(docs).join(places, ["key", "row"]).select("key", "row", "packed", "places"), make, _CONTEXT)
+    return map_rows(_squeezed(docs).join(places, ["key", "row"]).select("key", "row", "packed", "places"), make, _CONTEXT, ROWS)
 
 
 def matched(bucket: np.ndarray, order: np.ndarray, names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -333,7 +336,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep
         return each
 
     joined = _squeezed(_documents(docs)).join(spans, ["key", "row"], "left").select("doc_id", "packed", "starts", "ends")
-    return map_rows(joined, make, "doc_id long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary")
+    return map_rows(joined, make, "doc_id long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary", ROWS)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -13,8 +13,8 @@ is verified on all 64 bits.
 Copies collapse first: buckets hold distinct fingerprints. A bucket of more
 than `bucket_rows` is filed anew under its bits and a quarter of those left,
 for which the pigeonhole argument holds again, and so on: after some rounds the
-bits left bound its size. A bucket yields the edges of its own spanning forest,
-never all pairs; components come from min labels along those edges.
+bits left bound its size. A task yields the edges of a spanning forest
+of its buckets, never all pairs; components come from min labels along those edges.
 
 Edge cases: null or empty text, and text without words, has fingerprint zero
 and links like any other; a null doc_id is only ever a component's id if all
@@ -43,8 +43,8 @@ WORD_RADIUS, CONFIRM_WORDS, CONFIRM_RADIUS = 7, 5, 14
 SAMPLE = 2048
 #: Fingerprints in a bucket that one task compares with each other.
 BUCKET_ROWS = 4096
-#: Work of filing a row, in comparisons of two fingerprints.
-ROW_WORK = 100.0
+#: Work of filing a row (microseconds), in comparisons of two fingerprints (nanoseconds).
+ROW_WORK = 2000.0
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
@@ -135,27 +135,32 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def _forest(rows: np.ndarray, radius: int, confirm: int) -> list[tuple[int, int]]:
-    """Edges that connect what the bucket's linked pairs connect. rows: (mask, key, own, id, fp, second); one of a pair is filed by its own bits."""
-    parent = list(range(len(rows)))
-    ids, prints = rows[:, 3].tolist(), np.ascontiguousarray(rows[:, 4:].T).view(np.uint64)
+class Forest:
+    """Edges that connect what linked pairs connect, over all buckets of a task."""
 
-    def find(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
+    def __init__(self, radius: int, confirm: int):
+        self.radius, self.confirm, self.parent, self.edges = radius, confirm, {}, []
+
+    def find(self, i: int) -> int:
+        parent = self.parent
+        while (up := parent.setdefault(i, i)) != i:
+            parent[i] = i = parent.setdefault(up, up)
         return i
 
-    edges = []
-    for i in np.flatnonzero(rows[:, 2]).tolist():
-        near = np.flatnonzero(np.bitwise_count(prints[0] ^ prints[0, i]) <= radius)
-        if len(near) > 1 and confirm < BITS:
-            near = near[np.bitwise_count(prints[1, near] ^ prints[1, i]) <= confirm]
-        for j in near.tolist():
-            if i != j and (a := find(i)) != (b := find(j)):
-                parent[a] = b
-                edges.append((ids[i], ids[j]))
-    return edges
+    def add(self, rows: np.ndarray) -> None:
+        """rows: (mask, key, own, id, fp, second) of a bucket; one of a pair is filed by its own bits."""
+        ids, prints = rows[:, 3].tolist(), np.ascontiguousarray(rows[:, 4:].T).view(np.uint64)
+        for i in np.flatnonzero(rows[:, 2]).tolist():
+            near = np.flatnonzero(np.bitwise_count(prints[0] ^ prints[0, i]) <= self.radius)
+            if len(near) > 1 and self.confirm < BITS:
+                near = near[np.bitwise_count(prints[1, near] ^ prints[1, i]) <= self.confirm]
+            if len(near) > 1:
+                for j in near.tolist():
+                    if ids[i] != ids[j] and (a := self.find(ids[i])) != (b := self.find(ids[j])):
+                        self.parent[a] = b
+                        self.edges.append((ids[i], ids[j]))
+        if len(self.parent) > 1_000_000:
+            self.parent = {}  # forgets what is connected, which only repeats edges
 
 
 def _bucket_edges(filed: DataFrame, radius: int, confirm: int) -> DataFrame:
@@ -163,23 +168,26 @@ def _bucket_edges(filed: DataFrame, radius: int, confirm: int) -> DataFrame:
     kinds = arrow_schema(filed.sparkSession, "a long, b long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = None
+        rest, forest = None, Forest(radius, confirm)
         for batch in batches:
             now = np.column_stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("mask", "key", "own", "id", "fp", "second")])
             if rest is not None:
                 now = np.concatenate([rest, now])
             cuts = np.flatnonzero((now[1:, :2] != now[:-1, :2]).any(axis=1)) + 1
             last = cuts[-1] if len(cuts) else 0
-            yield from emit(now[:last], cuts[:-1])
+            yield from emit(forest, now[:last], cuts[:-1])
             rest = now[last:]
         if rest is not None:
-            yield from emit(rest, np.array([], dtype=np.int64))
+            yield from emit(forest, rest, np.array([], dtype=np.int64))
 
-    def emit(rows: np.ndarray, cuts: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def emit(forest: Forest, rows: np.ndarray, cuts: np.ndarray) -> Iterator[pa.RecordBatch]:
         bounds = [0, *cuts.tolist(), len(rows)]
-        edges = [e for i, j in zip(bounds, bounds[1:]) if j - i > 1 for e in _forest(rows[i:j], radius, confirm)]
-        if edges:
-            a, b = zip(*edges)
+        for i, j in zip(bounds, bounds[1:]):
+            if j - i > 1:
+                forest.add(rows[i:j])
+        if forest.edges:
+            a, b = zip(*forest.edges)
+            forest.edges = []
             yield record_batch({"a": a, "b": b}, kinds)
 
     return filed.repartition("mask", "key").sortWithinPartitions("mask", "key").mapInArrow(run, "a long, b long")
