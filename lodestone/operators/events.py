@@ -29,7 +29,7 @@ def counters(events: DataFrame) -> DataFrame:
 def health(events: DataFrame) -> DataFrame:
     """A day is healthy without errors, unhealthy with nothing else, degraded between."""
     bad = F.col("event_type") == "error"
-    return events.groupBy(F.to_date("ts").alias("day")).agg(F.when(~F.bool_or(bad), "healthy").when(F.bool_and(bad), "unhealthy").otherwise("degraded").alias("status"))
+    return events.groupBy(F.date_format("ts", "yyyy-MM-dd").alias("day")).agg(F.when(~F.bool_or(bad), "healthy").when(F.bool_and(bad), "unhealthy").otherwise("degraded").alias("status"))
 
 
 def cache_hits(events: DataFrame, seconds: int = TTL_SECONDS) -> DataFrame:

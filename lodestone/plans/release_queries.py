@@ -137,7 +137,7 @@ SELECT q.release_id, track, artist, coalesce(ok, false) AS valid FROM q LEFT JOI
     "counters": """SELECT user_id, count(*) FILTER (event_type = 'view') AS memory_hits, count(*) FILTER (event_type = 'click') AS pg_hits, count(*) FILTER (event_type = 'error') AS pg_misses,
  count(*) FILTER (event_type IN ('purchase', 'signup')) AS api_calls, round(sum(CASE WHEN event_type IN ('click', 'error') THEN value ELSE 0 END), 4) AS pg_time_ms,
  round(sum(CASE WHEN event_type IN ('purchase', 'signup') THEN value ELSE 0 END), 4) AS api_time_ms FROM events GROUP BY user_id""",
-    "health_rollup": "SELECT CAST(ts AS DATE) AS day, CASE WHEN NOT bool_or(event_type = 'error') THEN 'healthy' WHEN bool_and(event_type = 'error') THEN 'unhealthy' ELSE 'degraded' END AS status FROM events GROUP BY 1",
+    "health_rollup": "SELECT strftime(ts, '%Y-%m-%d') AS day, CASE WHEN NOT bool_or(event_type = 'error') THEN 'healthy' WHEN bool_and(event_type = 'error') THEN 'unhealthy' ELSE 'degraded' END AS status FROM events GROUP BY 1",
     "ttl_cache_hits": "SELECT event_id, coalesce(epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id)) <= 3600000000, false) AS hit FROM events",
     "rate_window": "SELECT event_id, count(*) OVER w AS in_window, count(*) OVER w <= 50 AS allowed FROM events WINDOW w AS (PARTITION BY user_id ORDER BY epoch_us(ts) RANGE BETWEEN 60000000 PRECEDING AND CURRENT ROW)",
 }
