@@ -14,7 +14,8 @@ smaller positions in that order give each suffix's earlier and later match.
 A bucket of more than `hot` kinds is never one task's: its contexts are
 compared by what all strings of a range of offsets share, in counts that Spark
 combines before the shuffle; ranges with several kinds are cut in four until
-they are decided. Fingerprints are 64 bits beside the 64 bits of the anchor.
+they are decided or share a range with no more than `hot` kinds, which are put
+in order like any bucket. Fingerprints are 64 bits beside the 64 bits of the anchor.
 
 By default the first copy, by doc_id and position, stays; with keep_first off
 all copies go.
@@ -229,9 +230,14 @@ def _ordered(contexts: DataFrame, length: int, keep_first: bool) -> DataFrame:
     return contexts.repartition("gram").sortWithinPartitions("gram", "key", "row", "pos").mapInArrow(run, "key long, row long, start int, end int")
 
 
-def _split(contexts: DataFrame, scratch: Scratch, length: int, gram: int, keep_first: bool) -> list[DataFrame]:
-    """Repeats of contexts in hot buckets, by ranges of the offsets from a string's start to its anchor."""
-    found, width = [], length - gram + 1
+def _split(contexts: DataFrame, scratch: Scratch, length: int, gram: int, keep_first: bool, hot: int) -> tuple[list[DataFrame], list[DataFrame]]:
+    """Repeats of contexts in hot buckets, by ranges of the offsets from a string's start to its anchor, and contexts to be put in order.
+
+    Contexts that share what all strings of a range hold are a bucket of their
+    own; one of no more than `hot` kinds goes back to the ordered way, cut to
+    the range, and only the others are split further.
+    """
+    found, few, width = [], [], length - gram + 1
     rows = contexts.withColumn("lo", F.lit(0))
     names = "lo int, shared long, whole long"
     schema = f"{_CONTEXT}, {names}"
@@ -261,19 +267,25 @@ def _split(contexts: DataFrame, scratch: Scratch, length: int, gram: int, keep_f
         order = F.col("key").cast("decimal(38,0)") * (1 << 31) + F.col("pos")
         on, each = ["gram", "lo", "shared"], ["gram", "lo", "shared", "whole"]
         counted = scratch.put(named.groupBy(*each).agg(F.count("*").alias("n"), F.min(order).alias("first")))
-        several = scratch.put(counted.groupBy(*on).agg(F.sum("n").alias("all"), F.count("*").alias("n_kinds"), F.count_if(F.col("whole").isNull()).alias("n_open")).where(F.col("all") > 1))
+        several = scratch.put(counted.groupBy(*on).agg(F.sum("n").alias("all"), F.count("*").alias("n_kinds"), F.count_if(F.col("whole").isNull()).alias("n_open"), F.sum(F.when(F.col("whole").isNull(), F.col("n")).otherwise(1)).alias("going")).where(F.col("all") > 1))
         judged = counted.join(several, on).withColumnRenamed("whole", "whole_")
         same = F.col("whole").eqNullSafe(F.col("whole_"))
-        met = scratch.put(named.join(judged.select(*on, "whole_", "n", "first", "n_kinds", "n_open"), on).where(same).withColumn("is_first", F.expr("cast(key as decimal(38,0)) * 2147483648 + pos = first")))
+        met = scratch.put(named.join(judged.select(*on, "whole_", "n", "first", "n_kinds", "n_open", "going"), on).where(same).withColumn("is_first", F.expr("cast(key as decimal(38,0)) * 2147483648 + pos = first")))
         hi = F.least(F.col("lo") + F.lit(width), F.lit(length - gram + 1)) - 1
         closed = F.col("whole").isNotNull()
         gone = met.where(closed & (F.col("n") > 1) & (~F.col("is_first") if keep_first else F.lit(True)))
         base = F.col("pos") - hi
         found.append(scratch.put(gone.select("key", "row", base.alias("start"), (F.col("pos") - F.col("lo") + length).alias("end"))))
         if width == 1:
-            return found
+            return found, few
         # one of each kind goes on where there are others, and what the range's end cuts off
         on_ = met.where(~closed | (F.col("is_first") & ((F.col("n_kinds") > 1) | (F.col("n_open") > 0))))
+        before, after = F.least("left", hi), F.least(F.length("text") - F.col("left"), F.lit(length) - F.col("lo"))
+        cut = F.col("text").substr(F.col("left") - before + 1, before + after)
+        few.append(scratch.put(on_.where(F.col("going") <= hot).select(F.xxhash64(*on).alias("gram"), "key", "row", "pos", before.alias("left"), cut.alias("text"))))
+        on_ = on_.where(F.col("going") > hot)
+        if not on_.limit(1).count():
+            return found, few
         quarter = -(-width // 4)
         rows = on_.select("gram", "key", "row", "pos", "left", "text", F.explode(F.sequence(F.col("lo"), hi, F.lit(quarter))).alias("lo"))
         width = quarter
@@ -301,8 +313,11 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep
     crowded = scratch.put(buckets.where(F.col("n_kinds") > hot).select("gram"))
     if crowded.limit(1).count():
         contexts = scratch.put(contexts)
-        spans += _split(contexts.join(crowded, "gram", "left_semi"), scratch, length, gram, keep_first)
+        gone, few = _split(contexts.join(crowded, "gram", "left_semi"), scratch, length, gram, keep_first, hot)
+        spans += gone
         contexts = contexts.join(crowded, "gram", "left_anti")
+        for more in few:
+            contexts = contexts.unionByName(more)
     spans.append(scratch.put(_ordered(contexts, length, keep_first)))
     out = spans[0]
     for more in spans[1:]:
