@@ -33,12 +33,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.llm import jaccard
 from lodestone.llm.common import Scratch, arrow_schema, connected_components, map_rows, record_batch
 
 BITS, RADIUS, SHINGLE, SEED = 64, 3, 3, 42
-#: For removing near-duplicates: prints of the distinct words are filed within the first radius, and links
-#: confirmed by prints of five-word shingles within the second, where a similarity of 0.8 lies about 10 bits apart.
-WORD_RADIUS, CONFIRM_WORDS, CONFIRM_RADIUS = 7, 5, 14
+#: For removing near-duplicates: words of a shingle, and the Jaccard similarity that links.
+DEDUP_WORDS, DEDUP_LEAST = 5, 0.8
 #: Most fingerprints that the estimate looks at.
 SAMPLE = 2048
 #: Fingerprints in a bucket that one task compares with each other.
@@ -258,21 +258,23 @@ def near_duplicates(docs: DataFrame, words: int = SHINGLE, radius: int = RADIUS,
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, radius: int = WORD_RADIUS, words: int = CONFIRM_WORDS, confirm: int = CONFIRM_RADIUS) -> DataFrame:
+def keep_one(docs: DataFrame, words: int = DEDUP_WORDS, least: float = DEDUP_LEAST) -> DataFrame:
     """docs without near-duplicates: of each component the row of least doc_id stays, null last; of rows that are the same, one.
 
-    Prints of distinct words move little under edits but put unrelated texts
-    of a language near each other; prints of five-word shingles tell those
-    apart. A link needs both.
+    Links are pairs whose sets of five-word shingles have a Jaccard similarity
+    of 0.8 or more, by `jaccard`.
     """
     scratch = Scratch(docs.sparkSession, "dedup")
     # a row's key has no null, so that plain joins find it
     id_ = F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1))
     row = F.xxhash64(*docs.columns)
-    two = fingerprints(docs.select(id_.alias("doc_id"), row.alias("row_hash"), "text"), {"fp": (1, True), "second": (words, False)}, ["row_hash"])
-    printed = scratch.put(two.withColumn("id", F.xxhash64("fp", "second")))
-    found = components(printed, scratch, F.min(F.struct("doc_id", "row_hash")), radius, confirm)
-    kept = scratch.put(found.select(F.col("component_id.doc_id").alias("kept_id"), F.col("component_id.row_hash").alias("kept_hash")).distinct())
+    keyed_texts = docs.select(id_.alias("doc_id"), row.alias("row_hash"), "text")
+    printed = jaccard.sketches(keyed_texts, words, ["doc_id", "row_hash"])
+    lowest = F.min(F.struct("doc_id", "row_hash"))
+    nodes = scratch.put(printed.groupBy("id").agg(lowest.alias("least"), F.first("keys").alias("keys"), F.first("x").alias("x"), F.first("y").alias("y")))
+    roots = jaccard.labels(nodes, keyed_texts, scratch, words, least)
+    rooted = nodes.select("id", "least").join(roots.withColumnRenamed("node", "id"), "id", "left").select(F.coalesce("root", "id").alias("root"), "least")
+    kept = scratch.put(rooted.groupBy("root").agg(F.min("least").alias("kept")).select(F.col("kept.doc_id").alias("kept_id"), F.col("kept.row_hash").alias("kept_hash")))
     keyed = docs.select("*", id_.alias("kept_id"), row.alias("kept_hash"))
     return keyed.join(kept, ["kept_id", "kept_hash"], "left_semi").dropDuplicates(["kept_id", "kept_hash"]).select(*docs.columns)
 

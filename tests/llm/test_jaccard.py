@@ -1,0 +1,52 @@
+"""Near-duplicates of the pipeline against brute-force similarity of five-word shingles."""
+
+import random
+
+from lodestone.llm import jaccard, simhash
+
+
+def edited(rng, base, how, n):
+    new = [f"n{rng.randrange(10**6)}" for _ in range(n)]
+    if how == "tail":
+        return base + new
+    if how == "block":
+        at = rng.randrange(len(base) - n)
+        return base[:at] + new + base[at + n :]
+    out = list(base)
+    for at, w in zip(rng.sample(range(len(base)), max(1, n // 4)), new):
+        out[at] = w
+    return out
+
+
+def corpus(seed=5, pairs=40):
+    rng = random.Random(seed)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    weights = [1 / (i + 2) for i in range(3000)]
+    rows = []
+    for how in ("tail", "block", "word"):
+        for k in range(pairs):
+            base = rng.choices(vocabulary, weights, k=200)
+            rows += [" ".join(base), " ".join(edited(rng, base, how, 8 + k))]
+    return rows
+
+
+def test_links_as_brute_force(spark):
+    rows = corpus()
+    sets = [jaccard.shingles(t, 5) for t in rows]
+    near = [jaccard.similarity(sets[i], sets[i + 1]) for i in range(0, len(rows), 2)]
+    assert min(sum(x >= 0.8 for x in near[i : i + 40]) for i in (0, 40, 80)) >= 10 and sum(x < 0.8 for x in near) > 10
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    kept = {r["doc_id"] for r in simhash.keep_one(docs).collect()}
+    wrong = [x for i, x in enumerate(near) if (2 * i + 1 in kept) != (x < 0.8)]
+    assert not wrong
+
+
+def test_refused_forest_edges_are_tried_anew(spark):
+    """A chain of texts, each near the one before only, in the way of forests that skip links."""
+    rng = random.Random(3)
+    words = [f"w{rng.randrange(10**6)}" for _ in range(300)]
+    rows = [" ".join(words[i : i + 200]) for i in range(0, 100, 8)]
+    sets = [jaccard.shingles(t, 5) for t in rows]
+    assert all(jaccard.similarity(a, b) >= 0.8 for a, b in zip(sets, sets[1:])) and jaccard.similarity(sets[0], sets[4]) < 0.8
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    assert [r["doc_id"] for r in simhash.keep_one(docs).collect()] == [0]
