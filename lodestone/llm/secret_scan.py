@@ -4,7 +4,8 @@ Base spans (assign, access, hex) are leftmost, non-overlapping per kind. The
 method then decodes base64 and hex candidates and reports one only if its
 bytes parse: DER keys by nested lengths that add up exactly, OpenSSH keys by
 their length-prefixed fields, signed tokens by a JSON header that names an
-algorithm. Work is one pass over each row in Arrow batches; nothing is shuffled.
+algorithm. A run of base64 is tried from each of its lines to each line's end,
+so that lines before and after a key do not hide it. Work is one pass over each row in Arrow batches; nothing is shuffled.
 
 Edge cases: null text is empty and has no spans; repeated rows each give a
 row; an empty table gives an empty table; other columns are not read by `scan`
@@ -30,11 +31,14 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")  # maximal runs, as of [0-9a-f]+, that are long enough
 TOKEN = re.compile(r"(?<![A-Za-z0-9_-])(ey[A-Za-z0-9_-]{8,})\.([A-Za-z0-9_-]{2,})\.([A-Za-z0-9_-]*)")
-#: Base64 in one piece or wrapped in lines, as in key files.
-BASE64 = re.compile(r"[A-Za-z0-9+/]{40,}(?:\r?\n[A-Za-z0-9+/]{4,})*={0,2}")
+#: Base64 in one piece or wrapped in lines, as in key files; breaks may be written as \n, and lines indented.
+GAP = r"[\x20\t]*(?:(?:\\+r)?\\+n|\r?\n|\r)(?:[\x20\t]|\\+t)*"
+BASE64 = re.compile(rf"(?!(?<=\\)[nrt])[A-Za-z0-9+/]{{40,}}(?:{GAP}[A-Za-z0-9+/]+)*={{0,2}}")
+PIECE = re.compile(rf"([A-Za-z0-9+/]+)(={{0,2}})(?:{GAP})?")
 LONG_HEX = re.compile(r"(?:[0-9a-fA-F]{2}){32,}")
 #: The order of kinds at equal starts.
 KINDS = ("assign", "access", "hex", "der", "ssh", "signed")
+SSH_CONTAINER = b"openssh-key-v1\0"
 SSH_NAMES = (b"ssh-", b"ecdsa-sha2-", b"sk-ssh-", b"sk-ecdsa-")
 
 
@@ -64,27 +68,74 @@ def is_der_key(data: bytes) -> bool:
     return len(tags) >= 2 and tags[0] in (0x02, 0x30) and set(tags) <= {0x02, 0x03, 0x04, 0x05, 0x06, 0x30, 0xA0, 0xA1}
 
 
-def is_ssh_key(data: bytes) -> bool:
-    """An OpenSSH container, or fields with 4-byte lengths that fill the data, the first a key type's name."""
-    if data.startswith(b"openssh-key-v1\0"):
-        return True
-    at, fields = 0, []
-    while at + 4 <= len(data):
-        n = int.from_bytes(data[at : at + 4], "big")
-        if n > len(data) - at - 4:
-            return False
-        fields.append(data[at + 4 : at + 4 + n])
+def _fields(data: bytes, at: int = 0) -> Iterator[tuple[bytes, int]]:
+    """Fields with 4-byte lengths and where each ends, as long as they fit."""
+    while at + 4 <= len(data) and (n := int.from_bytes(data[at : at + 4], "big")) <= len(data) - at - 4:
         at += 4 + n
-    return at == len(data) and len(fields) >= 2 and fields[0].startswith(SSH_NAMES)
+        yield data[at - n : at], at
 
 
-def _decoded(text: str) -> bytes:
-    """Base64 without line breaks, padding made good; empty if it can't be decoded."""
-    bare = text.replace("\n", "").replace("\r", "").rstrip("=")
-    try:
-        return base64.b64decode(bare + "=" * (-len(bare) % 4))
-    except (binascii.Error, ValueError):
-        return b""
+def is_ssh_key(data: bytes) -> bool:
+    """An OpenSSH container, or fields with 4-byte lengths that fill the data, the first a key type's name."""
+    return data.startswith(SSH_CONTAINER) or len(data) in _ssh_ends(data)
+
+
+def _ssh_ends(data: bytes) -> set[int]:
+    """Lengths at which the data, cut there, is a key of fields, the first a key type's name."""
+    fields = list(_fields(data))
+    return {end for _, end in fields[1:]} if fields and fields[0][0].startswith(SSH_NAMES) else set()
+
+
+def _container_ends(data: bytes) -> set[int]:
+    """Where the container ends: cipher, key derivation and its options, a number of keys, so many public ones, and the private part."""
+    head = list(zip(range(3), _fields(data, len(SSH_CONTAINER))))
+    if len(head) < 3:
+        return set()
+    at = head[-1][1][1]
+    n = int.from_bytes(data[at : at + 4], "big") + 1
+    last = 0
+    for k, (_, end) in enumerate(_fields(data, at + 4), 1):
+        if k == n:
+            last = end
+            break
+    return {last} if last else set()
+
+
+def _bytes(letters: str) -> bytes:
+    """Base64 letters without padding; a last letter that stands alone is left out."""
+    letters = letters[: len(letters) - (len(letters) % 4 == 1)]
+    return base64.b64decode(letters + "=" * (-len(letters) % 4))
+
+
+def _encoded(text: str, a: int, b: int) -> Iterator[tuple[int, int, int]]:
+    """Spans of keys in a run of base64: from the start of a line of 40 letters to the end of a line, the longest that parses."""
+    pieces = list(PIECE.finditer(text, a, b))
+    letters = "".join(p[1] for p in pieces)
+    starts = [0]
+    for p in pieces:
+        starts.append(starts[-1] + len(p[1]))
+    first = 0
+    while first < len(pieces):
+        at, i, found = starts[first], first, None
+        first += 1
+        head = _bytes(letters[at : at + 40]) if len(pieces[i][1]) >= 40 else b""
+        # letters up to the end of each line, in bytes
+        ends = lambda: {n * 3 // 4: j for j in range(i, len(pieces)) if (n := starts[j + 1] - at) % 4 != 1}  # noqa: B023, E731
+        if head[:1] == b"\x30" and (size := _der_length(head, 1)):
+            total = sum(size)
+            j = ends().get(total) if total * 4 // 3 <= len(letters) - at else None
+            if j is not None and is_der_key(_bytes(letters[at : starts[j + 1]])):
+                found = (3, j)
+        elif head.startswith(SSH_CONTAINER):
+            here, data = ends(), _bytes(letters[at:])
+            found = (4, max((here[n] for n in _container_ends(data) if n in here), default=len(pieces) - 1))
+        elif head[4:].startswith(SSH_NAMES):
+            here = ends()
+            if cuts := [here[n] for n in _ssh_ends(_bytes(letters[at:])) if n in here]:
+                found = (4, max(cuts))
+        if found:
+            yield pieces[i].start(), found[0], pieces[found[1]].end(2)
+            first = found[1] + 1
 
 
 def is_signed_header(part: str) -> bool:
@@ -102,11 +153,7 @@ def find_spans(text: str) -> list[tuple[int, int, str]]:
         spans += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text) if len(m[0]) >= 20]
     spans += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
     for m in BASE64.finditer(text):
-        data = _decoded(m[0])
-        if is_der_key(data):
-            spans.append((m.start(), 3, m.end()))
-        elif is_ssh_key(data):
-            spans.append((m.start(), 4, m.end()))
+        spans += _encoded(text, m.start(), m.end())
     for m in LONG_HEX.finditer(text):
         data = bytes.fromhex(m[0])
         if is_der_key(data):
