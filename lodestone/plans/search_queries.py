@@ -52,6 +52,12 @@ def fuzzy_search(spark, sf_dir):
     return found.withColumn("score", F.round("score", 6))
 
 
+def fuzzy_search_all(spark, sf_dir):
+    """Fuzzy search for the texts of all requests; fuzzy_search has the misspelled ones alone."""
+    found = search.fuzzy(_queries(spark, sf_dir), views.catalog(spark, sf_dir), K)
+    return found.withColumn("score", F.round("score", 6))
+
+
 def search_cascade(spark, sf_dir):
     return search.search(_queries(spark, sf_dir), views.catalog(spark, sf_dir), K)
 
@@ -108,7 +114,7 @@ def catalog_count(spark, sf_dir):
     return views.catalog(spark, sf_dir).agg(F.count("*").alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (fts_and, fts_phrase, fts_prefix, like_filter, like_all_words, fuzzy_search, search_cascade, correct_artist, artist_prefix_filter, album_overlap_filter, album_fuzzy, distinct_artists, catalog_count)}
+QUERIES = {f.__name__: f for f in (fts_and, fts_phrase, fts_prefix, like_filter, like_all_words, fuzzy_search, fuzzy_search_all, search_cascade, correct_artist, artist_prefix_filter, album_overlap_filter, album_fuzzy, distinct_artists, catalog_count)}
 
 _TOKENS = r"list_filter(regexp_split_to_array(lower(strip_accents({})), '[^\p{{L}}\p{{N}}]+'), lambda w: w <> '')"
 _PLAIN = r"list_filter(regexp_split_to_array(regexp_replace(lower(strip_accents({})), '[^a-z0-9\s]', ' ', 'g'), '\s+'), lambda w: w <> '')"
@@ -138,6 +144,7 @@ ORACLE_SQL = {
     "like_filter": f"WITH {views.SQL} SELECT id, title, artist FROM catalog WHERE artist ILIKE '%BRAND#1%' AND title ILIKE '%Ring%'",
     "like_all_words": f"WITH {views.SQL}, {_Q}, {_from(_LIKE_WORDS, 'asked')} {_TOP.format('likes')}",
     "fuzzy_search": f"WITH {views.SQL}, {_Q}, wrong AS (SELECT query FROM asked WHERE query LIKE 'Brandd%'), {_from(_FUZZY, 'wrong')} SELECT query, id, round(CAST(score AS DOUBLE), 6) AS score, CAST(row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS INTEGER) AS rank FROM fuz",
+    "fuzzy_search_all": f"WITH {views.SQL}, {_Q}, {_from(_FUZZY, 'asked')} SELECT query, id, round(CAST(score AS DOUBLE), 6) AS score, CAST(row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS INTEGER) AS rank FROM fuz",
     "search_cascade": f"""WITH {views.SQL}, {_Q}, {_from(_FTS, 'asked')}, r1 AS (SELECT query FROM asked WHERE query NOT IN (SELECT query FROM fts)), {_from(_LIKE_WORDS, 'r1')},
 r2 AS (SELECT query FROM r1 WHERE query NOT IN (SELECT query FROM likes)), {_from(_FUZZY, 'r2')},
 every AS (SELECT query, id, CAST(row_number() OVER (PARTITION BY query ORDER BY id) AS INTEGER) AS rank, 1 AS tier FROM fts UNION ALL SELECT query, id, CAST(row_number() OVER (PARTITION BY query ORDER BY id) AS INTEGER), 2 FROM likes
