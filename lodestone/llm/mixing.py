@@ -19,7 +19,11 @@ the seed: reruns agree.
 
 Edge cases: null text has no words; a null source is a source, last in order;
 documents without words settle by their own hash; repeated rows are mixed each;
-an empty table gives an empty table; other columns pass through.
+rows of the same id and size are told apart by a hash of all their columns, so
+that the order they arrive in plays no part; a text of any length is one number
+here, its words; an empty table gives an empty table; other columns pass
+through whatever their names, but for those of the results, which take their
+place.
 """
 
 from __future__ import annotations
@@ -28,7 +32,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
@@ -41,7 +45,7 @@ CHUNK_ROWS, FAN_IN = 2000, 16
 RESERVE, RESERVE_SHARE = 256, 4
 
 
-def word_count() -> F.Column:
+def word_count() -> Column:
     return F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
@@ -130,7 +134,7 @@ def _settle(rows: DataFrame, seed: int, level: int) -> DataFrame:
         if group is not None:
             yield _close(held, kinds, carry[0], False)
 
-    return rows.repartition("chunk").sortWithinPartitions("chunk", F.col("source").asc_nulls_last(), "doc_id", "size").mapInArrow(run, schema)
+    return rows.repartition("chunk").sortWithinPartitions("chunk", F.col("source").asc_nulls_last(), "doc_id", "size", "tie").mapInArrow(run, schema)
 
 
 def _finish(rows: DataFrame, seed: int) -> DataFrame:
@@ -153,19 +157,25 @@ def _finish(rows: DataFrame, seed: int) -> DataFrame:
                 copies.append(base + take)
             yield record_batch({f.name: batch.column(f.name) for f in kinds} | {"copies": copies}, kinds)
 
-    return rows.repartition("source").sortWithinPartitions(F.col("source").asc_nulls_last(), F.col("size").desc(), "doc_id").mapInArrow(run, schema)
+    return rows.repartition("source").sortWithinPartitions(F.col("source").asc_nulls_last(), F.col("size").desc(), "doc_id", "tie").mapInArrow(run, schema)
 
 
-def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST, seed: int = 42, chunk_rows: int = CHUNK_ROWS, fan_in: int = FAN_IN) -> DataFrame:
+#: What `mix` adds to a document.
+RESULTS = ("size", "source_size", "target", "copies")
+
+
+def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST, seed: int = 42, chunk_rows: int = CHUNK_ROWS, fan_in: int = FAN_IN, size: Column | None = None) -> DataFrame:
     """docs' columns with size, source_size, target and copies: how often each document is taken.
 
-    docs has doc_id, source and either size or text. Names that the work needs
-    for itself (size, target and so on) must not be among the other columns but
-    for size itself.
+    docs has doc_id and source, and text unless `size` says how long a document is.
     """
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "mix")
-    sized = docs if "size" in docs.columns else docs.withColumn("size", word_count())
+    scratch = Scratch(docs.sparkSession, "mix")
+    # the caller's columns go by numbers meanwhile, so that no name of theirs meets one of the work
+    names = [c for c in docs.columns if c not in RESULTS]
+    size = word_count() if size is None else size
+    held = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)]
+    tie = F.xxhash64(*[F.col(f"`{c}`") for c, kind in docs.dtypes if "map<" not in kind])
+    sized = docs.select(*held, "doc_id", "source", size.cast("long").alias("size"), tie.alias("tie"))
     targets = scratch.put(source_targets(sized, weights, share, most))
     n_docs = targets.agg(F.sum("n_docs")).head()[0] or 0
     chunks = max(1, -(-n_docs // chunk_rows))
@@ -197,7 +207,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MO
     result = settled[0]
     for more in settled[1:]:
         result = result.unionByName(more)
-    return result.drop("chunk", "base", "fraction")
+    return result.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)], *RESULTS)
 
 
 def spark_schema(df: DataFrame) -> DataFrame:
@@ -211,5 +221,5 @@ def query(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "text")
     scratch = Scratch(spark, "mix-sizes")
     sized = scratch.put(docs.select("doc_id", "source", word_count().alias("size")))
-    mixed = mix(sized)
+    mixed = mix(sized, size=F.col("size"))
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "source", "copies")

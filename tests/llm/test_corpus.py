@@ -165,7 +165,7 @@ def test_keep_one(spark, docs, empty):
 def test_mixing(spark, docs, empty):
     rows = [(i, f"s{i % 7 % 4}" if i % 11 else None, (i * 37) % 90) for i in range(3000)]
     frame = spark.createDataFrame(rows, "doc_id long, source string, size long")
-    mixed = mixing.mix(frame, chunk_rows=100, fan_in=4).cache()
+    mixed = mixing.mix(frame, chunk_rows=100, fan_in=4, size=F.col("size")).cache()
     got = mixed.collect()
     assert sorted(r["doc_id"] for r in got) == list(range(3000))
     total = collections.defaultdict(lambda: [0, 0, 0.0, 0])
@@ -178,7 +178,7 @@ def test_mixing(spark, docs, empty):
     assert sum(t[2] for t in total.values()) == pytest.approx(1.5 * sum(t[0] for t in total.values()))
     for size, taken, target, known in total.values():
         assert known == size and target <= 2 * size + 1e-6 and abs(taken - target) <= 90
-    again = {r["doc_id"]: r["copies"] for r in mixing.mix(frame.repartition(3), chunk_rows=100, fan_in=4).collect()}
+    again = {r["doc_id"]: r["copies"] for r in mixing.mix(frame.repartition(3), chunk_rows=100, fan_in=4, size=F.col("size")).collect()}
     assert again == {r["doc_id"]: r["copies"] for r in got}
     texts = mixing.mix(docs)
     assert texts.count() == docs.count() and {r["size"] for r in texts.where("text IS NULL").collect()} == {0}
