@@ -6,11 +6,14 @@ their block and only those whose bits are all set go to the exact hash join
 with the list, which removes false positives; the others are not in the list.
 The filter is broadcast if its size, known from the count of the list, is
 within `broadcast_bytes`, and joined by block number otherwise. All of it is
-DataFrame operations.
+DataFrame operations, and the pages are read once: both joins are outer joins
+on keys that are null for pages with nothing to look up. Those go to all tasks
+by a hash of the page beside the key, as nulls alone would all go to one.
 
 Edge cases: a null url or one without :// has an empty host and path, fits no
-rule and is in no list; repeated rows give a row each; an empty table or list
-works as such; columns beyond page_id and url are not read.
+rule and is in no list; a url of any length is one value of its row; repeated
+rows give a row each, and equal canonical urls the same verdict; an empty table
+or list works as such; columns beyond page_id and url are not read.
 """
 
 from __future__ import annotations
@@ -26,6 +29,8 @@ RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "b
 LISTED_LABELS = ["spam-farm", "cheap-pills"]
 BITS_PER_URL, WORDS = 16, 4
 BROADCAST_BYTES = 64 << 20
+#: Keys that pages without anything to look up are dealt to.
+SPREAD = 4096
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -41,7 +46,7 @@ def canonical(url: str = "url") -> Column:
     """Host without www., path without a final slash, parameters sorted and without tracking; null if there is no host."""
     query = F.regexp_extract(url, r"://[^/?#]*[^?#]*\?([^#]*)", 1)
     own = F.array_sort(F.filter(F.split(query, "&"), lambda p: (p != "") & ~p.rlike("^(utm_[a-z]+|ref)=")))
-    whole = F.concat(F.regexp_replace(host_of(url), r"^www\.", ""), F.regexp_replace(path_of(url), "/+$", ""), F.when(F.size(own) > 0, F.concat(F.lit("?"), F.array_join(own, "&"))).otherwise(""))
+    whole = F.concat(F.regexp_replace(host_of(url), r"^www\.", ""), F.regexp_replace(path_of(url), r"/+\z", ""), F.when(F.size(own) > 0, F.concat(F.lit("?"), F.array_join(own, "&"))).otherwise(""))
     return F.when(host_of(url) != "", whole)
 
 
@@ -85,22 +90,18 @@ def filter_urls(pages: DataFrame, listed: DataFrame, rules: list[tuple[str, str]
     if n_blocks * 8 * (WORDS + 1) <= broadcast_bytes:
         blocks = F.broadcast(blocks)
     rule, verdict = best_rule(rules, F.col("host"), F.col("path"))
-    parsed = pages.select("page_id", host_of().alias("host"), path_of().alias("path"), canonical().alias("c"))
-    judged = parsed.withColumn("rule", rule).withColumn("verdict", verdict)
-    out = ["page_id", "host", "path", "rule", "verdict"]
-    ruled = judged.where("verdict IS NOT NULL").select(*out)
-    # pages without a canonical form are in no list
-    none = judged.where("verdict IS NULL AND c IS NULL").withColumn("verdict", F.lit("allow")).select(*out)
-    masks = _masks(F.col("c"))
-    looked = judged.where("verdict IS NULL AND c IS NOT NULL").withColumn("block", _block(F.col("c"), n_blocks)).join(blocks, "block", "left")
-    passes = F.lit(True)
-    for w, m in enumerate(masks):
-        passes = passes & (F.coalesce(F.col(f"w{w}"), F.lit(0)).bitwiseAND(m) == m)
-    looked = looked.withColumn("maybe", passes)
-    clear = looked.where("NOT maybe").withColumn("verdict", F.lit("allow")).select(*out)
-    exact = looked.where("maybe").join(known.withColumn("hit", F.lit(True)), "c", "left")
-    exact = exact.withColumn("verdict", F.when(F.col("hit"), "block").otherwise("allow")).select(*out)
-    return ruled.union(none).union(clear).union(exact)
+    parsed = pages.select("page_id", host_of().alias("host"), path_of().alias("path"), canonical().alias("c"), F.pmod(F.xxhash64("page_id", "url"), F.lit(SPREAD)).alias("spread"))
+    judged = parsed.withColumn("rule", rule).withColumn("ruled", verdict)
+    looked = F.col("ruled").isNull() & F.col("c").isNotNull()
+    # numbers below zero are no blocks
+    filed = judged.withColumn("block", F.when(looked, _block(F.col("c"), n_blocks)).otherwise(-1 - F.col("spread"))).join(blocks, "block", "left")
+    maybe = looked
+    for w, m in enumerate(_masks(F.col("c"))):
+        maybe = maybe & (F.coalesce(F.col(f"w{w}"), F.lit(0)).bitwiseAND(m) == m)
+    sure = filed.withColumn("maybe", F.coalesce(maybe, F.lit(False)))
+    keyed = sure.select("page_id", "host", "path", "rule", "ruled", F.when(F.col("maybe"), F.col("c")).alias("c"), F.when(F.col("maybe"), F.lit(0).cast("long")).otherwise(F.col("spread")).alias("spread"))
+    exact = keyed.join(known.select("c", F.lit(0).cast("long").alias("spread"), F.lit(True).alias("hit")), ["c", "spread"], "left")
+    return exact.select("page_id", "host", "path", "rule", F.coalesce("ruled", F.when(F.col("hit"), "block").otherwise("allow")).alias("verdict"))
 
 
 def listed_pages(pages: DataFrame) -> DataFrame:
