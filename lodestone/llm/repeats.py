@@ -6,25 +6,31 @@ compared in buckets: of every `length` bytes the 32-byte gram of least hash is
 an anchor, so two equal strings have the same anchor at the same place, and
 meet in the bucket of its hash. Only anchors are counted over all text, about
 one in 85 bytes; contexts (all strings that hold the anchor) that are the same
-are repeats as they stand, and of each kind of context one goes on. Where a
-bucket has several kinds, its suffixes are put in order, named by fingerprints
-of their first `length` bytes and then by position, and the previous and next
-smaller positions in that order give each suffix's earlier and later match.
+are repeats as they stand, and of each kind of context one goes on.
+
+Where a bucket has several kinds, the suffixes of its contexts are put in
+order by their bytes, eight more at a time for those that still tie, which
+also gives how much neighbours share. From each suffix the previous and next
+smaller positions in that order (smaller in the text, that is earlier) lead to
+its longest previous factor, the greater of what it shares with the two; the
+same over greater positions gives the longest next factor.
 
 A bucket of more than `hot` kinds is never one task's: its contexts are
 compared by what all strings of a range of offsets share, in counts that Spark
 combines before the shuffle; ranges with several kinds are cut in four until
 they are decided or share a range with no more than `hot` kinds, which are put
-in order like any bucket. Fingerprints are 64 bits beside the 64 bits of the anchor.
+in order like any bucket. Contexts are told apart by 128 bits, of the anchor
+and of all the context; within a bucket bytes are compared.
 
 By default the first copy, by doc_id and position, stays; with keep_first off
 all copies go.
 
 Edge cases: null text is empty; texts below `length` bytes have no repeats but
-with others; rows that share a doc_id are documents of their own, told apart by
-text, and rows that are the same are copies of each other; a null doc_id comes
-first in order; an empty table gives an empty table; other columns are not
-read.
+with others; a very long text is hashed BLOCK bytes at a time, so that a task
+holds little beside the text itself; rows that share a doc_id are documents of
+their own, told apart by text, and rows that are the same are copies of each
+other, of which the first stays whole; a null doc_id comes first in order; an
+empty table gives an empty table; other columns are not read.
 """
 
 from __future__ import annotations
@@ -35,13 +41,15 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.llm.common import Scratch, arrow_schema, map_rows, record_batch
 
 #: Kinds of context in a bucket that one task puts in order, and documents that it unpacks, at a time.
 HOT, ROWS = 1024, 1000
+#: Bytes of a text that are hashed at a time; below 2^28.
+BLOCK = 1 << 20
 
 LENGTH, GRAM = 200, 32
 
@@ -58,7 +66,7 @@ _POWERS = [np.ones(1, dtype=np.uint64)] * 2
 
 
 def _powers(n: int) -> list[np.ndarray]:
-    """The first n powers of the base and of its inverse, modulo 2^64; the tables grow with the longest text seen."""
+    """The first n powers of the base and of its inverse, modulo 2^64; the tables grow to a block's length."""
     if len(_POWERS[0]) < n:
         _POWERS[:] = [np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(2 * n, b, np.uint64)])) for b in (_BASE, _INVERSE)]
     return [p[:n] for p in _POWERS]
@@ -89,6 +97,20 @@ def anchor_positions(h: np.ndarray, width: int) -> np.ndarray:
     return chosen.astype(np.int64)
 
 
+def anchors_of(data: bytes, length: int, gram: int, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of a text's anchors and the hashes of their grams; blocks overlap by a string, so that where they are cut plays no part."""
+    places, hashes, last = [], [], -1
+    for start in range(0, len(data) - length + 1, block):
+        h = gram_hashes(data[start : start + block + length - 1], gram)
+        at = anchor_positions(h, length - gram + 1)
+        new = at[at + start > last]
+        if len(new):
+            last = int(new[-1]) + start
+            places.append(new + start)
+            hashes.append(h[new])
+    return np.concatenate(places), np.concatenate(hashes)
+
+
 def _documents(docs: DataFrame) -> DataFrame:
     """A key without nulls beside each text: id and a hash of id and text."""
     text = F.coalesce("text", F.lit(""))
@@ -111,14 +133,13 @@ def anchors(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFram
                 data = text.as_py()
                 if len(data) < length:
                     continue
-                h = gram_hashes(data, gram)
-                at = anchor_positions(h, reach + 1)
+                at, h = anchors_of(data, length, gram)
                 out["key"].append(np.full(len(at), key))
                 out["row"].append(np.full(len(at), row))
                 out["pos"].append(at.astype(np.int32))
-                out["gram"].append(h[at].view(np.int64))
+                out["gram"].append(h.view(np.int64))
                 left, seen, places = [], {}, at.tolist()
-                for x, g in zip(places, h[at].tolist()):
+                for x, g in zip(places, h.tolist()):
                     left.append(min(x, reach, x - seen.get(g, -length) - 1))
                     seen[g] = x
                 out["left"].append(np.array(left, dtype=np.int32))
@@ -169,21 +190,72 @@ def _contexts(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
     return map_rows(_squeezed(docs).join(places, ["key", "row"]).select("key", "row", "packed", "places"), make, _CONTEXT, ROWS)
 
 
-def matched(bucket: np.ndarray, order: np.ndarray, names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each suffix whether its longest previous, and next, factor within its bucket has the whole length.
+#: The least numbers of one byte, of two and so on.
+_BYTE_SIZES = np.array([1 << 8 * i for i in range(8)], dtype=np.uint64)
+
 
-    In suffix order (bucket, name, position) the suffixes that share the whole
-    length stand together with rising positions: a suffix's previous smaller
-    position there is the one before it, if that has its name, and its next
-    greater the one after. Any other neighbour shares less.
+def suffix_order(data: np.ndarray, starts: np.ndarray, bucket: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """The suffixes by bucket and first `length` bytes, equal ones as given, and how many bytes each shares with the one before, -1 across buckets.
+
+    data goes on for seven bytes at least beyond the last suffix's.
+    """
+    order = np.argsort(bucket, kind="stable")
+    ends = bucket[order][1:] != bucket[order][:-1]
+    shared = np.full(len(order), length, np.int16)
+    shared[:1] = -1
+    shared[1:][ends] = -1
+    eight = np.arange(8)
+    for depth in range(0, length, 8):
+        # places whose suffix still ties with a neighbour's
+        tied = shared == length
+        tied[:-1] |= tied[1:].copy()
+        at = np.flatnonzero(tied)
+        if not len(at):
+            break
+        group = np.cumsum(shared[at] < length)
+        wide = min(8, length - depth)
+        keys = data[(starts[order[at]] + depth)[:, None] + eight[:wide]]
+        if wide < 8:
+            keys = np.concatenate([keys, np.zeros((len(at), 8 - wide), np.uint8)], axis=1)
+        keys = np.ascontiguousarray(keys).view(">u8").ravel().astype(np.uint64)
+        moved = np.lexsort((keys, group))
+        order[at] = order[at[moved]]
+        keys = keys[moved]
+        apart = keys[1:] ^ keys[:-1]
+        new = np.flatnonzero((group[1:] == group[:-1]) & (apart != 0))
+        # bytes before the first that differs; a number's size says which one
+        shared[at[new + 1]] = depth + 8 - np.searchsorted(_BYTE_SIZES, apart[new], "right")
+    return order, shared
+
+
+def longest_factors(order: np.ndarray, shared: np.ndarray, length: int, later: bool = False) -> np.ndarray:
+    """Each suffix's longest previous factor, or next one if later, where it has the whole length; 0 elsewhere.
+
+    order: positions in suffix order. On either side a suffix looks for the
+    nearest position smaller than its own; positions passed over are greater,
+    so a step may take all that the one passed over has taken. What is shared
+    on the way is the least of the neighbours', and a look ends where that
+    falls below the length.
     """
-    suffixes = np.lexsort((order, names, bucket))
-    b, n = bucket[suffixes], names[suffixes]
-    same = (b[1:] == b[:-1]) & (n[1:] == n[:-1])
-    earlier, later = np.zeros(len(b), bool), np.zeros(len(b), bool)
-    earlier[suffixes[1:]] = same
-    later[suffixes[:-1]] = same
-    return earlier, later
+    position = -order if later else order
+    best = np.zeros(len(order), np.int16)
+    for forward in (False, True):
+        p = position[::-1] if forward else position
+        s = np.concatenate([shared[1:], [-1]])[::-1] if forward else shared
+        at = np.arange(len(p)) - 1
+        least = s.astype(np.int16).copy()
+        open_ = np.flatnonzero(least >= length)
+        while len(open_):
+            open_ = open_[p[at[open_]] > p[open_]]
+            over = at[open_]
+            least[open_] = np.minimum(least[open_], least[over])
+            at[open_] = at[over]
+            open_ = open_[(least[open_] >= length) & (at[open_] >= 0)]
+        found = np.where((least >= length) & (at >= 0), least, 0)
+        best = np.maximum(best, found[::-1] if forward else found)
+    out = np.zeros(len(order), np.int16)
+    out[order] = best
+    return out
 
 
 def _ordered(contexts: DataFrame, length: int, keep_first: bool) -> DataFrame:
@@ -212,14 +284,17 @@ def _ordered(contexts: DataFrame, length: int, keep_first: bool) -> DataFrame:
         all_texts = t.column("text").to_pylist()
         sizes = np.array([len(x) for x in all_texts])
         starts = np.cumsum(sizes) - sizes
-        names = gram_hashes(b"".join(all_texts), length)
+        data = np.frombuffer(b"".join([*all_texts, bytes(8)]), np.uint8)
         # windows of a context that hold its anchor
         n = np.maximum(0, np.minimum(c["left"], sizes - length) + 1)
         of = np.repeat(np.arange(len(n)), n)
         place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        # contexts come by gram, key, row and pos, so that this is the order of the text
-        earlier, later = matched(c["gram"][of], np.arange(len(of)), names[starts[of] + place])
-        hit = np.flatnonzero(earlier if keep_first else earlier | later)
+        # contexts come by gram, key, row and pos, so that a suffix's number is its position in the text
+        order, shared = suffix_order(data, starts[of] + place, c["gram"][of], length)
+        longest = longest_factors(order, shared, length)
+        if not keep_first:
+            longest = np.maximum(longest, longest_factors(order, shared, length, later=True))
+        hit = np.flatnonzero(longest)
         if not len(hit):
             return
         cut = np.flatnonzero((np.diff(hit) != 1) | (np.diff(of[hit]) != 0)) + 1
@@ -335,8 +410,10 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep
 
         def each(batch: pa.RecordBatch) -> Iterator[dict]:
             out: dict[str, list] = {c: [] for c in ("doc_id", "n_bytes", "spans", "kept")}
-            for doc, packed, starts, ends in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "packed", "starts", "ends")), strict=True):
+            for doc, packed, starts, ends, copy in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "packed", "starts", "ends", "copy")), strict=True):
                 data = unpack(packed)
+                if copy > 1 and len(data) >= length:
+                    starts, ends = [0], [len(data)]
                 runs: list[list[int]] = []
                 for a, b in sorted(zip(starts or (), ends or (), strict=True)):
                     if runs and a <= runs[-1][1]:
@@ -350,7 +427,10 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep
 
         return each
 
-    joined = _squeezed(_documents(docs)).join(spans, ["key", "row"], "left").select("doc_id", "packed", "starts", "ends")
+    joined = _squeezed(_documents(docs)).join(spans, ["key", "row"], "left")
+    # of rows that are the same the spans say where the first of them repeats others
+    copy = F.row_number().over(Window.partitionBy("key", "row").orderBy(F.lit(0))) if keep_first else F.lit(1)
+    joined = joined.select("doc_id", "packed", "starts", "ends", copy.alias("copy"))
     return map_rows(joined, make, "doc_id long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary", ROWS)
 
 
