@@ -6,20 +6,25 @@ order of estimated success: the squared distance to the walls it crosses.
 Candidates of all tables are compared by their exact distance in double
 precision and merged.
 
-The numbers of tables, projections and probes and the width are fitted on a
-bounded sample (SAMPLE vectors): the cheapest setting that captures TARGET of
-the sample's pairs at the distance where the tenth neighbour among all rows is
-expected. Every row is indexed. Where vectors have little structure, as random
-ones in many dimensions, cells come out wide and queries visit many; that is
-what the recall takes. A cell with more than `cell_rows` rows is dealt in
-slices over tasks, and each task takes a cell's queries in turn; what leaves a
-task is the best k of each query. Queries that found fewer than k meet all rows
-in blocks of BLOCK queries, so none comes back short.
-
-Edge cases: vectors that are null, empty, zero, of a length other than the
-most frequent, or that hold null or non-finite numbers take no part; rows that
-share a vec_id are one, the least vector of them; ties go to the smaller
-vec_id; an empty table gives an empty table; other columns are not read.
+The numbers of tables (LEAST_TABLES to MOST_TABLES), projections and probes and
+the width are fitted on a bounded sample (SAMPLE vectors): the cheapest setting
+that captures TARGET of the sample's pairs at the distance where the k-th
+neighbour among all rows is expected. Every row is indexed. On vectors that lie
+in groups a query meets few of all rows; among random ones in many dimensions
+the tenth neighbour is nearly as far as any row, cells come out wide and
+queries meet most rows. The README has recall and share for both.
+
+A cell is dealt over tasks in slices of about CELL_ROWS rows, each against
+blocks of about CELL_QUERIES queries, so that no task holds more than one of
+each; what leaves a task is the best k of each query. Queries that found fewer
+than k meet all rows in blocks of BLOCK queries, so none comes back short.
+
+Edge cases: vectors that are null, empty, zero, or that hold null or non-finite
+numbers take no part; vectors of several lengths are searched length by length,
+as there is no distance between them; rows that share a vec_id are rows of
+their own, each a candidate, and each a query if its vec_id is one; ties go to
+the smaller vec_id; an empty table gives an empty table; other columns are not
+read.
 """
 
 from __future__ import annotations
@@ -37,19 +42,18 @@ from lodestone.llm.common import Scratch, arrow_schema, map_rows, record_batch
 K = 10
 #: Vectors that the fit looks at, pairs of them that stand for neighbours, and the share to be captured.
 SAMPLE, PAIRS, TARGET = 2048, 150, 0.96
-CELL_ROWS, BLOCK = 8192, 2048
+LEAST_TABLES, MOST_TABLES = 4, 24
+CELL_ROWS, CELL_QUERIES, BLOCK = 2048, 1024, 2048
 #: Queries whose best a task keeps before it lets them go.
 HELD = 20_000
 
 
 def usable(rows: DataFrame, id_column: str, vector_column: str) -> DataFrame:
-    """vec_id and vec, an array of doubles, of the vectors that take part."""
+    """row, a number of its own, vec_id and vec, an array of doubles, of the vectors that take part."""
     v = F.transform(vector_column, lambda x: x.cast("double"))
     some = rows.select(F.col(id_column).cast("long").alias("vec_id"), v.alias("vec")).where("vec_id IS NOT NULL AND size(vec) > 0")
     good = some.where(F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("vec", lambda x: x != 0))
-    size = good.groupBy(F.size("vec").alias("n")).agg(F.count("*").alias("rows")).orderBy(F.desc("rows"), "n").select("n").limit(1)
-    # one row
-    return good.join(F.broadcast(size), F.size("vec") == F.col("n")).groupBy("vec_id").agg(F.min("vec").alias("vec"))
+    return good.select(F.monotonically_increasing_id().alias("row"), "vec_id", "vec")
 
 
 def probe_order(fractions: np.ndarray, n: int) -> list[list[tuple[int, int]]]:
@@ -107,22 +111,24 @@ def fit(sample: np.ndarray, n: int, k: int = K) -> Tables:
     reach = float(np.quantile(apart, min(1.0, k / n))) or float(np.median(apart)) or 1.0
     near = np.argsort(np.abs(apart - reach), kind="stable")[:PAIRS]
     far = rng.integers(0, len(apart), PAIRS)
+    asking = np.unique(a[np.concatenate([near, far])]).tolist()
     best = None
-    for m in (2, 3, 4, 6, 8, 12):
+    for m in (2, 3, 4, 6, 8, 12, 16, 24):
         for factor in (0.5, 1.0, 2.0, 4.0):
             for probes in (1, 8, 32, 100):
                 t = Tables(dims, 1, m, factor * reach, probes)
                 ys = t.places(sample, 0)
                 cells = t.cells(np.floor(ys))
-                hit = [np.mean([cells[j] in t.visited(ys[i]) for i, j in zip(a[at], b[at])]) for at in (near, far)]
-                if hit[0] <= 0.2:
+                seen = {i: set(t.visited(ys[i]).tolist()) for i in asking}
+                hit = [np.mean([cells[j] in seen[i] for i, j in zip(a[at].tolist(), b[at].tolist())]) for at in (near, far)]
+                if hit[0] <= 0.1:
                     continue
-                tables = 1 if hit[0] >= TARGET else int(np.ceil(np.log(1 - TARGET) / np.log(1 - hit[0])))
+                tables = max(LEAST_TABLES, int(np.ceil(np.log(1 - TARGET) / np.log(1 - hit[0]))) if hit[0] < 1 else 1)
                 # comparisons, and rows that are filed, each worth some of them
                 work = tables * (hit[1] * n * n / 100 + 50 * (n + n / 100 * probes))
-                if tables <= 12 and (best is None or work < best[0]):
+                if tables <= MOST_TABLES and (best is None or work < best[0]):
                     best = (work, (dims, tables, m, factor * reach, probes))
-    return Tables(*best[1]) if best else Tables(dims, 1, 1, 8 * reach, 3)
+    return Tables(*best[1]) if best else Tables(dims, LEAST_TABLES, 1, 8 * reach, 3)
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -132,7 +138,7 @@ def _matrix(column: pa.Array) -> np.ndarray:
 def _file(rows: DataFrame, tables: Tables, query: bool) -> DataFrame:
     """A row for each table and cell: the vector's own, or those that a query visits."""
     shared = rows.sparkSession.sparkContext.broadcast(tables)
-    schema = "tab int, cell long, query boolean, vec_id long, vec array<double>"
+    schema = "tab int, cell long, query boolean, row long, vec_id long, vec array<double>"
 
     def make():
         t = shared.value
@@ -151,7 +157,7 @@ def _file(rows: DataFrame, tables: Tables, query: bool) -> DataFrame:
                     of, cells = np.arange(len(x)), t.cells(np.floor(ys))
                 for at in range(0, len(of), 10_000):
                     some = of[at : at + 10_000]
-                    yield {"tab": np.full(len(some), tab), "cell": cells[at : at + 10_000], "query": np.full(len(some), query), "vec_id": batch.column("vec_id").take(pa.array(some)), "vec": batch.column("vec").take(pa.array(some))}
+                    yield {"tab": np.full(len(some), tab), "cell": cells[at : at + 10_000], "query": np.full(len(some), query)} | {c: batch.column(c).take(pa.array(some)) for c in ("row", "vec_id", "vec")}
 
         return each
 
@@ -159,74 +165,77 @@ def _file(rows: DataFrame, tables: Tables, query: bool) -> DataFrame:
 
 
 class Best:
-    """The k nearest of each query so far."""
+    """The k nearest of each query so far: a query is its (row, vec_id)."""
 
     def __init__(self, k: int):
         self.k, self.held = k, {}
 
-    def offer(self, query: int, vector: np.ndarray, ids: np.ndarray, x: np.ndarray) -> None:
+    def offer(self, query: tuple[int, int], vector: np.ndarray, rows: np.ndarray, ids: np.ndarray, x: np.ndarray) -> None:
         d = np.sqrt(((x - vector) ** 2).sum(axis=1))
-        d[ids == query] = np.inf
+        d[rows == query[0]] = np.inf
         if len(d) > self.k:
             some = np.flatnonzero(d <= np.partition(d, self.k)[self.k])
-            ids, d = ids[some], d[some]
+            rows, ids, d = rows[some], ids[some], d[some]
         if query in self.held:
-            ids, d = np.concatenate([self.held[query][0], ids]), np.concatenate([self.held[query][1], d])
-            _, first = np.unique(ids, return_index=True)
-            ids, d = ids[first], d[first]
-        keep = np.lexsort((ids, d))[: self.k]
+            rows, ids, d = (np.concatenate(both) for both in zip(self.held[query], (rows, ids, d), strict=True))
+            _, first = np.unique(rows, return_index=True)
+            rows, ids, d = rows[first], ids[first], d[first]
+        keep = np.lexsort((rows, ids, d))[: self.k]
         keep = keep[d[keep] < np.inf]
-        self.held[query] = (ids[keep], d[keep])
+        self.held[query] = (rows[keep], ids[keep], d[keep])
 
     def let_go(self) -> dict:
-        n = [len(x) for x, _ in self.held.values()]
-        out = {"query_id": np.repeat(np.array(list(self.held), np.int64), n), "vec_id": np.concatenate([x for x, _ in self.held.values()]), "score": np.concatenate([d for _, d in self.held.values()])}
+        n = [len(x[0]) for x in self.held.values()]
+        asked = np.repeat(np.array(list(self.held), np.int64), n, axis=0)
+        found = [np.concatenate([x[i] for x in self.held.values()]) for i in range(3)]
         self.held = {}
-        return out
+        return dict(zip(("query_row", "query_id", "row", "vec_id", "score"), (asked[:, 0], asked[:, 1], *found), strict=True))
 
 
-_FOUND = "query_id long, vec_id long, score double"
+_FOUND = "query_row long, query_id long, row long, vec_id long, score double"
+_PART = ("tab", "cell", "slice", "block")
 
 
 def _compare(filed: DataFrame, k: int) -> DataFrame:
-    """Candidates of the cells: rows come by cell and slice, queries first."""
+    """Candidates of the cells: rows come by cell, slice and block, queries first."""
     kinds = arrow_schema(filed.sparkSession, _FOUND)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best, cell, queries = Best(k), None, []
+        best, part, queries = Best(k), None, []
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x, ids, is_query = _matrix(batch.column("vec")), batch.column("vec_id").to_numpy(), batch.column("query").to_numpy(zero_copy_only=False)
-            keys = np.column_stack([batch.column(c).to_numpy() for c in ("tab", "cell", "slice")])
+            x, is_query = _matrix(batch.column("vec")), batch.column("query").to_numpy(zero_copy_only=False)
+            rows, ids = (batch.column(c).to_numpy() for c in ("row", "vec_id"))
+            keys = np.column_stack([batch.column(c).to_numpy() for c in _PART])
             cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), len(ids)]
             for i, j in zip(cuts, cuts[1:]):
-                if tuple(keys[i]) != cell:
-                    cell, queries = tuple(keys[i]), []
+                if tuple(keys[i]) != part:
+                    part, queries = tuple(keys[i]), []
                 n = i + int(is_query[i:j].sum())
-                queries += [(int(ids[r]), x[r].copy()) for r in range(i, n)]
+                queries += [((int(rows[r]), int(ids[r])), x[r].copy()) for r in range(i, n)]
                 for q, v in queries if n < j else ():
-                    best.offer(q, v, ids[n:j], x[n:j])
+                    best.offer(q, v, rows[n:j], ids[n:j], x[n:j])
                 if len(best.held) > HELD:
                     yield record_batch(best.let_go(), kinds)
         if best.held:
             yield record_batch(best.let_go(), kinds)
 
-    return filed.repartition("tab", "cell", "slice").sortWithinPartitions("tab", "cell", "slice", F.desc("query")).mapInArrow(run, _FOUND)
+    return filed.repartition(*_PART).sortWithinPartitions(*_PART, F.desc("query")).mapInArrow(run, _FOUND)
 
 
 def _exhaust(rows: DataFrame, queries: list, k: int) -> DataFrame:
     """A block of queries against all rows, the best of each task."""
-    shared = rows.sparkSession.sparkContext.broadcast([(q["vec_id"], np.array(q["vec"])) for q in queries])
+    shared = rows.sparkSession.sparkContext.broadcast([((q["row"], q["vec_id"]), np.array(q["vec"])) for q in queries])
     kinds = arrow_schema(rows.sparkSession, _FOUND)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best = Best(k)
         for batch in batches:
             if batch.num_rows:
-                x, ids = _matrix(batch.column("vec")), batch.column("vec_id").to_numpy()
+                x, numbers, ids = _matrix(batch.column("vec")), batch.column("row").to_numpy(), batch.column("vec_id").to_numpy()
                 for q, v in shared.value:
-                    best.offer(q, v, ids, x)
+                    best.offer(q, v, numbers, ids, x)
         if best.held:
             yield record_batch(best.let_go(), kinds)
 
@@ -234,44 +243,56 @@ def _exhaust(rows: DataFrame, queries: list, k: int) -> DataFrame:
 
 
 def _top(found: DataFrame, k: int) -> DataFrame:
-    once = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
-    return once.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    once = found.groupBy("query_row", "query_id", "row", "vec_id").agg(F.min("score").alias("score"))
+    ranked = once.withColumn("rank", F.row_number().over(Window.partitionBy("query_row").orderBy("score", "vec_id", "row")))
+    return ranked.where(F.col("rank") <= k)
 
 
-def nearest(rows: DataFrame, queries, id_column: str = "vec_id", vector_column: str = "embedding", k: int = K, cell_rows: int = CELL_ROWS, tables: Tables | None = None) -> DataFrame:
-    """query_id, rank, vec_id and score of each query's k nearest found; queries: a condition on vec_id that says which rows ask."""
-    spark = rows.sparkSession
-    scratch = Scratch(spark, "nearest")
-    vectors = scratch.put(usable(rows, id_column, vector_column))
+def candidates(vectors: DataFrame, asking: DataFrame, tables: Tables, scratch: Scratch, cell_rows: int = CELL_ROWS, cell_queries: int = CELL_QUERIES) -> DataFrame:
+    """Rows and queries of the cells that hold both, dealt to slices and blocks: what `_compare` brings together."""
+    index, asked = scratch.put(_file(vectors, tables, False)), scratch.put(_file(asking, tables, True))
+    counts = [f.groupBy("tab", "cell").agg(F.ceil(F.count("*") / size).cast("int").alias(name)) for f, size, name in ((index, cell_rows, "slices"), (asked, cell_queries, "blocks"))]
+    cells = scratch.put(counts[0].join(counts[1], ["tab", "cell"]))
+    own = lambda n: F.pmod(F.xxhash64("row"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    dealt = index.join(cells, ["tab", "cell"]).withColumn("slice", own("slices")).withColumn("block", every("blocks"))
+    sent = asked.join(cells, ["tab", "cell"]).withColumn("block", own("blocks")).withColumn("slice", every("slices"))
+    return dealt.unionByName(sent).drop("slices", "blocks")
+
+
+def _of_one_length(vectors: DataFrame, queries, k: int, tables: Tables | None, scratch: Scratch, **sizes: int) -> DataFrame:
     n = vectors.count()
     if tables is None:
-        sample = [r["vec"] for r in vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).collect()]
-        if len(sample) < 2:
-            return scratch.put(_top(spark.createDataFrame([], _FOUND), k))
+        sample = [r["vec"] for r in vectors.orderBy(F.xxhash64("vec_id"), "vec_id", "row").limit(SAMPLE).collect()]
         tables = fit(np.array(sample), n, k)
     asking = vectors.where(queries)
-    index = scratch.put(_file(vectors, tables, False))
-    asked = scratch.put(_file(asking, tables, True))
-    cells = scratch.put(index.groupBy("tab", "cell").agg(F.count("*").alias("n")).select("tab", "cell", F.ceil(F.col("n") / cell_rows).cast("int").alias("slices")))
-    dealt = index.join(cells, ["tab", "cell"]).withColumn("slice", F.pmod(F.xxhash64("vec_id"), F.col("slices")).cast("int"))
-    sent = asked.join(cells, ["tab", "cell"]).withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
-    found = scratch.put(_compare(dealt.drop("slices").unionByName(sent.drop("slices")), k))
-    scratch.drop(index, asked, cells)
-    best = scratch.put(_top(found, k))
+    best = scratch.put(_top(scratch.put(_compare(candidates(vectors, asking, tables, scratch, **sizes), k)), k))
     # whoever came back short meets everything, a block of queries at a time
     want = min(k, n - 1)
-    short = scratch.put(asking.join(best.groupBy("query_id").agg(F.count("*").alias("got")).where(F.col("got") >= want), F.col("vec_id") == F.col("query_id"), "left_anti"))
+    full = best.groupBy("query_row").agg(F.count("*").alias("got")).where(F.col("got") >= want)
+    short = scratch.put(asking.join(full, F.col("row") == F.col("query_row"), "left_anti"))
     n_short = short.count() if want > 0 else 0
     if not n_short:
         return best
     blocks = -(-n_short // BLOCK)
     more = None
     for i in range(blocks):
-        some = short.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == i).collect()  # about BLOCK queries
+        some = short.where(F.pmod(F.xxhash64("row"), F.lit(blocks)) == i).collect()  # about BLOCK queries
         part = scratch.put(_exhaust(vectors, some, k))
         more = part if more is None else more.union(part)
-    rest = _top(more, k)
-    return best.join(short.select(F.col("vec_id").alias("query_id")), "query_id", "left_anti").unionByName(rest)
+    return best.join(short.select(F.col("row").alias("query_row")), "query_row", "left_anti").unionByName(_top(more, k))
+
+
+def nearest(rows: DataFrame, queries, id_column: str = "vec_id", vector_column: str = "embedding", k: int = K, tables: Tables | None = None, **sizes: int) -> DataFrame:
+    """query_id, rank, vec_id and score of each query's k nearest found; queries: a condition on vec_id that says which rows ask."""
+    spark = rows.sparkSession
+    scratch = Scratch(spark, "nearest")
+    vectors = scratch.put(usable(rows, id_column, vector_column))
+    found = spark.createDataFrame([], f"{_FOUND}, rank int")
+    # a row for each length that vectors have
+    for r in vectors.groupBy(F.size("vec").alias("n")).agg(F.count("*").alias("rows")).where("rows > 1").orderBy("n").collect():
+        found = found.unionByName(_of_one_length(vectors.where(F.size("vec") == r["n"]), queries, k, tables, scratch, **sizes))
+    return found.select("query_id", "rank", "vec_id", "score")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

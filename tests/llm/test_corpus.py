@@ -194,7 +194,7 @@ def test_nearest(spark):
     x[300:500] = x[0]  # a group of copies
     rows = [(i, [float(v) for v in np.float32(r)]) for i, r in enumerate(x)] + [(700, None), (800, [0.0] * 16), (900, [float("nan")] + [1.0] * 15), (1000, [1.0])]
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
-    got = nearest.nearest(frame, "vec_id % 100 = 0", cell_rows=50).collect()
+    got = nearest.nearest(frame, "vec_id % 100 = 0", cell_rows=50, cell_queries=2).collect()
     y = np.array([r[1] for r in rows[:600]])
     found = 0
     for q in range(0, 600, 100):
