@@ -1,15 +1,20 @@
 """Secret scans: base patterns, then structural confirmation of what looks encoded.
 
 Base spans (assign, access, hex) are leftmost, non-overlapping per kind. The
-method then decodes base64 and hex candidates and reports one only if its
-bytes parse: DER keys by nested lengths that add up exactly, OpenSSH keys by
-their length-prefixed fields, signed tokens by a JSON header that names an
-algorithm. A run of base64 is tried from each of its lines to each line's end,
-so that lines before and after a key do not hide it. Work is one pass over each row in Arrow batches; nothing is shuffled.
-
-Edge cases: null text is empty and has no spans; repeated rows each give a
-row; an empty table gives an empty table; other columns are not read by `scan`
-and pass through `redact`.
+method then decodes base64, in either alphabet, and hex candidates and reports
+one only if its bytes parse: DER by nested lengths that add up exactly at every
+level, with elements as a key encoding has them; OpenSSH keys by their
+length-prefixed fields, and containers by cipher, key derivation, the number of
+keys, public keys that parse and a private part; signed tokens by a JSON header
+that names a registered algorithm, a JSON payload and a signature. A run of
+base64 is tried from each of its lines to each line's end, so that lines before
+and after a key do not hide it. Work is one pass over each row in Arrow batches;
+nothing is shuffled.
+
+Edge cases: null text is empty and has no spans; a very long text is searched
+whole, in memory that grows with it alone; spans of equal start and kind are
+one; repeated rows each give a row; an empty table gives an empty table; other
+columns are not read by `scan` and pass through `redact`, whatever their names.
 """
 
 from __future__ import annotations
@@ -38,6 +43,12 @@ PIECE = re.compile(rf"([A-Za-z0-9+/]+)(={{0,2}})(?:{GAP})?")
 LONG_HEX = re.compile(r"(?:[0-9a-fA-F]{2}){32,}")
 #: The order of kinds at equal starts.
 KINDS = ("assign", "access", "hex", "der", "ssh", "signed")
+#: A key in the alphabet for URLs; what starts otherwise is neither DER nor OpenSSH.
+URL_SAFE = re.compile(r"(?<![A-Za-z0-9_+/-])(?:M|AAAA|b3Bl)[A-Za-z0-9_-]{36,}={0,2}(?![A-Za-z0-9_+/-])")
+#: Registered algorithms of signed tokens. Fixed values.
+SIGNING = frozenset("HS256 HS384 HS512 RS256 RS384 RS512 ES256 ES384 ES512 ES256K PS256 PS384 PS512 EdDSA Ed25519 Ed448 none".split())
+#: Levels of DER that are followed.
+DEPTH = 16
 SSH_CONTAINER = b"openssh-key-v1\0"
 SSH_NAMES = (b"ssh-", b"ecdsa-sha2-", b"sk-ssh-", b"sk-ecdsa-")
 
@@ -55,17 +66,36 @@ def _der_length(data: bytes, at: int) -> tuple[int, int] | None:
     return int.from_bytes(data[at + 1 : at + 1 + n], "big"), at + 1 + n
 
 
+def der_elements(data: bytes, at: int, end: int, depth: int = DEPTH) -> list[tuple[int, int, int]] | None:
+    """(tag, start, end) of the elements that fill data[at:end] exactly, what they hold parsed likewise; null if they do not."""
+    out = []
+    while at < end:
+        if not (head := _der_length(data, at + 1)) or sum(head) > end:
+            return None
+        tag, start, at = data[at], head[1], sum(head)
+        if tag & 0x20:  # holds others
+            if not depth or der_elements(data, start, at, depth - 1) is None:
+                return None
+        elif tag == 0x05 and start < at or tag in (0x02, 0x03, 0x06) and start == at:
+            return None
+        elif tag == 0x03 and data[start] > 7 or tag == 0x06 and data[at - 1] & 0x80:
+            return None
+        out.append((tag, start, at))
+    return out
+
+
 def is_der_key(data: bytes) -> bool:
-    """A SEQUENCE whose length is the rest, filled exactly by at least two elements, one of them an integer, bit string or nested sequence."""
-    if len(data) < 24 or data[0] != 0x30 or not (head := _der_length(data, 1)) or head[0] + head[1] != len(data):
+    """A sequence that is all of the data, of integers, or an integer and a string, or a named algorithm and a string, perhaps after a version."""
+    if len(data) < 24 or data[0] != 0x30 or not (head := _der_length(data, 1)) or sum(head) != len(data) or not (inner := der_elements(data, head[1], len(data))):
         return False
-    at, tags = head[1], []
-    while at < len(data):
-        if not (inner := _der_length(data, at + 1)) or sum(inner) > len(data):
-            return False
-        tags.append(data[at])
-        at = sum(inner)
-    return len(tags) >= 2 and tags[0] in (0x02, 0x30) and set(tags) <= {0x02, 0x03, 0x04, 0x05, 0x06, 0x30, 0xA0, 0xA1}
+    tags = [t for t, _, _ in inner]
+    if len(tags) >= 2 and set(tags) == {0x02}:
+        return True
+    rest = inner[1:] if tags[0] == 0x02 else inner
+    tags = [t for t, _, _ in rest]
+    if tags[:1] == [0x04]:
+        return len(inner) > len(rest) and set(tags[1:]) <= {0xA0, 0xA1}
+    return tags[:1] == [0x30] and data[rest[0][1]] == 0x06 and tags[1:2] in ([0x03], [0x04]) and set(tags[2:]) <= {0xA0, 0xA1, 0x81}
 
 
 def _fields(data: bytes, at: int = 0) -> Iterator[tuple[bytes, int]]:
@@ -77,7 +107,7 @@ def _fields(data: bytes, at: int = 0) -> Iterator[tuple[bytes, int]]:
 
 def is_ssh_key(data: bytes) -> bool:
     """An OpenSSH container, or fields with 4-byte lengths that fill the data, the first a key type's name."""
-    return data.startswith(SSH_CONTAINER) or len(data) in _ssh_ends(data)
+    return len(data) in (_container_ends(data) if data.startswith(SSH_CONTAINER) else _ssh_ends(data))
 
 
 def _ssh_ends(data: bytes) -> set[int]:
@@ -87,18 +117,21 @@ def _ssh_ends(data: bytes) -> set[int]:
 
 
 def _container_ends(data: bytes) -> set[int]:
-    """Where the container ends: cipher, key derivation and its options, a number of keys, so many public ones, and the private part."""
+    """Where the container ends: cipher, key derivation and its options, a number of keys, so many public ones that parse, and a private part."""
     head = list(zip(range(3), _fields(data, len(SSH_CONTAINER))))
     if len(head) < 3:
         return set()
+    cipher, way, options = (f for _, (f, _) in head)
+    if not (cipher and way and cipher.isascii() and way.isascii()) or (cipher == b"none") != (way == b"none") or (way == b"none") != (not options):
+        return set()
     at = head[-1][1][1]
-    n = int.from_bytes(data[at : at + 4], "big") + 1
-    last = 0
-    for k, (_, end) in enumerate(_fields(data, at + 4), 1):
+    n = int.from_bytes(data[at : at + 4], "big")
+    for k, (field, end) in enumerate(_fields(data, at + 4)):
         if k == n:
-            last = end
-            break
-    return {last} if last else set()
+            return {end} if n and field else set()
+        if len(field) not in _ssh_ends(field):
+            return set()
+    return set()
 
 
 def _bytes(letters: str) -> bytes:
@@ -128,7 +161,8 @@ def _encoded(text: str, a: int, b: int) -> Iterator[tuple[int, int, int]]:
                 found = (3, j)
         elif head.startswith(SSH_CONTAINER):
             here, data = ends(), _bytes(letters[at:])
-            found = (4, max((here[n] for n in _container_ends(data) if n in here), default=len(pieces) - 1))
+            if cuts := [here[n] for n in _container_ends(data) if n in here]:
+                found = (4, max(cuts))
         elif head[4:].startswith(SSH_NAMES):
             here = ends()
             if cuts := [here[n] for n in _ssh_ends(_bytes(letters[at:])) if n in here]:
@@ -138,12 +172,23 @@ def _encoded(text: str, a: int, b: int) -> Iterator[tuple[int, int, int]]:
             first = found[1] + 1
 
 
-def is_signed_header(part: str) -> bool:
+def _json(part: str) -> object:
     try:
-        head = json.loads(base64.urlsafe_b64decode(part + "=" * (-len(part) % 4)))
+        return json.loads(base64.urlsafe_b64decode(part + "=" * (-len(part) % 4)))
     except (binascii.Error, ValueError, RecursionError):
+        return None
+
+
+def is_signed_token(header: str, payload: str, signature: str) -> bool:
+    """A header that names a registered algorithm, a payload of claims, and a signature unless there is to be none."""
+    head = _json(header)
+    if not isinstance(head, dict) or not isinstance(alg := head.get("alg"), str) or alg not in SIGNING:
         return False
-    return isinstance(head, dict) and isinstance(head.get("alg"), str)
+    return isinstance(_json(payload), dict) and (not signature if alg == "none" else len(signature) % 4 != 1 and bool(signature))
+
+
+def _key_kind(data: bytes) -> int | None:
+    return 3 if is_der_key(data) else 4 if is_ssh_key(data) else None
 
 
 def find_spans(text: str) -> list[tuple[int, int, str]]:
@@ -154,14 +199,16 @@ def find_spans(text: str) -> list[tuple[int, int, str]]:
     spans += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
     for m in BASE64.finditer(text):
         spans += _encoded(text, m.start(), m.end())
+    for m in URL_SAFE.finditer(text):
+        letters = m[0].rstrip("=")
+        # without these two letters it is like any base64
+        if ("-" in letters or "_" in letters) and len(letters) % 4 != 1 and (kind := _key_kind(_bytes(letters.replace("-", "+").replace("_", "/")))):
+            spans.append((m.start(), kind, m.end()))
     for m in LONG_HEX.finditer(text):
-        data = bytes.fromhex(m[0])
-        if is_der_key(data):
-            spans.append((m.start(), 3, m.end()))
-        elif is_ssh_key(data):
-            spans.append((m.start(), 4, m.end()))
+        if kind := _key_kind(bytes.fromhex(m[0])):
+            spans.append((m.start(), kind, m.end()))
     if "ey" in text and "." in text:
-        spans += [(m.start(), 5, m.end()) for m in TOKEN.finditer(text) if is_signed_header(m[1])]
+        spans += [(m.start(), 5, m.end()) for m in TOKEN.finditer(text) if is_signed_token(m[1], m[2], m[3])]
     return sorted(set(spans))
 
 
