@@ -1,10 +1,10 @@
 """LM scoring by subword lattices: a text's probability, summed over all ways to cut its words into pieces.
 
 The pieces come from an existing vocabulary, whose scores give the order of
-their weights; one round of expectation maximisation over the counts of all
-training words turns them into probabilities. A word's probability is the
-marginal over its lattice, by forward recursion in log space, and a text's the
-product over its words and one end.
+their first weights; how often its own tokenizer uses each piece, over all
+training words and their counts, turns them into the probabilities of a unigram
+vocabulary. A word's probability is the marginal over its lattice, by forward
+recursion in log space, and a text's the product over its words and one end.
 
 Words are counted over all training documents, combined in tasks and before
 the shuffle, and each distinct word's lattice is summed once. Counts and sums
@@ -14,7 +14,9 @@ rare, are joined through a shuffle, with one row for each document and word.
 The results are exact either way.
 
 Edge cases: null text has no words but still an end; a null doc_id is never
-held out; repeated rows are counted and scored each; without training documents
+held out; a text of any length is counted word by word, and a word's lattice
+takes time and memory in proportion to its length; rows that share a doc_id are
+scored each, and all of them are training rows or none; repeated rows are counted and scored each; without training documents
 all counts are zero and the model keeps its first weights; an empty table gives
 an empty table; other columns are not read.
 """
@@ -24,6 +26,7 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +40,8 @@ HEAD = 250_000
 #: Weight of the vocabulary's own order against the counts, in tokens.
 PRIOR = 1000.0
 HELD_OUT = (7, 2)
+#: Words that the tokenizer cuts at a time.
+ROWS = 20_000
 SPACE = "▁"
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 LOG10 = math.log(10)
@@ -50,11 +55,8 @@ def held_out() -> F.Column:
     return F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(HELD_OUT[0])) == HELD_OUT[1], F.lit(False))
 
 
-def read_vocabulary(path: str) -> tuple[dict[str, int], list[int], np.ndarray]:
+def read_vocabulary(model) -> tuple[dict[str, int], list[int], np.ndarray]:
     """Pieces by text, the ids of the 256 single bytes, and first weights that fall with a piece's place in the scores' order."""
-    import sentencepiece
-
-    model = sentencepiece.SentencePieceProcessor(model_file=path)
     n = model.get_piece_size()
     pieces, single, weights = {}, [0] * 256, np.zeros(n + 1)
     order = np.argsort(np.argsort([-model.get_score(i) for i in range(n)], kind="stable"), kind="stable")
@@ -69,6 +71,13 @@ def read_vocabulary(path: str) -> tuple[dict[str, int], list[int], np.ndarray]:
     return pieces, single, weights / weights.sum()
 
 
+def load_model(source: str | bytes):
+    """A vocabulary's tokenizer from its file or from the file's bytes."""
+    import sentencepiece
+
+    return sentencepiece.SentencePieceProcessor(**{"model_file" if isinstance(source, str) else "model_proto": source})
+
+
 class Lattice:
     """Log probabilities of words, given those of the pieces."""
 
@@ -110,25 +119,6 @@ class Lattice:
     def word(self, word: bytes) -> float:
         return self.forward(self.arcs(SPACE + word.decode("utf-8", "replace")))[-1]
 
-    def expect(self, word: bytes, n: float, into: dict[int, float]) -> None:
-        """Adds how often each piece is expected in n such words."""
-        s = SPACE + word.decode("utf-8", "replace")
-        arcs = self.arcs(s)
-        a = self.forward(arcs)
-        back = [-math.inf] * len(a)
-        back[-1] = 0.0
-        for j in range(len(arcs), 0, -1):
-            if back[j] == -math.inf:
-                continue
-            for i, x in arcs[j - 1]:
-                y = back[j] + x
-                big, small = (back[i], y) if back[i] > y else (y, back[i])
-                back[i] = big + math.log1p(math.exp(small - big)) if small > -math.inf else big
-                share = n * math.exp(a[i] + y - a[-1])
-                piece = self.pieces.get(s[i:j])
-                for k in (piece,) if piece is not None else [self.single[b] for b in s[i:j].encode("utf-8", "surrogatepass")]:
-                    into[k] = into.get(k, 0.0) + share
-
 
 def count_words(docs: DataFrame) -> DataFrame:
     """(word, c) over docs."""
@@ -145,27 +135,29 @@ def count_words(docs: DataFrame) -> DataFrame:
     return map_rows(docs.select("text"), make, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
-def fit_pieces(counts: DataFrame, ends: int, vocabulary: tuple) -> np.ndarray:
-    """Probabilities of all pieces and the end after one round over all training words."""
-    pieces, single, first = vocabulary
-    shared = counts.sparkSession.sparkContext.broadcast(vocabulary)
+def fit_pieces(counts: DataFrame, ends: int, model, first: np.ndarray) -> np.ndarray:
+    """Probabilities of all pieces and the end, from the tokenizer's cuts of all training words and PRIOR first weights."""
+    shared = counts.sparkSession.sparkContext.broadcast(model.serialized_model_proto())
 
     def make():
-        lattice = Lattice(*shared.value)
+        cut = load_model(shared.value)
 
         def each(batch: pa.RecordBatch) -> Iterator[dict]:
-            into: dict[int, float] = {}
-            for w, c in zip(batch.column("word").to_pylist(), batch.column("c").to_pylist(), strict=True):
-                lattice.expect(w, float(c), into)
-            yield {"piece": list(into), "e": list(into.values())}
+            words, c = batch.column("word").to_pylist(), batch.column("c").to_numpy()
+            found = cut.encode([w.decode("utf-8", "replace") for w in words], num_threads=1)
+            of = np.repeat(c, [len(x) for x in found])
+            used = np.bincount(np.fromiter(chain.from_iterable(found), np.int64, len(of)), of) if len(of) else np.zeros(0)
+            at = np.flatnonzero(used)
+            yield {"piece": at, "n": used[at]}
 
         return each
 
-    # a row for each piece of the vocabulary at most
-    expected = map_rows(counts, make, "piece int, e double").groupBy("piece").agg(F.sum("e").alias("e")).collect()
+    # a row for each piece of the vocabulary at most; whole numbers, so that their order plays no part
+    used = map_rows(counts, make, "piece int, n double", ROWS).groupBy("piece").agg(F.sum("n").alias("n")).collect()
     p = PRIOR * first
-    for r in expected:
-        p[r["piece"]] += r["e"]
+    for r in used:
+        if first[r["piece"]]:
+            p[r["piece"]] += r["n"]
     p[-1] += ends
     return p / p.sum()
 
@@ -211,8 +203,9 @@ def score(docs: DataFrame, vocabulary_path: str, head: int = HEAD) -> DataFrame:
     n, v = (words or 0) + ends, distinct + (ends > 0)
     share = math.log10(n + v + 1)
 
-    vocabulary = read_vocabulary(vocabulary_path)
-    p = fit_pieces(counts, ends, vocabulary)
+    cut = load_model(vocabulary_path)
+    vocabulary = read_vocabulary(cut)
+    p = fit_pieces(counts, ends, cut, vocabulary[2])
     # words of held-out texts alone have no count, but a lattice
     unseen = count_words(some.where("held_out")).join(counts, "word", "left_anti").select("word", F.lit(0).cast("long").alias("c"))
     weighed = scratch.put(weigh(counts, (*vocabulary[:2], p)).union(weigh(unseen, (*vocabulary[:2], p))))
