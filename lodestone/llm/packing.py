@@ -10,8 +10,9 @@ sequence, offset), which tasks use to look up each piece. Pieces of one length
 get ranks from salted windows: a length held by a third of all pieces is dealt
 over many tasks.
 
-Edge cases: null text is empty and packs as its end id alone; repeated rows are
-packed each; ties in length are broken by doc_id, piece and checksum; an empty
+Edge cases: null text is empty and packs as its end id alone; a very long text
+is tokenised whole, in memory that grows with it alone, and cut into pieces;
+repeated rows are packed each; ties in length are broken by doc_id, piece and checksum; an empty
 table gives an empty table; other columns are not read.
 """
 

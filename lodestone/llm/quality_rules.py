@@ -6,8 +6,10 @@ sorting the document's own window hashes. Nothing is shuffled, so a hot source
 or a group of copies is no different from other rows, and one row's work is
 n log n in its length.
 
-Edge cases: a null or empty text has no words and fails on n_words; repeated
-rows each give a row; an empty table gives an empty table; columns beyond
+Edge cases: a null or empty text has no words and fails on n_words; a very long
+text is one row, whose words and windows a task holds at once, some hundred
+bytes a word; stop words count in lower case or with a capital first letter;
+repeated rows each give a row, and a document right at a bound passes; an empty table gives an empty table; columns beyond
 doc_id and text are not read.
 """
 

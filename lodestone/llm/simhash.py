@@ -18,8 +18,10 @@ of its buckets, never all pairs; components come from min labels along those edg
 
 Edge cases: null or empty text, and text without words, has fingerprint zero
 and links like any other; a null doc_id is only ever a component's id if all
-ids in it are null; repeated rows give a row each; an empty table gives an
-empty table; other columns are not read.
+ids in it are null; a very long text is hashed whole, its bits counted in
+slices; repeated rows give a row each, and equal fingerprints meet as one; an
+empty table gives an empty table; other columns are not read, and pass through
+`keep_one` whatever their names.
 """
 
 from __future__ import annotations
@@ -267,7 +269,7 @@ def keep_one(docs: DataFrame, words: int = DEDUP_WORDS, least: float = DEDUP_LEA
     scratch = Scratch(docs.sparkSession, "dedup")
     # a row's key has no null, so that plain joins find it
     id_ = F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1))
-    row = F.xxhash64(*docs.columns)
+    row = F.xxhash64(*[F.col(f"`{c}`") for c, kind in docs.dtypes if "map<" not in kind])
     keyed_texts = docs.select(id_.alias("doc_id"), row.alias("row_hash"), "text")
     printed = jaccard.sketches(keyed_texts, words, ["doc_id", "row_hash"])
     lowest = F.min(F.struct("doc_id", "row_hash"))
@@ -275,8 +277,10 @@ def keep_one(docs: DataFrame, words: int = DEDUP_WORDS, least: float = DEDUP_LEA
     roots = jaccard.labels(nodes, keyed_texts, scratch, words, least)
     rooted = nodes.select("id", "least").join(roots.withColumnRenamed("node", "id"), "id", "left").select(F.coalesce("root", "id").alias("root"), "least")
     kept = scratch.put(rooted.groupBy("root").agg(F.min("least").alias("kept")).select(F.col("kept.doc_id").alias("kept_id"), F.col("kept.row_hash").alias("kept_hash")))
-    keyed = docs.select("*", id_.alias("kept_id"), row.alias("kept_hash"))
-    return keyed.join(kept, ["kept_id", "kept_hash"], "left_semi").dropDuplicates(["kept_id", "kept_hash"]).select(*docs.columns)
+    # the caller's columns go by numbers meanwhile, so that no name of theirs meets one of the work
+    keyed = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)], id_.alias("kept_id"), row.alias("kept_hash"))
+    stays = keyed.join(kept, ["kept_id", "kept_hash"], "left_semi").dropDuplicates(["kept_id", "kept_hash"])
+    return stays.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])
 
 
 def query(spark, sf_dir: str) -> DataFrame:
