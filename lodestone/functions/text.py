@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import sys
 import unicodedata
+from itertools import groupby
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -11,36 +13,26 @@ from pyspark.sql import functions as F
 STOPWORDS = ["the", "a", "an", "and", "with", "from", "that", "this", "play", "song", "remix", "story", "records"]
 # What a compilation's artist contains. Fixed values.
 COMPILATION_KEYWORDS = ["various", "soundtrack", "compilation", "v/a", "v.a."]
-LIBRARY_URL = "http://www.wxyc.info/wxycdb/libraryRelease?id="
-RELEASE_URL = "https://www.discogs.com/release/"
+# What the address of an image that stands for none contains. A fixed value.
+PLACEHOLDER = "spacer.gif"
+# What a bracket with a version's name looks like, in lower case. A fixed value.
+VERSION = r"\((.*?(?:remix|mix|version|edit).*?)\)"
 
 
-def _decompositions() -> tuple[dict[str, str], dict[str, str]]:
-    """Letters below U+2000, and Latin ligatures, whose NFKD form without marks differs: to one character, and to several."""
-    one, more = {}, {}
-    for code in [*range(0xA0, 0x2000), *range(0xFB00, 0xFB07)]:
-        plain = "".join(c for c in unicodedata.normalize("NFKD", chr(code)) if not unicodedata.combining(c))
-        if plain != chr(code):
-            (one if len(plain) <= 1 else more)[chr(code)] = plain
-    return one, more
+def _marks() -> str:
+    """A regular expression's class of all combining characters."""
+    codes = [c for c in range(sys.maxunicode + 1) if unicodedata.combining(chr(c))]
+    runs = [list(g) for _, g in groupby(codes, lambda c, n=iter(range(len(codes))): c - next(n))]
+    return "[" + "".join(f"\\x{{{r[0]:x}}}-\\x{{{r[-1]:x}}}" for r in runs) + "]"
 
 
-_ONE, _MORE = _decompositions()
-# letters that go without a trace come last, beyond the end of the others' counterparts
-_FROM = "".join(sorted(_ONE, key=lambda c: (not _ONE[c], c)))
-_TO = "".join(_ONE[c] for c in _FROM)
-_MANY = {c: p for c, p in _MORE.items() if unicodedata.category(c)[0] == "L"}
+_MARKS = _marks()
 
 
 def strip_diacritics(x: Column) -> Column:
-    """Without combining marks after compatibility decomposition; letters that have none, as ø, stay."""
-    folded = F.translate(x, _FROM, _TO)
-    several = "".join(sorted(_MANY))
-    # ligatures are rare: only texts that hold one pay for the replacements
-    spelled = folded
-    for c in sorted(_MANY):
-        spelled = F.replace(spelled, F.lit(c), F.lit(_MANY[c]))
-    return F.when(folded.rlike(f"[{several}]"), spelled).otherwise(folded)
+    """Without combining marks after compatibility decomposition, of all scripts; letters that have none, as ø, stay. ASCII texts stay as they are."""
+    decomposed = F.call_function("java_method", F.lit("com.ibm.icu.text.Normalizer"), F.lit("decompose"), x, F.lit(True))
+    return F.when(x.rlike(r"[^\x00-\x7f]"), F.regexp_replace(decomposed, _MARKS, "")).otherwise(x)
 
 
 def norm(x: Column) -> Column:
@@ -140,5 +132,33 @@ def call_number(genre: Column, form: Column, letters: Column, artist_number: Col
 
 
 def version_in(raw: Column) -> Column:
-    """What a bracket with remix, mix, version or edit holds; empty without one."""
-    return F.regexp_extract(F.lower(raw), r"\((.*?(?:remix|mix|version|edit).*?)\)", 1)
+    """What a bracket with remix, mix, version or edit holds, in lower case; empty without one."""
+    return F.regexp_extract(F.lower(raw), VERSION, 1)
+
+
+def song_with_version(song: Column, raw: Column) -> Column:
+    """The song with the version that the message names in brackets, if the message has the song."""
+    named = (version_in(raw) != "") & F.lower(raw).contains(F.lower(song))
+    return F.when(named, F.concat(song, F.lit(" ("), version_in(raw), F.lit(")"))).otherwise(song)
+
+
+def keyword_query(artist: Column, song: Column) -> Column:
+    """Two telling words of the artist and two of the song; empty without any."""
+    two = lambda x: F.slice(significant(marked_words(x), 3), 1, 2)
+    return F.array_join(F.concat(two(artist), two(song)), " ")
+
+
+def url_of(base: str, id_: Column) -> Column:
+    """The address of a row or release under an address that ends where its number goes."""
+    return F.concat(F.lit(base), id_.cast("string"))
+
+
+def image_or_null(url: Column) -> Column:
+    """Null for an empty image address or a placeholder's."""
+    return F.when((url != "") & ~url.contains(PLACEHOLDER), url)
+
+
+def cache_key(function: str, **arguments: Column) -> Column:
+    """A digest of a function's name and arguments, whatever their order."""
+    named = [arguments[k].alias(k) for k in sorted(arguments)]
+    return F.md5(F.concat(F.lit(function), F.lit(":"), F.to_json(F.struct(*named), {"ignoreNullFields": "false"})))

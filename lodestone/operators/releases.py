@@ -2,27 +2,55 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions.similarity import trigram_similarity, trigrams
-from lodestone.functions.text import confidence, without_suffix
+from lodestone.functions.text import artist_and_album, confidence, image_or_null, without_suffix
+from lodestone.operators.catalog import full_text, holders
 from lodestone.operators.ranking import keep_first, top_k
+from lodestone.sources.scratch import Scratch
+from lodestone.sources.views import Store
 
 #: Least trigram similarity. A fixed value.
 SIMILAR = 0.3
 
 
-def similar_texts(asked: DataFrame, known: DataFrame) -> DataFrame:
-    """(asked, known, sim) of texts that are similar enough, by shared trigrams: only texts with one in common meet.
+#: Similarities at which the nearest texts are looked for first; who has enough of them asks no further.
+LEVELS = (0.75, 0.5)
+
+
+def nearest_texts(asked: DataFrame, known: DataFrame, k: int, scratch: Scratch) -> DataFrame:
+    """(asked, known, sim): the k texts of known (known, first) most similar to each asked text, of equal ones those of least first, all of SIMILAR at least.
 
-    Both sides are distinct texts, and a pair's similarity follows from counts
-    of shared trigrams, so no text is compared with all others.
+    Two texts as similar as t share one of their rarest trigrams: of n, any but
+    the last t * n less one. Only those are joined, then each pair is verified.
+    The greater t, the fewer and rarer they are, so the search starts from
+    near equals and goes on for texts that have not found k yet.
     """
-    a = asked.distinct().select("asked", F.explode(trigrams(F.col("asked"))).alias("gram"), F.size(trigrams(F.col("asked"))).alias("n"))
-    b = known.distinct().select("known", F.explode(trigrams(F.col("known"))).alias("gram"), F.size(trigrams(F.col("known"))).alias("m"))
-    shared = a.join(b, "gram").groupBy("asked", "known", "n", "m").agg(F.count("*").alias("both"))
-    return shared.select("asked", "known", (F.col("both") / (F.col("n") + F.col("m") - F.col("both"))).alias("sim")).where(F.col("sim") >= SIMILAR)
+    grams = lambda side, text: side.select("*", F.explode(trigrams(F.col(text))).alias("gram"))
+    asked = asked.where("asked IS NOT NULL").select("asked").distinct()
+    known = known.where("known IS NOT NULL")
+    often = grams(known, "known").groupBy("gram").agg(F.count("*").alias("n"))
+
+    def rarest_first(side: DataFrame, text: str) -> DataFrame:
+        rows = grams(side, text).join(often, "gram", "left")
+        return scratch.put(rows.groupBy(*side.columns).agg(F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram"))).alias("grams")))
+
+    left, all_known, found = rarest_first(asked, "asked"), rarest_first(known, "known"), []
+    for t in (*LEVELS, SIMILAR):
+        rarest = lambda rows, n, t=t: rows.withColumn(n, F.size("grams")).withColumn("gram", F.explode(F.slice("grams", F.lit(1), F.size("grams") - F.ceil(t * F.size("grams") - 1e-9).cast("int") + 1)["gram"])).drop("grams")
+        met = rarest(left, "n").join(rarest(all_known, "m"), "gram").where((F.col("m") >= t * F.col("n") - 1e-9) & (F.col("n") >= t * F.col("m") - 1e-9))
+        pairs = met.select("asked", "known", "first").distinct().withColumn("sim", trigram_similarity(F.col("asked"), F.col("known"))).where(F.col("sim") >= t)
+        best = scratch.put(top_k(pairs, ["asked"], [F.desc("sim"), F.col("first"), F.col("known")], k).drop("rank", "first"))
+        if t > SIMILAR:
+            enough = best.groupBy("asked").agg(F.count("*").alias("n")).where(F.col("n") >= k).select("asked")
+            left = left.join(enough, "asked", "left_anti")
+            best = best.join(enough, "asked", "left_semi")
+        found.append(best)
+    return reduce(DataFrame.unionByName, found)
 
 
 def first_by_title(rows: DataFrame, keys: list[str], order: list[Column], k: int) -> DataFrame:
@@ -31,62 +59,133 @@ def first_by_title(rows: DataFrame, keys: list[str], order: list[Column], k: int
     return top_k(once, keys, order, k)
 
 
-def by_track(asked: DataFrame, tracks: DataFrame, releases: DataFrame, artists: DataFrame, k: int = 20) -> DataFrame:
-    """(track, release_id, title, artist_name, sim, rank): releases of the tracks most similar to each asked one.
+def _first_releases(rows: DataFrame, order: list[str], k: int) -> DataFrame:
+    """Of the rows of each text (known) those of its first k releases, with the least of all as first."""
+    same = Window.partitionBy("known")
+    placed = rows.withColumn("place", F.dense_rank().over(same.orderBy("release_id"))).where(F.col("place") <= k).drop("place")
+    return placed.withColumn("first", F.min(F.struct(*order)).over(same))
+
+
+def by_track(asked: DataFrame, store: Store, k: int = 20) -> DataFrame:
+    """(track, artist, release_id, title, artist_name, is_compilation, sim, rank): releases of the tracks most similar to each asked one.
 
     Twice k distinct (release, title) pairs by similarity, then the releases
-    with their first artist, then one for each title.
+    with their first artists, of which only those similar to an artist that is
+    asked for stay, then one for each title.
     """
-    near = similar_texts(asked.select(F.lower("track").alias("asked")), tracks.select(F.lower("title").alias("known")))
+    scratch = Scratch(asked.sparkSession, "by_track")
+    asked = scratch.put(asked.select("track", "artist", F.lower("track").alias("low")).where("track <> ''").distinct())
+    titles = store.track.select("release_id", F.col("title").alias("track_title"), F.lower("title").alias("known")).distinct()
     # of releases with the same title the first 2k are enough, whoever asks
-    held = top_k(tracks.select("release_id", F.col("title").alias("track_title"), F.lower("title").alias("known")).distinct(), ["known"], [F.col("release_id"), F.col("track_title")], 2 * k).drop("rank")
-    pairs = near.join(held, "known")
-    best = top_k(pairs, ["asked"], [F.desc("sim"), F.col("release_id"), F.col("track_title")], 2 * k).drop("rank", "known")
-    full = best.join(releases.select(F.col("id").alias("release_id"), "title"), "release_id").join(artists.where("extra = 0").select("release_id", "artist_name"), "release_id")
-    found = first_by_title(full, ["asked"], [F.desc("sim"), F.col("release_id"), F.col("track_title"), F.col("artist_name")], k)
-    return asked.distinct().withColumn("asked", F.lower("track")).join(found, "asked").drop("asked")
+    held = scratch.put(_first_releases(titles, ["release_id", "track_title"], 2 * k))
+    near = nearest_texts(asked.select(F.col("low").alias("asked")), held.select("known", "first").distinct(), 2 * k, scratch)
+    order = [F.desc("sim"), F.col("release_id"), F.col("track_title")]
+    best = scratch.put(top_k(near.join(held.drop("first"), "known"), ["asked"], order, 2 * k).drop("rank", "known"))
+    some = best.select("release_id").distinct()
+    artists = store.artist.where("extra = 0").select("release_id", "artist_name").join(some, "release_id")
+    full = best.join(store.release.select(F.col("id").alias("release_id"), "title"), "release_id").join(artists, "release_id")
+    rows = asked.join(full, F.col("low") == F.col("asked")).drop("low", "asked")
+    rows = rows.where(F.col("artist").isNull() | (trigram_similarity(F.col("artist_name"), F.col("artist")) >= SIMILAR))
+    # null artists are a key of their own
+    found = first_by_title(rows, ["track", "artist"], [*order, F.col("artist_name")], k)
+    return found.select("track", "artist", "release_id", "title", "artist_name", F.lower("artist_name").contains("various").alias("is_compilation"), "sim", "rank")
+
+
+def searchable(asked: DataFrame) -> DataFrame:
+    """Rows (req_id, artist, album, track) as search takes them: an album, or else a track, stands for the title; rows with nothing to search go."""
+    filled = lambda c: F.nullif(F.col(c), F.lit(""))
+    return asked.select("req_id", filled("artist").alias("artist"), F.coalesce(filled("album"), filled("track")).alias("album")).where("artist IS NOT NULL OR album IS NOT NULL")
 
 
 def search(asked: DataFrame, releases: DataFrame, artists: DataFrame, k: int = 5) -> DataFrame:
-    """(req_id, release_id, title, artist_name, score, confidence, rank) for rows (req_id, artist?, album?).
+    """(req_id, release_id, title, artist_name, artwork_url, score, confidence, rank) for rows (req_id, artist?, album?).
 
     With both, either similar enough will do and the better counts; with one,
     that one. The best 2k releases, one for each title, then by confidence.
     """
     # whatever is among the best 2k by the greater similarity is so by that one, and of
     # releases with the same title, or artist, the first 2k are enough
-    known = releases.select(F.col("id").alias("release_id"), "title").join(artists.where("extra = 0").select("release_id", "artist_name"), "release_id")
-    by_album = similar_texts(asked.where("album IS NOT NULL").select(F.lower("album").alias("asked")), known.select(F.lower("title").alias("known")))
-    by_artist = similar_texts(asked.where("artist IS NOT NULL").select(F.lower("artist").alias("asked")), known.select(F.lower("artist_name").alias("known")))
-    ways = asked.select("req_id", "artist", "album", F.lower("artist").alias("low_artist"), F.lower("album").alias("low_album"))
-    few = lambda text: top_k(known.withColumn("known", F.lower(text)), ["known"], [F.col("release_id"), F.col("artist_name")], 2 * k).drop("rank")
-    albums = ways.join(by_album.withColumnRenamed("asked", "low_album"), "low_album").join(few("title"), "known")
-    names = ways.join(by_artist.withColumnRenamed("asked", "low_artist"), "low_artist").join(few("artist_name"), "known")
-    out = ["req_id", "artist", "album", "release_id", "title", "artist_name", "sim"]
-    either = albums.select(*out).union(names.select(*out))
+    scratch = Scratch(asked.sparkSession, "releases")
+    asked = asked.select("req_id", "artist", "album", F.lower("artist").alias("low_artist"), F.lower("album").alias("low_album"))
+    known = scratch.put(releases.select(F.col("id").alias("release_id"), "title", F.col("artwork_url")).join(artists.where("extra = 0").select("release_id", "artist_name"), "release_id"))
+    ways = []
+    for low, text in (("low_album", "title"), ("low_artist", "artist_name")):
+        few = scratch.put(_first_releases(known.withColumn("known", F.lower(text)), ["release_id"], 2 * k))
+        near = nearest_texts(asked.select(F.col(low).alias("asked")), few.select("known", "first").distinct(), 2 * k, scratch)
+        # only the best of each asked text are given to all who ask for it
+        best = near.join(few.drop("first"), "known").withColumn("place", F.dense_rank().over(Window.partitionBy("asked").orderBy(F.desc("sim"), "release_id"))).where(F.col("place") <= 2 * k)
+        ways.append(asked.select("req_id", "artist", "album", F.col(low).alias("asked")).join(best, "asked").drop("asked", "known", "place"))
     # one row for each release: the greater similarity, first artist by name
-    scored = either.groupBy("req_id", "artist", "album", "release_id", "title", "artist_name").agg(F.max("sim").alias("score"))
+    same = ["req_id", "artist", "album", "release_id", "title", "artwork_url", "artist_name"]
+    scored = ways[0].unionByName(ways[1]).groupBy(*same).agg(F.max("sim").alias("score"))
     once = keep_first(scored, ["req_id", "release_id"], [F.desc("score"), F.col("artist_name")])
     best = top_k(once, ["req_id"], [F.desc("score"), F.col("release_id")], 2 * k).drop("rank")
     kept = first_by_title(best, ["req_id"], [F.desc("score"), F.col("release_id")], k).drop("rank")
     sure = kept.withColumn("confidence", confidence(F.col("artist"), F.col("album"), F.col("artist_name"), F.col("title")))
-    return top_k(sure, ["req_id"], [F.desc("confidence"), F.desc("score"), F.col("release_id")], k).select("req_id", "release_id", "title", "artist_name", "score", "confidence", "rank")
-
-
-def documents(releases: DataFrame, artists: DataFrame, tracks: DataFrame, track_artists: DataFrame) -> DataFrame:
-    """Each release with its first artist and its tracks in order, each with its artists."""
-    names = track_artists.groupBy("release_id", "track_sequence").agg(F.array_sort(F.collect_list("artist_name")).alias("artists"))
-    joined = tracks.join(names.withColumnRenamed("track_sequence", "sequence"), ["release_id", "sequence"], "left")
-    nested = joined.groupBy("release_id").agg(F.array_sort(F.collect_list(F.struct("sequence", "position", "title", "duration", F.coalesce("artists", F.array().cast("array<string>")).alias("artists")))).alias("tracklist"))
-    first = artists.where("extra = 0").groupBy("release_id").agg(F.min("artist_name").alias("artist"))
+    ranked = top_k(sure, ["req_id"], [F.desc("confidence"), F.desc("score"), F.col("release_id")], k)
+    return ranked.select("req_id", "release_id", "title", "artist_name", image_or_null(F.col("artwork_url")).alias("artwork_url"), "score", "confidence", "rank")
+
+
+def listed(rows: DataFrame) -> DataFrame:
+    """(id, artist, album, thumb) of a remote search's rows (id, title, thumb), titles being "Artist - Album": without an id or album they are no releases."""
+    named = rows.select("id", artist_and_album(F.coalesce("title", F.lit(""))).alias("t"), image_or_null(F.col("thumb")).alias("thumb"))
+    return named.select("id", "t.artist", "t.album", "thumb").where("album <> '' AND id IS NOT NULL")
+
+
+def keyword_search(asked: DataFrame, rows: DataFrame, k: int) -> DataFrame:
+    """(query, id, artist, album, thumb, rank): a remote search's rows that hold all words of the query, one for each album in lower case, by id."""
+    known = listed(rows)
+    met = full_text(asked.select("query").distinct(), known.select("id", F.col("album").alias("title"), "artist"), 2 * k).drop("rank")
+    full = met.join(known, "id").withColumn("title", F.col("album"))
+    return first_by_title(full, ["query"], [F.col("id")], k).drop("title")
+
+
+def strict_search(asked: DataFrame, rows: DataFrame, tracks: DataFrame, k: int) -> DataFrame:
+    """(req_id, id, artist, album, thumb, rank) for rows (req_id, artist?, album?, track?): the fields given must hold their words, the track on one of the release's tracks (release_id, title)."""
+    known = listed(rows)
+    whole = known.select("id", F.col("album").alias("title"), "artist")
+    met = asked.where("coalesce(artist, album, track) IS NOT NULL").select("req_id", "artist", "album", "track")
+    on_tracks = tracks.select(F.col("release_id").alias("id"), "title", F.lit("").alias("artist"))
+    found = None
+    for field, where, columns in (("artist", whole, ("artist",)), ("album", whole, ("title",)), ("track", on_tracks, ("title",))):
+        one = holders(met.where(F.col(field).isNotNull()).select("req_id", F.col(field).alias("query")), where, columns).withColumn("fields", F.lit(1))
+        found = one if found is None else found.unionByName(one)
+    given = F.size(F.filter(F.array("artist", "album", "track"), lambda x: x.isNotNull()))
+    full = found.groupBy("req_id", "id").agg(F.sum("fields").alias("fields")).join(met.select("req_id", given.alias("given")), "req_id").where("fields = given")
+    return first_by_title(full.select("req_id", "id").join(known, "id").withColumn("title", F.col("album")), ["req_id"], [F.col("id")], k).drop("title")
+
+
+def supplemented(first: DataFrame, second: DataFrame, key: str, k: int, least: int = 3) -> DataFrame:
+    """Rows (key, id, artist, album, thumb, rank) of first; where a key has fewer than `least`, those of second follow, one for each album over both."""
+    full = first.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") >= least).select(key)
+    more = second.join(full, key, "left_anti").withColumn("way", F.lit(2))
+    both = first.withColumn("way", F.lit(1)).unionByName(more).withColumnRenamed("rank", "place").withColumn("title", F.col("album"))
+    return first_by_title(both, [key], [F.col("way"), F.col("place")], k).drop("title", "way", "place")
+
+
+def documents(store: Store, ids: DataFrame | None = None) -> DataFrame:
+    """Each release, or each of ids (release_id), with its first artist, its images and its tracks in order, each with its artists."""
+    some = (lambda rows: rows) if ids is None else (lambda rows: rows.join(ids.select("release_id").distinct(), "release_id", "left_semi"))
+    names = some(store.track_artist).groupBy("release_id", "track_sequence").agg(F.array_sort(F.collect_list("artist_name")).alias("artists"))
+    joined = some(store.track).join(names.withColumnRenamed("track_sequence", "sequence"), ["release_id", "sequence"], "left")
+    nested = joined.groupBy("release_id").agg(F.array_sort(F.collect_list(F.struct("sequence", F.coalesce("position", F.lit("")).alias("position"), "title", "duration", F.coalesce("artists", F.array().cast("array<string>")).alias("artists")))).alias("tracklist"))
+    first = some(store.artist).where("extra = 0").groupBy("release_id").agg(F.min("artist_name").alias("artist"))
     return (
-        releases.withColumnRenamed("id", "release_id")
+        some(store.release.withColumnRenamed("id", "release_id"))
         .join(first, "release_id", "left")
         .join(nested, "release_id", "left")
         .withColumn("tracklist", F.coalesce("tracklist", F.array().cast(nested.schema["tracklist"].dataType)))
     )
 
 
+def fallback_images(ids: DataFrame, store: Store) -> DataFrame:
+    """(release_id, image): the first image of a release's artist, or else of its label."""
+    first = lambda images, key: images.select(key, F.get("images", F.lit(0)).alias(f"{key}_image"))
+    rows = store.release.withColumnRenamed("id", "release_id").join(ids.select("release_id").distinct(), "release_id", "left_semi")
+    named = rows.join(first(store.artist_image, "artist_id"), "artist_id", "left").join(first(store.label_image, "label_id"), "label_id", "left")
+    return named.select("release_id", F.coalesce("artist_id_image", "label_id_image").alias("image"))
+
+
 def within(a: Column, b: Column) -> Column:
     """Either holds the other."""
     return a.contains(b) | b.contains(a)
@@ -107,6 +206,16 @@ def validate(asked: DataFrame, docs: DataFrame) -> DataFrame:
     return asked.join(known, "release_id", "left").withColumn("valid", F.when(F.col("known"), F.coalesce(ok, F.lit(False)))).drop("release_artist", "tracklist", "known")
 
 
+def releases_of_track(asked: DataFrame, store: Store, k: int = 20) -> DataFrame:
+    """(track, artist, release_id, title, artist_name, rank) of by_track's releases; with an artist only those that have the track by that artist."""
+    scratch = Scratch(asked.sparkSession, "of_track")
+    found = scratch.put(by_track(asked, store, k))
+    judged = validate(found.where("artist IS NOT NULL").select("release_id", "track", "artist").distinct(), documents(store, found.where("artist IS NOT NULL").select("release_id")))
+    good = judged.where("valid").drop("valid")
+    kept = found.where("artist IS NULL").unionByName(found.join(good, ["release_id", "track", "artist"], "left_semi"))
+    return kept.select("track", "artist", "release_id", "title", "artist_name", "rank")
+
+
 def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """new, and what of old it does not replace."""
     return new.unionByName(old.join(new.select(*keys).distinct(), keys, "left_anti"))

@@ -4,6 +4,6 @@ from __future__ import annotations
 
 from lodestone.plans import lookup, release_queries, scalar_queries, search_queries
 
-QUERIES: dict = {**scalar_queries.QUERIES, **search_queries.QUERIES, **release_queries.QUERIES, "lookup_e2e": lookup.query}
-ORACLE_SQL: dict = {**scalar_queries.ORACLE_SQL, **search_queries.ORACLE_SQL, **release_queries.ORACLE_SQL}
+QUERIES: dict = {**scalar_queries.QUERIES, **search_queries.QUERIES, **release_queries.QUERIES, **lookup.QUERIES}
+ORACLE_SQL: dict = {**scalar_queries.ORACLE_SQL, **search_queries.ORACLE_SQL, **release_queries.ORACLE_SQL, **lookup.ORACLE_SQL}
 FLAGSHIP = "lookup_e2e"

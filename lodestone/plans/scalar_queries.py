@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from lodestone.functions import similarity, text
 from lodestone.sources import views
 
+#: Where addresses of catalog rows and of releases start, in these queries.
+LIBRARY, RELEASES = "http://catalog.example/row?id=", "http://releases.example/"
 STOP = ", ".join(f"'{w}'" for w in text.STOPWORDS)
 
 
@@ -38,7 +40,7 @@ def significant_words(spark, sf_dir):
 
 def call_number(spark, sf_dir):
     c = views.catalog(spark, sf_dir)
-    return c.select("id", text.call_number(*(F.col(x) for x in ("genre", "format", "call_letters", "artist_call_number", "release_call_number"))).alias("call_number"), F.concat(F.lit(text.LIBRARY_URL), F.col("id").cast("string")).alias("library_url"))
+    return c.select("id", text.call_number(*(F.col(x) for x in ("genre", "format", "call_letters", "artist_call_number", "release_call_number"))).alias("call_number"), text.url_of(LIBRARY, F.col("id")).alias("library_url"), F.when(F.col("id") % 2 == 0, text.url_of(RELEASES, F.col("id"))).alias("release_url"))
 
 
 def confidence_score(spark, sf_dir):
@@ -98,7 +100,7 @@ FROM (SELECT *, 100.0 - 100.0 * (n + m - 2 * ({lcs_sql('ox', 'oy')})) / (s + g +
 
 
 PAIRS_SQL = "(SELECT p_partkey AS id, lower(regexp_replace(p_name, '[aeiou]', '', 'g') || ' ' || lower(p_type)) AS a, lower(p_name || ' ' || p_type) AS b FROM part)"
-_DASH = r"(.+?)\s*-\s+(.+)|(.+?)\s+-\s*(.+)"
+_DASH = text.DASHED
 _TRIM = r"regexp_replace({}, '^\s+|\s+$', '', 'g')"
 
 QUERIES = {
@@ -128,7 +130,7 @@ SELECT id, CASE WHEN instr(t, ' - ') > 0 THEN trim(t[1:instr(t, ' - ') - 1]) ELS
     "significant_words": f"""WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(regexp_replace(lower(text), '[^\\p{{L}}\\p{{N}}_\\s]', ' ', 'g'), '\\s+'), lambda x: length(x) > 3 AND x NOT IN ({STOP})) AS w FROM documents)
 SELECT doc_id, array_to_string(w[1:4], ' ') AS words, CAST(len(w) AS BIGINT) AS n FROM w""",
     "call_number": f"""WITH {views.SQL} SELECT id, CASE WHEN release_call_number IS NULL THEN concat_ws(' ', genre, format, call_letters, artist_call_number) ELSE concat_ws(' ', genre, format, call_letters, artist_call_number) || '/' || release_call_number END AS call_number,
-  '{text.LIBRARY_URL}' || id AS library_url FROM catalog""",
+  '{LIBRARY}' || id AS library_url, CASE WHEN id % 2 = 0 THEN '{RELEASES}' || id END AS release_url FROM catalog""",
     "confidence_score": f"""WITH {views.SQL},
 j AS (SELECT c.id, trim(lower(coalesce(r.artist, ''))) AS a, trim(lower(coalesce(r.album, ''))) AS b, trim(lower(coalesce(c.artist, ''))) AS x, trim(lower(coalesce(c.title, ''))) AS y FROM requests r JOIN catalog c ON c.id = r.req_id),
 s AS (SELECT id, CASE WHEN a = '' OR x = '' THEN 0 WHEN a = x THEN 4 WHEN contains(a, x) OR contains(x, a) THEN 3 ELSE 0 END + CASE WHEN b = '' OR y = '' THEN 0 WHEN b = y THEN 4 WHEN contains(b, y) OR contains(y, b) THEN 3 ELSE 0 END AS t FROM j)

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import text
-from lodestone.functions.similarity import token_set_ratio
 from lodestone.operators import catalog as search
-from lodestone.operators.ranking import top_k
+from lodestone.operators import strategies
 from lodestone.plans.scalar_queries import STOP, ratio_sql, token_set_sql
 from lodestone.sources import views
 
@@ -26,17 +25,48 @@ def fts_and(spark, sf_dir):
     return search.full_text(asked, views.catalog(spark, sf_dir), K)
 
 
+def _pieces(spark, sf_dir: str) -> DataFrame:
+    """Titles, artists, titles backwards and single words, as phrases to look for."""
+    c = views.catalog(spark, sf_dir)
+    title = text.tokens(F.col("title"))
+    asked = [F.col("title"), F.col("artist"), F.array_join(F.reverse(title), " "), F.element_at(title, -1)]
+    return c.select(F.explode(F.array(*asked)).alias("query")).distinct()
+
+
 def fts_phrase(spark, sf_dir):
-    """Rows whose title starts with each distinct title's tokens one after the other."""
-    rows = views.catalog(spark, sf_dir).select("id", F.array_join(text.tokens(F.col("title")), " ").alias("phrase"))
-    asked = rows.select("phrase").distinct()
-    return top_k(asked.join(rows, "phrase"), ["phrase"], [F.col("id")], K)
+    return search.phrase(_pieces(spark, sf_dir), views.catalog(spark, sf_dir), K)
+
+
+def fts_initial(spark, sf_dir):
+    """Rows whose title starts with the phrase."""
+    return search.phrase(_pieces(spark, sf_dir), views.catalog(spark, sf_dir), K, ("title",), initial=True)
+
+
+def fts_near(spark, sf_dir):
+    """Rows with the ends of the phrase next to each other, in either order."""
+    return search.near(_pieces(spark, sf_dir), views.catalog(spark, sf_dir), K, within=0)
+
+
+def fts_column(spark, sf_dir):
+    return search.full_text(_pieces(spark, sf_dir).select(F.regexp_replace("query", "#", " ").alias("query")).distinct(), views.catalog(spark, sf_dir), K, ("title",))
 
 
 def fts_prefix(spark, sf_dir):
-    """Rows with a title's token that starts with the first three letters asked."""
-    rows = views.catalog(spark, sf_dir).select("id", F.explode(F.array_distinct(F.transform(text.tokens(F.col("title")), lambda w: F.substring(w, 1, 3)))).alias("start"))
-    return top_k(rows, ["start"], [F.col("id")], K)
+    """Rows with a word that starts with each start of one, two, four and five letters that words have."""
+    words = views.catalog(spark, sf_dir).select(F.explode(F.concat(text.tokens(F.col("title")), text.tokens(F.col("artist")))).alias("w")).distinct()
+    asked = words.select(F.explode(F.array(*[F.substring("w", 1, n) for n in (1, 2, 4, 5)])).alias("query")).distinct()
+    return search.prefix(asked, views.catalog(spark, sf_dir), K)
+
+
+def fts_or(spark, sf_dir):
+    return search.any_token(_pieces(spark, sf_dir), views.catalog(spark, sf_dir), K)
+
+
+def fts_not(spark, sf_dir):
+    """Rows with the first word of each title and without the last word of the first title, by letters, that starts with it."""
+    title = text.tokens(F.col("title"))
+    asked = views.catalog(spark, sf_dir).select(F.get(title, F.lit(0)).alias("query"), F.element_at(title, -1).alias("last")).groupBy("query").agg(F.min("last").alias("excluded"))
+    return search.without(asked, views.catalog(spark, sf_dir), K)
 
 
 def like_filter(spark, sf_dir):
@@ -48,12 +78,7 @@ def like_all_words(spark, sf_dir):
 
 
 def fuzzy_search(spark, sf_dir):
-    found = search.fuzzy(_queries(spark, sf_dir).where("query LIKE 'Brandd%'"), views.catalog(spark, sf_dir), K)
-    return found.withColumn("score", F.round("score", 6))
-
-
-def fuzzy_search_all(spark, sf_dir):
-    """Fuzzy search for the texts of all requests; fuzzy_search has the misspelled ones alone."""
+    """Fuzzy search for the texts of all requests."""
     found = search.fuzzy(_queries(spark, sf_dir), views.catalog(spark, sf_dir), K)
     return found.withColumn("score", F.round("score", 6))
 
@@ -76,34 +101,30 @@ def artist_prefix_filter(spark, sf_dir):
     return rows.where((wanted == "") | text.norm(F.col("found")).startswith(wanted)).select("req_id", "id", "rank")
 
 
-def album_words(x):
-    return text.significant(text.marked_words(x), 2)
-
-
-def overlaps(album, title):
-    """Two words in common, or, for titles of two words at most, the album starts with the title."""
-    flat = lambda x: text.squeeze(F.regexp_replace(F.lower(x), r"(?U)[^\w\s]", " "))
-    return F.when(F.size(album_words(title)) <= 2, flat(album).startswith(flat(title))).otherwise(F.size(F.array_intersect(album_words(album), album_words(title))) >= 2)
+def _overlap_keys(words, x):
+    """What texts that overlap have in common: a word, or, where the title is short, the start."""
+    return F.concat(words, F.array(F.concat(F.lit("^"), F.substring(strategies.flat(x), 1, 1)), F.lit("^")))
 
 
 def album_overlap_filter(spark, sf_dir):
     """Albums asked for against catalog rows of the same artist."""
-    r = views.requests(spark, sf_dir).where("album IS NOT NULL").select("artist", "album").distinct()
+    r = views.requests(spark, sf_dir).where("album IS NOT NULL").select("artist", F.concat("album", F.lit(" - live")).alias("album")).distinct()
     c = views.catalog(spark, sf_dir).select("id", "artist", "title")
-    asked = r.withColumn("album", F.concat("album", F.lit(" - live")))
-    return asked.join(c, "artist").where(overlaps(F.col("album"), F.col("title"))).select("artist", "album", "id")
+    words, titles = strategies.album_words(F.col("album")), c.select("artist", "title").distinct()
+    asked = r.select("artist", "album", F.explode(F.array_distinct(_overlap_keys(words, F.col("album")))).alias("key"))
+    short = F.size(strategies.album_words(F.col("title"))) <= 2
+    own = F.when(short, F.array(F.concat(F.lit("^"), F.substring(strategies.flat(F.col("title")), 1, 1)))).otherwise(strategies.album_words(F.col("title")))
+    posted = titles.select("artist", "title", F.explode(F.array_distinct(own)).alias("key"))
+    met = asked.join(posted, ["artist", "key"]).where(strategies.overlaps(F.col("album"), F.col("title"))).select("artist", "album", "title").distinct()
+    return met.join(c, ["artist", "title"]).select("artist", "album", "id")
 
 
 def album_fuzzy(spark, sf_dir):
-    """Titles that hold two telling words of the album asked for and score 60 or more."""
-    asked = views.catalog(spark, sf_dir).select(F.concat("title", F.lit(" deluxe")).alias("album")).distinct()
-    titles = views.catalog(spark, sf_dir).select(F.lower("title").alias("low")).distinct()
-    words = F.slice(text.significant(text.marked_words(F.col("album")), 3), 1, 4)
-    by_word = asked.select("album", words.alias("w")).select("*", F.explode("w").alias("word"))
-    title_words = titles.select("low", F.explode(text.marked_words(F.col("low"))).alias("word"))
-    met = by_word.join(title_words, "word").select("album", "w", "low").distinct()
-    kept = met.where(F.size(F.filter("w", lambda x: F.col("low").contains(x))) >= 2)
-    return kept.withColumn("score", F.round(token_set_ratio(F.lower("album"), F.col("low")), 6)).where("score >= 60").select("album", F.col("low").alias("title"), "score")
+    """Albums named by a title, by a title twice with words that no row has, and by two titles."""
+    title = views.catalog(spark, sf_dir).select("title").distinct()
+    other = title.select(F.lag("title").over(Window.orderBy("title")).alias("before"), "title")
+    album = F.array(F.col("title"), F.concat_ws(" ", "title", "title", F.lit("anniversary pressing")), F.concat_ws(" ", "before", "title", F.lit("anniversary pressing")))
+    return search.album_fuzzy(other.select(F.explode(album).alias("query")), views.catalog(spark, sf_dir), K)
 
 
 def distinct_artists(spark, sf_dir):
@@ -114,7 +135,7 @@ def catalog_count(spark, sf_dir):
     return views.catalog(spark, sf_dir).agg(F.count("*").alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (fts_and, fts_phrase, fts_prefix, like_filter, like_all_words, fuzzy_search, fuzzy_search_all, search_cascade, correct_artist, artist_prefix_filter, album_overlap_filter, album_fuzzy, distinct_artists, catalog_count)}
+QUERIES = {f.__name__: f for f in (fts_and, fts_phrase, fts_initial, fts_near, fts_column, fts_prefix, fts_or, fts_not, like_filter, like_all_words, fuzzy_search, search_cascade, correct_artist, artist_prefix_filter, album_overlap_filter, album_fuzzy, distinct_artists, catalog_count)}
 
 _TOKENS = r"list_filter(regexp_split_to_array(lower(strip_accents({})), '[^\p{{L}}\p{{N}}]+'), lambda w: w <> '')"
 _PLAIN = r"list_filter(regexp_split_to_array(regexp_replace(lower(strip_accents({})), '[^a-z0-9\s]', ' ', 'g'), '\s+'), lambda w: w <> '')"
@@ -133,34 +154,65 @@ _FLAT = r"trim(regexp_replace(regexp_replace(lower({}), '[^\p{{L}}\p{{N}}_\s]',
 
 
 
+_PIECES = f"pieces AS (SELECT DISTINCT unnest([title, artist, array_to_string(list_reverse({_TOKENS.format('title')}), ' '), {_TOKENS.format('title')}[-1]]) AS query FROM catalog)"
+
+
 def _from(sql: str, source: str) -> str:
     return sql.replace("{source}", source)
 
 
+def cascade_sql(source: str) -> str:
+    """CTEs that end with hits (query, id, rank, tier) for the queries in source."""
+    return f"""{_from(_FTS, source)}, r1 AS (SELECT query FROM {source} WHERE query NOT IN (SELECT query FROM fts)), {_from(_LIKE_WORDS, 'r1')},
+r2 AS (SELECT query FROM r1 WHERE query NOT IN (SELECT query FROM likes)), {_from(_FUZZY, 'r2')},
+hits AS MATERIALIZED (SELECT * FROM (SELECT query, id, CAST(row_number() OVER (PARTITION BY query ORDER BY id) AS INTEGER) AS rank, 1 AS tier FROM fts UNION ALL SELECT query, id, CAST(row_number() OVER (PARTITION BY query ORDER BY id) AS INTEGER), 2 FROM likes
+ UNION ALL SELECT query, id, CAST(row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS INTEGER), 3 FROM fuz) WHERE rank <= 5)"""
+
+
+def correction_sql(source: str, out: str) -> str:
+    """CTEs that end with `out` (artist, corrected) for the artists in source."""
+    return f"""{out}a AS (SELECT DISTINCT artist, list_filter(regexp_split_to_array(lower(artist), '\\s+'), lambda w: length(w) >= 3)[1][1:3] AS block FROM {source} WHERE artist IS NOT NULL),
+{out}k AS (SELECT artist AS known, lower(artist[1:3]) AS block FROM (SELECT DISTINCT artist FROM catalog) QUALIFY row_number() OVER (PARTITION BY lower(artist[1:3]) ORDER BY artist) <= 100),
+{out}p AS (SELECT a.artist, known, lower(a.artist) AS la, lower(known) AS lk FROM {out}a a JOIN {out}k USING (block)),
+{out}s AS (SELECT artist, known, {ratio_sql('la', 'lk')} AS score FROM {out}p),
+{out} AS MATERIALIZED (SELECT artist, known AS corrected FROM (SELECT * FROM {out}s WHERE score >= greatest(85, 100 - 2 * length(artist)) QUALIFY row_number() OVER (PARTITION BY artist ORDER BY score DESC, known) = 1) WHERE lower(known) <> lower(artist))"""
+
+
+def words_sql(source: str) -> str:
+    """telling (album, w, words): the telling words of the albums in source, and the first four as a text."""
+    return f"telling AS (SELECT album, w, array_to_string(w[1:4], ' ') AS words FROM (SELECT album, {_WORDS.format('album', 3)} AS w FROM {source}))"
+
+
+#: album_hits (album, id, rank) from hits and telling: an album's own rows, or those of its words that hold two of all of them and score 60.
+ALBUMS_SQL = f"""worded AS (SELECT album, id, rank, w, lower(coalesce(title, '')) AS low, lower(album) AS la FROM telling JOIN hits ON query = words JOIN catalog USING (id) WHERE album NOT IN (SELECT query FROM hits)),
+pairs AS (SELECT DISTINCT album, la, low FROM worded WHERE len(list_filter(w, lambda x: contains(low, x))) >= 2), near AS ({token_set_sql('pairs', 'la', 'low', 'album, low')}),
+album_hits AS (SELECT album, id, rank FROM telling JOIN hits ON query = album UNION ALL SELECT album, id, rank FROM worded JOIN near USING (album, low) WHERE score >= 60)"""
+
 ORACLE_SQL = {
     "fts_and": f"WITH {views.SQL}, {_Q}, plain AS (SELECT DISTINCT replace(query, '#', ' ') AS query FROM asked), {_from(_FTS, 'plain')} {_TOP.format('fts')}",
-    "fts_phrase": f"WITH {views.SQL}, p AS (SELECT id, array_to_string({_TOKENS.format('title')}, ' ') AS phrase FROM catalog) SELECT phrase, id, CAST(row_number() OVER (PARTITION BY phrase ORDER BY id) AS INTEGER) AS rank FROM p QUALIFY rank <= 5",
-    "fts_prefix": f"WITH {views.SQL}, p AS (SELECT DISTINCT id, w[1:3] AS start FROM (SELECT id, unnest({_TOKENS.format('title')}) AS w FROM catalog)) SELECT id, start, CAST(row_number() OVER (PARTITION BY start ORDER BY id) AS INTEGER) AS rank FROM p QUALIFY rank <= 5",
+    "fts_phrase": f"WITH {views.SQL}, {_PIECES}, t AS (SELECT id, ' ' || array_to_string({_TOKENS.format('title')}, ' ') || ' ' AS a, ' ' || array_to_string({_TOKENS.format('artist')}, ' ') || ' ' AS b FROM catalog), m AS (SELECT query, id FROM (SELECT query, ' ' || array_to_string({_TOKENS.format('query')}, ' ') || ' ' AS q FROM pieces) JOIN t ON contains(a, q) OR contains(b, q)) {_TOP.format('m')}",
+    "fts_initial": f"WITH {views.SQL}, {_PIECES}, m AS (SELECT query, id FROM (SELECT query, array_to_string({_TOKENS.format('query')}, ' ') || ' ' AS q FROM pieces) JOIN (SELECT id, array_to_string({_TOKENS.format('title')}, ' ') || ' ' AS a FROM catalog) ON starts_with(a, q)) {_TOP.format('m')}",
+    "fts_near": f"""WITH {views.SQL}, {_PIECES}, t AS (SELECT id, unnest([{_TOKENS.format('title')}, {_TOKENS.format('artist')}]) AS t FROM catalog), p AS (SELECT DISTINCT id, t[i] AS x, t[i + 1] AS y FROM (SELECT id, t, unnest(range(1, len(t))) AS i FROM t)),
+q AS (SELECT query, q[1] AS a, q[-1] AS b FROM (SELECT query, {_TOKENS.format('query')} AS q FROM pieces) WHERE len(q) > 1), m AS (SELECT DISTINCT query, id FROM q JOIN p ON a = x AND b = y OR a = y AND b = x) {_TOP.format('m')}""",
+    "fts_column": f"WITH {views.SQL}, {_PIECES}, q AS (SELECT DISTINCT replace(query, '#', ' ') AS query FROM pieces), m AS (SELECT query, id FROM q JOIN (SELECT id, {_TOKENS.format('title')} AS t FROM catalog) ON list_has_all(t, {_TOKENS.format('query')})) {_TOP.format('m')}",
+    "fts_prefix": f"""WITH {views.SQL}, w AS (SELECT id, unnest(list_concat({_TOKENS.format('title')}, {_TOKENS.format('artist')})) AS w FROM catalog), q AS (SELECT DISTINCT unnest([w[1:1], w[1:2], w[1:4], w[1:5]]) AS query FROM w),
+m AS (SELECT DISTINCT query, id FROM q JOIN w ON starts_with(w, query)) {_TOP.format('m')}""",
+    "fts_or": f"""WITH {views.SQL}, {_PIECES}, w AS (SELECT id, unnest(list_concat({_TOKENS.format('title')}, {_TOKENS.format('artist')})) AS w FROM catalog), q AS (SELECT query, unnest({_TOKENS.format('query')}) AS w FROM pieces),
+m AS (SELECT DISTINCT query, id FROM q JOIN w USING (w)) {_TOP.format('m')}""",
+    "fts_not": f"""WITH {views.SQL}, q AS (SELECT t[1] AS query, min(t[-1]) AS excluded FROM (SELECT {_TOKENS.format('title')} AS t FROM catalog) GROUP BY 1),
+m AS (SELECT query, id FROM q JOIN (SELECT id, list_concat({_TOKENS.format('title')}, {_TOKENS.format('artist')}) AS t FROM catalog) ON list_contains(t, query) AND NOT list_contains(t, excluded)) {_TOP.format('m')}""",
     "like_filter": f"WITH {views.SQL} SELECT id, title, artist FROM catalog WHERE artist ILIKE '%BRAND#1%' AND title ILIKE '%Ring%'",
     "like_all_words": f"WITH {views.SQL}, {_Q}, {_from(_LIKE_WORDS, 'asked')} {_TOP.format('likes')}",
-    "fuzzy_search": f"WITH {views.SQL}, {_Q}, wrong AS (SELECT query FROM asked WHERE query LIKE 'Brandd%'), {_from(_FUZZY, 'wrong')} SELECT query, id, round(CAST(score AS DOUBLE), 6) AS score, CAST(row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS INTEGER) AS rank FROM fuz",
-    "fuzzy_search_all": f"WITH {views.SQL}, {_Q}, {_from(_FUZZY, 'asked')} SELECT query, id, round(CAST(score AS DOUBLE), 6) AS score, CAST(row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS INTEGER) AS rank FROM fuz",
-    "search_cascade": f"""WITH {views.SQL}, {_Q}, {_from(_FTS, 'asked')}, r1 AS (SELECT query FROM asked WHERE query NOT IN (SELECT query FROM fts)), {_from(_LIKE_WORDS, 'r1')},
-r2 AS (SELECT query FROM r1 WHERE query NOT IN (SELECT query FROM likes)), {_from(_FUZZY, 'r2')},
-every AS (SELECT query, id, CAST(row_number() OVER (PARTITION BY query ORDER BY id) AS INTEGER) AS rank, 1 AS tier FROM fts UNION ALL SELECT query, id, CAST(row_number() OVER (PARTITION BY query ORDER BY id) AS INTEGER), 2 FROM likes
- UNION ALL SELECT query, id, CAST(row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS INTEGER), 3 FROM fuz) SELECT query, id, rank, tier FROM every WHERE rank <= 5""",
-    "correct_artist": f"""WITH {views.SQL}, a AS (SELECT DISTINCT artist, list_filter(regexp_split_to_array(lower(artist), '\\s+'), lambda w: length(w) >= 3)[1][1:3] AS block FROM requests WHERE artist IS NOT NULL),
-k AS (SELECT artist AS known, lower(artist[1:3]) AS block FROM (SELECT DISTINCT artist FROM catalog) QUALIFY row_number() OVER (PARTITION BY lower(artist[1:3]) ORDER BY artist) <= 100),
-p AS (SELECT a.artist, known, lower(a.artist) AS la, lower(known) AS lk FROM a JOIN k USING (block)),
-s AS (SELECT artist, known, {ratio_sql('la', 'lk')} AS score FROM p)
-SELECT artist, known AS corrected FROM (SELECT * FROM s WHERE score >= greatest(85, 100 - 2 * length(artist)) QUALIFY row_number() OVER (PARTITION BY artist ORDER BY score DESC, known) = 1) WHERE lower(known) <> lower(artist)""",
+    "fuzzy_search": f"WITH {views.SQL}, {_Q}, {_from(_FUZZY, 'asked')} SELECT query, id, round(CAST(score AS DOUBLE), 6) AS score, CAST(row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS INTEGER) AS rank FROM fuz",
+    "search_cascade": f"WITH {views.SQL}, {_Q}, {cascade_sql('asked')} SELECT query, id, rank, tier FROM hits",
+    "correct_artist": f"WITH {views.SQL}, {correction_sql('requests', 'right_')} SELECT artist, corrected FROM right_",
     "artist_prefix_filter": f"""WITH {views.SQL}, {_Q}, {_from(_LIKE_WORDS, 'asked')}, h AS ({_TOP.format('likes')})
 SELECT r.req_id, h.id, h.rank FROM requests r JOIN h ON h.query = concat_ws(' ', r.artist, coalesce(r.album, r.song)) JOIN catalog c ON c.id = h.id WHERE starts_with(lower(strip_accents(c.artist)), lower(strip_accents(coalesce(r.artist, ''))))""",
     "album_overlap_filter": f"""WITH {views.SQL}, a AS (SELECT DISTINCT artist, album || ' - live' AS album FROM requests WHERE album IS NOT NULL)
 SELECT a.artist, a.album, c.id FROM a JOIN catalog c USING (artist) WHERE CASE WHEN len({_WORDS.format('c.title', 2)}) <= 2 THEN starts_with({_FLAT.format('a.album')}, {_FLAT.format('c.title')}) ELSE len(list_intersect({_WORDS.format('a.album', 2)}, {_WORDS.format('c.title', 2)})) >= 2 END""",
-    "album_fuzzy": f"""WITH {views.SQL}, a AS (SELECT DISTINCT title || ' deluxe' AS album FROM catalog), t AS (SELECT DISTINCT lower(title) AS low FROM catalog),
-m AS (SELECT album, low, lower(album) AS la FROM (SELECT album, {_WORDS.format('album', 3)}[1:4] AS w FROM a) JOIN t ON len(list_filter(w, lambda x: contains(low, x))) >= 2),
-s AS ({token_set_sql('m', 'la', 'low', 'album, low')}) SELECT album, low AS title, round(CAST(score AS DOUBLE), 6) AS score FROM s WHERE score >= 60""",
+    "album_fuzzy": f"""WITH {views.SQL}, named AS (SELECT title, lag(title) OVER (ORDER BY title) AS before FROM (SELECT DISTINCT title FROM catalog)),
+albums AS (SELECT DISTINCT unnest([title, title || ' ' || title || ' anniversary pressing', concat_ws(' ', before, title, 'anniversary pressing')]) AS album FROM named),
+{words_sql('albums')}, texts AS (SELECT album AS query FROM albums UNION SELECT words FROM telling WHERE words <> ''), {cascade_sql('texts')}, {ALBUMS_SQL} SELECT album AS query, id, CAST(row_number() OVER (PARTITION BY album ORDER BY rank) AS INTEGER) AS rank FROM album_hits""",
     "distinct_artists": f"WITH {views.SQL} SELECT DISTINCT artist FROM catalog",
     "catalog_count": f"WITH {views.SQL} SELECT count(*) AS n FROM catalog",
 }

@@ -1,12 +1,14 @@
-"""Writing the catalog: a checked replacement of the whole table."""
+"""Writing: a checked replacement of the catalog, rows with the time they were cached, responses as documents and telemetry."""
 
 from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.operators.releases import upsert
+
 NEEDED = {"id", "title", "artist"}
 
 
@@ -22,8 +24,35 @@ def replace_catalog(new: DataFrame, path: str) -> DataFrame:
     target, made = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(beside)
     fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
     before = jvm.org.apache.hadoop.fs.Path(f"{beside}.before")
-    if fs.exists(target):
-        fs.rename(target, before)
-    fs.rename(made, target)
+    there = fs.exists(target)
+    if there and not fs.rename(target, before):
+        raise OSError(f"{path} cannot be moved away; the new catalog is in {beside}")
+    if not fs.rename(made, target):
+        if there and not fs.rename(before, target):
+            raise OSError(f"the old catalog is in {before}, the new one in {beside}")
+        raise OSError(f"{path} could not be replaced; the new catalog is in {beside}")
     fs.delete(before, True)
     return spark.range(1).select(F.lit("ok").alias("status"), F.lit(n).alias("row_count"), F.current_timestamp().alias("finished"))
+
+
+def upsert_cached(old: DataFrame, new: DataFrame, keys: list[str], source: str = "api_fetch", now: Column | None = None) -> DataFrame:
+    """Rows (keys, source, cached_at): those of new are cached now, whether or not old has them."""
+    fresh = new.select(*keys).distinct().select(*keys, F.lit(source).alias("source"), (F.current_timestamp() if now is None else now).alias("cached_at"))
+    return upsert(old, fresh, keys)
+
+
+def responses(rows: DataFrame) -> DataFrame:
+    """One row a request from `lookup`'s rows: req_id and response, the JSON document of its results in order and what holds for all of them."""
+    item = F.struct("rank", "id", "title", "artist", "confidence", F.struct("release_id", "album", F.col("release_artist").alias("artist"), "artwork_url").alias("artwork"))
+    # five results at most
+    results = F.array_sort(F.collect_list(F.when(F.col("id").isNotNull(), item)))
+    whole = ["search_type", "song_not_found", "found_on_compilation", "context", "corrected_artist"]
+    one = rows.groupBy("req_id").agg(results.alias("results"), *[F.any_value(c).alias(c) for c in whole])
+    return one.select("req_id", F.to_json(F.struct("results", F.size("results").alias("total"), *whole), {"ignoreNullFields": "false"}).alias("response"))
+
+
+def telemetry(events: DataFrame) -> DataFrame:
+    """What one batch reports of itself, from rows (step, ms): calls, milliseconds and share of the whole for each step, and all steps as `total`."""
+    steps = events.groupBy("step").agg(F.count("*").alias("calls"), F.round(F.sum("ms"), 4).alias("ms"))
+    whole = events.agg(F.lit("total").alias("step"), F.count("*").alias("calls"), F.round(F.sum("ms"), 4).alias("ms"))
+    return steps.unionByName(whole.where("calls > 0"))

@@ -69,3 +69,26 @@ def test_lcs_against_the_plain_table():
 
 def test_trigrams(spark):
     assert sorted(column(spark, ["word"], similarity.trigrams)[0]) == ["  w", " wo", "ord", "rd ", "wor"]
+
+
+def test_folding_of_all_characters(spark):
+    import unicodedata
+
+    codes = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000 and unicodedata.category(chr(c)) != "Cn"]
+    blocks = ["".join(map(chr, codes[i : i + 100])) for i in range(0, len(codes), 100)]
+    # one by one, as neighbours may change order
+    one_by_one = ["\n".join(b) for b in blocks]
+    plain = lambda t: "".join(c for c in unicodedata.normalize("NFKD", t) if not unicodedata.combining(c))
+    got = column(spark, one_by_one, text.strip_diacritics)
+    assert [(a, b, c) for t, g in zip(one_by_one, got) for a, b, c in zip(t.split("\n"), map(plain, t.split("\n")), g.split("\n")) if b != c][:20] == []
+    assert column(spark, ["\uff22\uff2a\uff2f\uff32\uff2b", "\ud55c"], text.norm) == ["bjork", unicodedata.normalize("NFKD", "\ud55c")]
+
+
+def test_versions_keywords_and_keys(spark):
+    row = spark.createDataFrame([("Blue Song", "play blue song (Long Mix) now", "The Big Band Four"), ("Other", "play blue song (long mix)", None)], "s string, r string, a string")
+    assert [x[0] for x in row.select(text.song_with_version(F.col("s"), F.col("r"))).collect()] == ["Blue Song (long mix)", "Other"]
+    assert [x[0] for x in row.select(text.keyword_query(F.coalesce("a", F.lit("")), F.col("s"))).collect()] == ["band four blue", "other"]
+    keys = row.select(text.cache_key("f", a=F.col("a"), s=F.col("s")), text.cache_key("f", s=F.col("s"), a=F.col("a")), text.cache_key("g", a=F.col("a"), s=F.col("s"))).collect()
+    assert all(a == b != c for a, b, c in keys) and keys[0][0] != keys[1][0]
+    assert column(spark, ["http://x/1.jpg", "http://x/spacer.gif", "", None], text.image_or_null) == ["http://x/1.jpg", None, None, None]
+    assert column(spark, ["7", None], lambda x: text.url_of("http://y?id=", x)) == ["http://y?id=7", None]
