@@ -273,7 +273,7 @@ def keep_one(docs: DataFrame, words: int = DEDUP_WORDS, least: float = DEDUP_LEA
     keyed_texts = docs.select(id_.alias("doc_id"), row.alias("row_hash"), "text")
     printed = jaccard.sketches(keyed_texts, words, ["doc_id", "row_hash"])
     lowest = F.min(F.struct("doc_id", "row_hash"))
-    nodes = scratch.put(printed.groupBy("id").agg(lowest.alias("least"), F.first("keys").alias("keys"), F.first("x").alias("x"), F.first("y").alias("y")))
+    nodes = scratch.put(printed.groupBy("id").agg(lowest.alias("least"), *[F.first(c).alias(c) for c in ("keys", "x", "y", "n", "odd")]))
     roots = jaccard.labels(nodes, keyed_texts, scratch, words, least)
     rooted = nodes.select("id", "least").join(roots.withColumnRenamed("node", "id"), "id", "left").select(F.coalesce("root", "id").alias("root"), "least")
     kept = scratch.put(rooted.groupBy("root").agg(F.min("least").alias("kept")).select(F.col("kept.doc_id").alias("kept_id"), F.col("kept.row_hash").alias("kept_hash")))

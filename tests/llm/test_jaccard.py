@@ -50,3 +50,39 @@ def test_refused_forest_edges_are_tried_anew(spark):
     assert all(jaccard.similarity(a, b) >= 0.8 for a, b in zip(sets, sets[1:])) and jaccard.similarity(sets[0], sets[4]) < 0.8
     docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
     assert [r["doc_id"] for r in simhash.keep_one(docs).collect()] == [0]
+
+
+def test_large_group_that_is_not_near_enough(spark):
+    """Texts each one word away from a text that is not there: near, and no two of them near enough, which their sketches tell."""
+    rng = random.Random(3)
+    base = [f"b{i}" for i in range(60)]
+    texts = []
+    for _ in range(700):
+        now = list(base)
+        now[rng.randrange(6, 54)] = f"n{rng.randrange(10**9)}"
+        texts.append(" ".join(now))
+    sketches = [jaccard.sketch(t, 5) for t in texts]
+    sets = [jaccard.shingles(t, 5) for t in texts]
+    import numpy as np
+    import pyarrow as pa
+
+    bits = np.array([s[2] for s in sketches]).view(np.int64)
+    rows = pa.table({"id": range(700), "x": bits[:, 0], "y": bits[:, 1], "n": [s[3] for s in sketches], "odd": [s[4] for s in sketches]})
+    bucket = jaccard.Bucket(rows, 0.8)
+    passed = wrong = 0
+    for i in range(0, 700, 7):
+        near = set(bucket.close(i, np.arange(700)).tolist())
+        linked = {j for j in range(700) if jaccard.similarity(sets[i], sets[j]) >= 0.8}
+        assert linked <= near
+        passed, wrong = passed + len(near), wrong + len(near - linked)
+    # of all pairs looked at; what passes wrongly is as good as at the limit
+    assert wrong <= 0.01 * 100 * 700 and passed > wrong
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    kept = {r["doc_id"] for r in simhash.keep_one(docs).collect()}
+    label = list(range(700))
+    for i in range(700):
+        for j in range(i):
+            if label[i] != label[j] and jaccard.similarity(sets[i], sets[j]) >= 0.8:
+                old, new = max(label[i], label[j]), min(label[i], label[j])
+                label = [new if x == old else x for x in label]
+    assert kept == set(label)
