@@ -190,13 +190,22 @@ def fuzzy(queries: DataFrame, catalog: DataFrame, k: int, threshold: int = FUZZY
     return top_k(scored.join(block, ["start", "text"]).select("query", "id", "score"), ["query"], [F.desc("score"), F.col("id")], k)
 
 
+TEXT_COLUMNS = ["id", "first", "title", "artist"]
+
+
+def searchable(catalog: DataFrame) -> DataFrame:
+    """The catalog's texts with what search needs of their ids, written: a catalog to search several times over. One that is made already stays as it is."""
+    if catalog.columns == TEXT_COLUMNS:
+        return catalog
+    return Scratch(catalog.sparkSession, "texts").put(texts_of(catalog, FUZZY_ROWS))
+
+
 def search(queries: DataFrame, catalog: DataFrame, k: int) -> DataFrame:
     """(query, id, rank, tier): full text, else all words, else fuzzy; each tier sees what the one before left."""
-    scratch = Scratch(queries.sparkSession, "search")
-    texts = scratch.put(texts_of(catalog, max(k, FUZZY_ROWS)))
-    queries = scratch.put(queries.select("query").distinct())
+    scratch, texts = Scratch(queries.sparkSession, "search"), searchable(catalog)
+    queries = queries.select("query").distinct()
     one = scratch.put(full_text(queries, catalog, k, texts=texts))  # read by the next tier and by the result
-    left = scratch.put(queries.join(one.select("query").distinct(), "query", "left_anti"))
+    left = queries.join(one.select("query").distinct(), "query", "left_anti")
     two = scratch.put(all_words(left, catalog, k, texts))
     three = fuzzy(left.join(two.select("query").distinct(), "query", "left_anti"), catalog, k, texts=texts).drop("score")
     return first_hit("query", [one, two, three])
@@ -204,8 +213,8 @@ def search(queries: DataFrame, catalog: DataFrame, k: int) -> DataFrame:
 
 def album_fuzzy(albums: DataFrame, catalog: DataFrame, k: int) -> DataFrame:
     """(query, id, rank): search for the albums; for those not found, a search for their first four telling words, whose rows `accepts` has to let pass."""
-    scratch = Scratch(albums.sparkSession, "albums")
-    albums = scratch.put(albums.select("query").distinct())
+    scratch, catalog = Scratch(albums.sparkSession, "albums"), searchable(catalog)
+    albums = albums.select("query").distinct()
     found = scratch.put(search(albums, catalog, k).select("query", "id", "rank"))
     telling = significant(marked_words(F.col("query")), 3)
     left = albums.join(found.select("query").distinct(), "query", "left_anti").select(F.col("query").alias("album"), F.array_join(F.slice(telling, 1, 4), " ").alias("query")).where("query <> ''")

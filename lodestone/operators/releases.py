@@ -19,7 +19,7 @@ SIMILAR = 0.3
 
 
 #: Similarities at which the nearest texts are looked for first; who has enough of them asks no further.
-LEVELS = (0.75, 0.5)
+LEVELS = (0.6,)
 
 
 def nearest_texts(asked: DataFrame, known: DataFrame, k: int, scratch: Scratch) -> DataFrame:
@@ -126,6 +126,9 @@ def search(asked: DataFrame, releases: DataFrame, artists: DataFrame, k: int = 5
     return ranked.select("req_id", "release_id", "title", "artist_name", image_or_null(F.col("artwork_url")).alias("artwork_url"), "score", "confidence", "rank")
 
 
+_REMOTE = ("id", "artist", "album", "thumb", "rank")
+
+
 def listed(rows: DataFrame) -> DataFrame:
     """(id, artist, album, thumb) of a remote search's rows (id, title, thumb), titles being "Artist - Album": without an id or album they are no releases."""
     named = rows.select("id", artist_and_album(F.coalesce("title", F.lit(""))).alias("t"), image_or_null(F.col("thumb")).alias("thumb"))
@@ -137,7 +140,7 @@ def keyword_search(asked: DataFrame, rows: DataFrame, k: int) -> DataFrame:
     known = listed(rows)
     met = full_text(asked.select("query").distinct(), known.select("id", F.col("album").alias("title"), "artist"), 2 * k).drop("rank")
     full = met.join(known, "id").withColumn("title", F.col("album"))
-    return first_by_title(full, ["query"], [F.col("id")], k).drop("title")
+    return first_by_title(full, ["query"], [F.col("id")], k).select("query", *_REMOTE)
 
 
 def strict_search(asked: DataFrame, rows: DataFrame, tracks: DataFrame, k: int) -> DataFrame:
@@ -152,7 +155,7 @@ def strict_search(asked: DataFrame, rows: DataFrame, tracks: DataFrame, k: int)
         found = one if found is None else found.unionByName(one)
     given = F.size(F.filter(F.array("artist", "album", "track"), lambda x: x.isNotNull()))
     full = found.groupBy("req_id", "id").agg(F.sum("fields").alias("fields")).join(met.select("req_id", given.alias("given")), "req_id").where("fields = given")
-    return first_by_title(full.select("req_id", "id").join(known, "id").withColumn("title", F.col("album")), ["req_id"], [F.col("id")], k).drop("title")
+    return first_by_title(full.select("req_id", "id").join(known, "id").withColumn("title", F.col("album")), ["req_id"], [F.col("id")], k).select("req_id", *_REMOTE)
 
 
 def supplemented(first: DataFrame, second: DataFrame, key: str, k: int, least: int = 3) -> DataFrame:
@@ -160,7 +163,7 @@ def supplemented(first: DataFrame, second: DataFrame, key: str, k: int, least: i
     full = first.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") >= least).select(key)
     more = second.join(full, key, "left_anti").withColumn("way", F.lit(2))
     both = first.withColumn("way", F.lit(1)).unionByName(more).withColumnRenamed("rank", "place").withColumn("title", F.col("album"))
-    return first_by_title(both, [key], [F.col("way"), F.col("place")], k).drop("title", "way", "place")
+    return first_by_title(both, [key], [F.col("way"), F.col("place")], k).select(key, *_REMOTE)
 
 
 def documents(store: Store, ids: DataFrame | None = None) -> DataFrame:

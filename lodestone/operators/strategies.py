@@ -132,7 +132,6 @@ def track_on_compilation(requests: DataFrame, catalog: DataFrame, store: Store,
     kept = scratch.put(once.withColumn("before", before).where(F.col("before") < k))
 
     left = asked.where("words <> ''").join(kept.select("req_id").distinct(), "req_id", "left_anti").withColumnRenamed("words", "query")
-    left = scratch.put(left)
     worded = _named(left.join(catalog_search.search(left.select("query"), catalog, k).select("query", "id", F.col("rank").alias("found")), "query"), catalog)
     worded = worded.where(starts_with(F.col("known"), F.col("artist")) | text.is_compilation(F.col("known")))
     by_release = _shaped(kept, [F.desc(_holds(F.col("title"), F.col("song"))), F.col("step"), F.col("found")], k, release_title=F.col("album"))
@@ -142,7 +141,7 @@ def track_on_compilation(requests: DataFrame, catalog: DataFrame, store: Store,
 def song_as_artist(requests: DataFrame, catalog: DataFrame, store: Store, k: int = K) -> DataFrame:
     """The song's name as an artist's in the catalog; else the releases of an artist of that name, looked for in the catalog."""
     scratch = Scratch(requests.sparkSession, "song_as_artist")
-    asked = scratch.put(requests.where(there("song")).select("req_id", F.col("song").alias("query")))
+    asked = requests.where(there("song")).select("req_id", F.col("song").alias("query"))
     found = catalog_search.search(asked.select("query"), catalog, k).select("query", "id", F.col("rank").alias("found"))
     direct = scratch.put(_named(asked.join(found, "query"), catalog).where(starts_with(F.col("known"), F.col("query"))))
     left = scratch.put(asked.join(direct.select("req_id").distinct(), "req_id", "left_anti").withColumnRenamed("query", "song"))

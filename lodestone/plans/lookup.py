@@ -31,7 +31,7 @@ def lookup(requests: DataFrame, catalog: DataFrame, store: Store, k: int = K) ->
     request search_type, song_not_found, found_on_compilation, context and
     corrected_artist.
     """
-    scratch = Scratch(requests.sparkSession, "lookup")
+    scratch, catalog = Scratch(requests.sparkSession, "lookup"), search.searchable(catalog)
     known = scratch.put(corrected(requests, catalog))
     asked = known.drop("corrected_artist")
     albums = scratch.put(strategies.resolve_albums(asked, store))
@@ -69,7 +69,7 @@ def lookup(requests: DataFrame, catalog: DataFrame, store: Store, k: int = K) ->
 
 def _requests(spark, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Corrected requests and the catalog."""
-    catalog = views.catalog(spark, sf_dir)
+    catalog = search.searchable(views.catalog(spark, sf_dir))
     return Scratch(spark, "requests").put(corrected(views.requests(spark, sf_dir), catalog)), catalog
 
 
