@@ -260,7 +260,7 @@ def near_duplicates(docs: DataFrame, words: int = SHINGLE, radius: int = RADIUS,
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, words: int = DEDUP_WORDS, least: float = DEDUP_LEAST) -> DataFrame:
+def keep_one(docs: DataFrame, words: int = DEDUP_WORDS, least: float = DEDUP_LEAST, bucket_rows: int = jaccard.BUCKET_ROWS) -> DataFrame:
     """docs without near-duplicates: of each component the row of least doc_id stays, null last; of rows that are the same, one.
 
     Links are pairs whose sets of five-word shingles have a Jaccard similarity
@@ -274,7 +274,7 @@ def keep_one(docs: DataFrame, words: int = DEDUP_WORDS, least: float = DEDUP_LEA
     printed = jaccard.sketches(keyed_texts, words, ["doc_id", "row_hash"])
     lowest = F.min(F.struct("doc_id", "row_hash"))
     nodes = scratch.put(printed.groupBy("id").agg(lowest.alias("least"), *[F.first(c).alias(c) for c in ("keys", "x", "y", "n", "odd")]))
-    roots = jaccard.labels(nodes, keyed_texts, scratch, words, least)
+    roots = jaccard.labels(nodes, keyed_texts, scratch, words, least, bucket_rows)
     rooted = nodes.select("id", "least").join(roots.withColumnRenamed("node", "id"), "id", "left").select(F.coalesce("root", "id").alias("root"), "least")
     kept = scratch.put(rooted.groupBy("root").agg(F.min("least").alias("kept")).select(F.col("kept.doc_id").alias("kept_id"), F.col("kept.row_hash").alias("kept_hash")))
     # the caller's columns go by numbers meanwhile, so that no name of theirs meets one of the work

@@ -2,6 +2,8 @@
 
 import random
 
+import pytest
+
 from lodestone.llm import jaccard, simhash
 
 
@@ -30,18 +32,20 @@ def corpus(seed=5, pairs=40):
     return rows
 
 
-def test_links_as_brute_force(spark):
+@pytest.mark.parametrize("bucket_rows", [jaccard.BUCKET_ROWS, 2])
+def test_links_as_brute_force(spark, bucket_rows):
     rows = corpus()
     sets = [jaccard.shingles(t, 5) for t in rows]
     near = [jaccard.similarity(sets[i], sets[i + 1]) for i in range(0, len(rows), 2)]
     assert min(sum(x >= 0.8 for x in near[i : i + 40]) for i in (0, 40, 80)) >= 10 and sum(x < 0.8 for x in near) > 10
     docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
-    kept = {r["doc_id"] for r in simhash.keep_one(docs).collect()}
+    kept = {r["doc_id"] for r in simhash.keep_one(docs, bucket_rows=bucket_rows).collect()}
     wrong = [x for i, x in enumerate(near) if (2 * i + 1 in kept) != (x < 0.8)]
     assert not wrong
 
 
-def test_refused_forest_edges_are_tried_anew(spark):
+@pytest.mark.parametrize("bucket_rows", [jaccard.BUCKET_ROWS, 4])
+def test_refused_forest_edges_are_tried_anew(spark, bucket_rows):
     """A chain of texts, each near the one before only, in the way of forests that skip links."""
     rng = random.Random(3)
     words = [f"w{rng.randrange(10**6)}" for _ in range(300)]
@@ -49,7 +53,7 @@ def test_refused_forest_edges_are_tried_anew(spark):
     sets = [jaccard.shingles(t, 5) for t in rows]
     assert all(jaccard.similarity(a, b) >= 0.8 for a, b in zip(sets, sets[1:])) and jaccard.similarity(sets[0], sets[4]) < 0.8
     docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
-    assert [r["doc_id"] for r in simhash.keep_one(docs).collect()] == [0]
+    assert [r["doc_id"] for r in simhash.keep_one(docs, bucket_rows=bucket_rows).collect()] == [0]
 
 
 def test_large_group_that_is_not_near_enough(spark):
