@@ -228,11 +228,12 @@ picked AS (SELECT 'a' AS found, * FROM fallback_found UNION ALL SELECT 'b', * FR
 results AS MATERIALIZED (SELECT e.req_id, e.found, p.id, p.place, p.release_title FROM ends e JOIN picked p ON p.req_id = e.req_id AND p.found = e.found),
 to_check AS (SELECT r.req_id, r.id, c.title, f.artist, f.song FROM results r JOIN ends e USING (req_id) JOIN fixed f USING (req_id) JOIN catalog c ON c.id = r.id WHERE e.missing AND f.song <> '' AND f.artist <> ''), {_validated_ctes('to_check', 'good')},
 kept AS MATERIALIZED (SELECT req_id, id, release_title, CAST(row_number() OVER (PARTITION BY req_id ORDER BY place) AS INTEGER) AS rank FROM results r WHERE req_id NOT IN (SELECT req_id FROM good) OR (req_id, id) IN (SELECT (req_id, id) FROM good)), {_artwork_ctes('kept', 'art')},
-answer AS MATERIALIZED (SELECT f.req_id, k.rank, k.id, c.title, c.artist, a.release_id, a.album, a.release_artist, a.artwork_url, a.confidence,
- CASE WHEN e.found = 'c' THEN 'compilation' WHEN e.last = 'a' THEN CASE WHEN e.missing THEN 'fallback' ELSE 'direct' END WHEN e.last = 'b' THEN 'alternative' WHEN e.last = 'c' THEN 'compilation' WHEN e.last = 'd' THEN 'song_as_artist' ELSE 'none' END AS search_type,
- e.missing AND f.req_id NOT IN (SELECT req_id FROM good) AS song_not_found, coalesce(e.found = 'c', false) AS found_on_compilation,
- {_message_sql("coalesce(e.found = 'c', false)", '(e.missing AND f.req_id NOT IN (SELECT req_id FROM good))', '(k.id IS NOT NULL)', 'f.artist', 'f.song', 'f.album')} AS context, f.corrected_artist
- FROM fixed f JOIN ends e USING (req_id) LEFT JOIN kept k USING (req_id) LEFT JOIN catalog c ON c.id = k.id LEFT JOIN art a ON a.req_id = k.req_id AND a.id = k.id)"""
+told AS MATERIALIZED (SELECT f.*, e.found, e.last, e.missing AS fell, e.missing AND g.req_id IS NULL AS missing, coalesce(e.found = 'c', false) AS on_other FROM fixed f JOIN ends e USING (req_id) LEFT JOIN (SELECT DISTINCT req_id FROM good) g USING (req_id)),
+shown AS MATERIALIZED (SELECT a.*, c.title, c.artist FROM art a JOIN catalog c ON c.id = a.id), ranked AS MATERIALIZED (SELECT s.*, k.rank FROM kept k JOIN shown s ON s.req_id = k.req_id AND s.id = k.id),
+answer AS MATERIALIZED (SELECT t.req_id, k.rank, k.id, k.title, k.artist, k.release_id, k.album, k.release_artist, k.artwork_url, k.confidence,
+ CASE WHEN on_other THEN 'compilation' WHEN last = 'a' THEN CASE WHEN fell THEN 'fallback' ELSE 'direct' END WHEN last = 'b' THEN 'alternative' WHEN last = 'c' THEN 'compilation' WHEN last = 'd' THEN 'song_as_artist' ELSE 'none' END AS search_type,
+ missing AS song_not_found, on_other AS found_on_compilation, {_message_sql('on_other', 'missing', '(k.id IS NOT NULL)', 't.artist', 't.song', 't.album')} AS context, t.corrected_artist
+ FROM told t LEFT JOIN ranked k ON k.req_id = t.req_id)"""
 
 _FOUND = "SELECT req_id, id, place, release_title, fallback FROM"
 _KIND = "CASE WHEN req_id % 7 = 0 THEN 'track_on_compilation' WHEN req_id % 7 < 3 THEN 'artist_plus_album' WHEN req_id % 7 = 3 THEN 'swapped_interpretation' WHEN req_id % 7 = 4 THEN 'song_as_artist' END"
