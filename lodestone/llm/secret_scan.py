@@ -7,9 +7,13 @@ level, with elements as a key encoding has them; OpenSSH keys by their
 length-prefixed fields, and containers by cipher, key derivation, the number of
 keys, public keys that parse and a private part; signed tokens by a JSON header
 that names a registered algorithm, a JSON payload and a signature. A run of
-base64 is tried from each of its lines to each line's end, so that lines before
-and after a key do not hide it. Work is one pass over each row in Arrow batches;
-nothing is shuffled.
+base64 is tried from each of its lines, to the line's end that the encoding's own
+lengths name, so that lines before and after a key do not hide it; it is decoded
+once for each of the four places a line can start at, so that time grows with the
+run and not with its square. Sequences of integers are keys only with what keys
+have: an RSA modulus and exponent, or a version and the numbers of a private key;
+a signature's two numbers are not. Work is one pass over each row in Arrow
+batches; nothing is shuffled.
 
 Edge cases: null text is empty and has no spans; a very long text is searched
 whole, in memory that grows with it alone; spans of equal start and kind are
@@ -24,6 +28,7 @@ import binascii
 import hashlib
 import json
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -40,17 +45,26 @@ TOKEN = re.compile(r"(?<![A-Za-z0-9_-])(ey[A-Za-z0-9_-]{8,})\.([A-Za-z0-9_-]{2,}
 GAP = r"[\x20\t]*(?:(?:\\+r)?\\+n|\r?\n|\r)(?:[\x20\t]|\\+t)*"
 BASE64 = re.compile(rf"(?!(?<=\\)[nrt])[A-Za-z0-9+/]{{40,}}(?:{GAP}[A-Za-z0-9+/]+)*={{0,2}}")
 PIECE = re.compile(rf"([A-Za-z0-9+/]+)(={{0,2}})(?:{GAP})?")
-LONG_HEX = re.compile(r"(?:[0-9a-fA-F]{2}){32,}")
+LONG_HEX = re.compile(r"[0-9a-fA-F]{64,}")
 #: The order of kinds at equal starts.
 KINDS = ("assign", "access", "hex", "der", "ssh", "signed")
-#: A key in the alphabet for URLs; what starts otherwise is neither DER nor OpenSSH.
-URL_SAFE = re.compile(r"(?<![A-Za-z0-9_+/-])(?:M|AAAA|b3Bl)[A-Za-z0-9_-]{36,}={0,2}(?![A-Za-z0-9_+/-])")
+#: The same in the alphabet for URLs, from the start of a word.
+URL_SAFE = re.compile(rf"(?<![A-Za-z0-9+/_-])(?!(?<=\\)[nrt])[A-Za-z0-9_-]{{40,}}(?:{GAP}[A-Za-z0-9_-]+)*={{0,2}}(?![A-Za-z0-9+/_-])")
+URL_PIECE = re.compile(rf"([A-Za-z0-9_-]+)(={{0,2}})(?:{GAP})?")
+TO_PLAIN = str.maketrans("-_", "+/")
 #: Registered algorithms of signed tokens. Fixed values.
 SIGNING = frozenset("HS256 HS384 HS512 RS256 RS384 RS512 ES256 ES384 ES512 ES256K PS256 PS384 PS512 EdDSA Ed25519 Ed448 none".split())
 #: Levels of DER that are followed.
 DEPTH = 16
 SSH_CONTAINER = b"openssh-key-v1\0"
-SSH_NAMES = (b"ssh-", b"ecdsa-sha2-", b"sk-ssh-", b"sk-ecdsa-")
+#: How many fields the public keys of OpenSSH have, their name included. Fixed values.
+SSH_FIELDS = {
+    b"ssh-rsa": 3, b"ssh-dss": 5, b"ssh-ed25519": 2, b"ssh-ed448": 2,
+    b"ecdsa-sha2-nistp256": 3, b"ecdsa-sha2-nistp384": 3, b"ecdsa-sha2-nistp521": 3,
+    b"sk-ssh-ed25519@openssh.com": 3, b"sk-ecdsa-sha2-nistp256@openssh.com": 4,
+}
+#: Bits of the least modulus that a key has.
+MODULUS_BITS = 512
 
 
 def _der_length(data: bytes, at: int) -> tuple[int, int] | None:
@@ -84,13 +98,22 @@ def der_elements(data: bytes, at: int, end: int, depth: int = DEPTH) -> list[tup
     return out
 
 
+def _is_number_key(numbers: list[bytes]) -> bool:
+    """Whether the integers of a sequence are those of an RSA key or a DSA private key."""
+    values = [int.from_bytes(x, "big", signed=True) for x in numbers]
+    if len(values) == 2:
+        modulus, exponent = values
+        return modulus.bit_length() >= MODULUS_BITS and modulus > 0 and modulus % 2 == 1 and exponent > 1 and exponent % 2 == 1
+    return len(values) in (6, 9) and values[0] == 0 and all(x > 0 for x in values[1:]) and values[1].bit_length() >= MODULUS_BITS
+
+
 def is_der_key(data: bytes) -> bool:
-    """A sequence that is all of the data, of integers, or an integer and a string, or a named algorithm and a string, perhaps after a version."""
+    """A sequence that is all of the data, of a key's integers, or an integer and a string, or a named algorithm and a string, perhaps after a version."""
     if len(data) < 24 or data[0] != 0x30 or not (head := _der_length(data, 1)) or sum(head) != len(data) or not (inner := der_elements(data, head[1], len(data))):
         return False
     tags = [t for t, _, _ in inner]
-    if len(tags) >= 2 and set(tags) == {0x02}:
-        return True
+    if set(tags) == {0x02}:
+        return len(tags) <= 9 and _is_number_key([bytes(data[a:b]) for _, a, b in inner])
     rest = inner[1:] if tags[0] == 0x02 else inner
     tags = [t for t, _, _ in rest]
     if tags[:1] == [0x04]:
@@ -98,40 +121,59 @@ def is_der_key(data: bytes) -> bool:
     return tags[:1] == [0x30] and data[rest[0][1]] == 0x06 and tags[1:2] in ([0x03], [0x04]) and set(tags[2:]) <= {0xA0, 0xA1, 0x81}
 
 
-def _fields(data: bytes, at: int = 0) -> Iterator[tuple[bytes, int]]:
-    """Fields with 4-byte lengths and where each ends, as long as they fit."""
-    while at + 4 <= len(data) and (n := int.from_bytes(data[at : at + 4], "big")) <= len(data) - at - 4:
-        at += 4 + n
-        yield data[at - n : at], at
+def _field(data: bytes, at: int, end: int) -> int | None:
+    """Where the field with a 4-byte length at `at` ends, if that is within the data."""
+    if at + 4 > end:
+        return None
+    to = at + 4 + int.from_bytes(data[at : at + 4], "big")
+    return to if to <= end else None
 
 
-def is_ssh_key(data: bytes) -> bool:
-    """An OpenSSH container, or fields with 4-byte lengths that fill the data, the first a key type's name."""
-    return len(data) in (_container_ends(data) if data.startswith(SSH_CONTAINER) else _ssh_ends(data))
+def _public_end(data: bytes, at: int, end: int) -> int | None:
+    """Where a public key of OpenSSH that starts at `at` ends: as many fields as its name asks for, none empty."""
+    if (to := _field(data, at, end)) is None or not (n := SSH_FIELDS.get(bytes(data[at + 4 : min(to, at + 64)]))):
+        return None
+    for _ in range(n - 1):
+        at, to = to, _field(data, to, end)
+        if to is None or to == at + 4:
+            return None
+    return to
 
 
-def _ssh_ends(data: bytes) -> set[int]:
-    """Lengths at which the data, cut there, is a key of fields, the first a key type's name."""
-    fields = list(_fields(data))
-    return {end for _, end in fields[1:]} if fields and fields[0][0].startswith(SSH_NAMES) else set()
+def _container_end(data: bytes, at: int, end: int) -> int | None:
+    """Where the container that starts at `at` ends: cipher, key derivation and its options, a number of keys, so many public ones that parse, and a private part."""
+    at, head = at + len(SSH_CONTAINER), []
+    for _ in range(3):
+        if (to := _field(data, at, end)) is None:
+            return None
+        head.append(bytes(data[at + 4 : to]))
+        at = to
+    cipher, way, options = head
+    if not (cipher and way and cipher.isascii() and way.isascii()) or (cipher == b"none") != (way == b"none") or (way == b"none") != (not options):
+        return None
+    n, at = int.from_bytes(data[at : at + 4], "big"), at + 4
+    for _ in range(n):
+        if (to := _field(data, at, end)) is None or _public_end(data, at + 4, to) != to:
+            return None
+        at = to
+    to = _field(data, at, end)
+    return to if n and to is not None and to > at + 4 else None
 
 
-def _container_ends(data: bytes) -> set[int]:
-    """Where the container ends: cipher, key derivation and its options, a number of keys, so many public ones that parse, and a private part."""
-    head = list(zip(range(3), _fields(data, len(SSH_CONTAINER))))
-    if len(head) < 3:
-        return set()
-    cipher, way, options = (f for _, (f, _) in head)
-    if not (cipher and way and cipher.isascii() and way.isascii()) or (cipher == b"none") != (way == b"none") or (way == b"none") != (not options):
-        return set()
-    at = head[-1][1][1]
-    n = int.from_bytes(data[at : at + 4], "big")
-    for k, (field, end) in enumerate(_fields(data, at + 4)):
-        if k == n:
-            return {end} if n and field else set()
-        if len(field) not in _ssh_ends(field):
-            return set()
-    return set()
+def _key_end(data: bytes, at: int) -> tuple[int, int] | None:
+    """The rank of the kind of key that starts at `at`, by its first bytes, and where its own lengths say that it ends."""
+    end = len(data)
+    if data[at : at + 1] == b"\x30":
+        return (3, sum(size)) if (size := _der_length(data, at + 1)) and sum(size) <= end else None
+    if data[at : at + len(SSH_CONTAINER)] == SSH_CONTAINER:
+        return (4, to) if (to := _container_end(data, at, end)) else None
+    return (4, to) if (to := _public_end(data, at, end)) else None
+
+
+def is_ssh_key(data: bytes) -> bool:
+    """An OpenSSH container, or a public key's fields, that fill the data."""
+    found = _key_end(data, 0)
+    return found == (4, len(data))
 
 
 def _bytes(letters: str) -> bytes:
@@ -140,36 +182,33 @@ def _bytes(letters: str) -> bytes:
     return base64.b64decode(letters + "=" * (-len(letters) % 4))
 
 
-def _encoded(text: str, a: int, b: int) -> Iterator[tuple[int, int, int]]:
-    """Spans of keys in a run of base64: from the start of a line of 40 letters to the end of a line, the longest that parses."""
-    pieces = list(PIECE.finditer(text, a, b))
-    letters = "".join(p[1] for p in pieces)
+def _encoded(text: str, a: int, b: int, piece: re.Pattern = PIECE) -> Iterator[tuple[int, int, int]]:
+    """Spans of keys in a run of base64: from the start of a line of 40 letters to the end of the line where the key ends."""
+    pieces = list(piece.finditer(text, a, b))
+    letters = "".join(p[1] for p in pieces).translate(TO_PLAIN)
     starts = [0]
     for p in pieces:
         starts.append(starts[-1] + len(p[1]))
+    # the run's bytes, read from each of the four places in a group of letters
+    read: dict[int, bytes] = {}
     first = 0
     while first < len(pieces):
-        at, i, found = starts[first], first, None
+        i, at = first, starts[first]
         first += 1
-        head = _bytes(letters[at : at + 40]) if len(pieces[i][1]) >= 40 else b""
-        # letters up to the end of each line, in bytes
-        ends = lambda: {n * 3 // 4: j for j in range(i, len(pieces)) if (n := starts[j + 1] - at) % 4 != 1}  # noqa: B023, E731
-        if head[:1] == b"\x30" and (size := _der_length(head, 1)):
-            total = sum(size)
-            j = ends().get(total) if total * 4 // 3 <= len(letters) - at else None
-            if j is not None and is_der_key(_bytes(letters[at : starts[j + 1]])):
-                found = (3, j)
-        elif head.startswith(SSH_CONTAINER):
-            here, data = ends(), _bytes(letters[at:])
-            if cuts := [here[n] for n in _container_ends(data) if n in here]:
-                found = (4, max(cuts))
-        elif head[4:].startswith(SSH_NAMES):
-            here = ends()
-            if cuts := [here[n] for n in _ssh_ends(_bytes(letters[at:])) if n in here]:
-                found = (4, max(cuts))
-        if found:
-            yield pieces[i].start(), found[0], pieces[found[1]].end(2)
-            first = found[1] + 1
+        if len(pieces[i][1]) < 40 or letters[at] != "M" and not letters.startswith(("AAAA", "b3Bl"), at):
+            continue  # starts no key
+        data = read.get(at % 4)
+        if data is None:
+            data = read[at % 4] = _bytes(letters[at % 4 :])
+        origin = at // 4 * 3
+        if not (found := _key_end(data, origin)):
+            continue
+        rank, end = found
+        # so many letters write so many bytes
+        j = bisect_left(starts, at + -(-(end - origin) * 4 // 3), i + 1)
+        if j < len(starts) and starts[j] == at + -(-(end - origin) * 4 // 3) and (rank == 4 or is_der_key(data[origin:end])):
+            yield pieces[i].start(), rank, pieces[j - 1].end(2)
+            first = j
 
 
 def _json(part: str) -> object:
@@ -199,14 +238,17 @@ def find_spans(text: str) -> list[tuple[int, int, str]]:
     spans += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
     for m in BASE64.finditer(text):
         spans += _encoded(text, m.start(), m.end())
-    for m in URL_SAFE.finditer(text):
-        letters = m[0].rstrip("=")
-        # without these two letters it is like any base64
-        if ("-" in letters or "_" in letters) and len(letters) % 4 != 1 and (kind := _key_kind(_bytes(letters.replace("-", "+").replace("_", "/")))):
-            spans.append((m.start(), kind, m.end()))
+    if "-" in text or "_" in text:
+        for m in URL_SAFE.finditer(text):
+            # without these two letters it is like any base64
+            if "-" in m[0] or "_" in m[0]:
+                spans += _encoded(text, m.start(), m.end(), URL_PIECE)
     for m in LONG_HEX.finditer(text):
-        if kind := _key_kind(bytes.fromhex(m[0])):
-            spans.append((m.start(), kind, m.end()))
+        # a stray digit may stand before the key or after it
+        for at in (0, 1):
+            end = len(m[0]) - (len(m[0]) - at) % 2
+            if kind := _key_kind(bytes.fromhex(m[0][at:end])):
+                spans.append((m.start() + at, kind, m.start() + end))
     if "ey" in text and "." in text:
         spans += [(m.start(), 5, m.end()) for m in TOKEN.finditer(text) if is_signed_token(m[1], m[2], m[3])]
     return sorted(set(spans))

@@ -257,7 +257,7 @@ def test_classifier(spark, empty):
 def test_secrets(spark, docs, empty):
     import base64
 
-    der = bytes([0x30, 0x26, 0x02, 0x10, *range(16), 0x02, 0x12, *range(18)])
+    der = bytes([0x30, 0x48, 0x02, 0x41, 0x00, 0xC1, *range(1, 64), 0x02, 0x03, 1, 0, 1])
     ssh = b"".join(len(x).to_bytes(4, "big") + x for x in (b"ssh-ed25519", bytes(range(32))))
     head = base64.urlsafe_b64encode(b'{"alg":"HS256","typ":"JWT"}').decode().rstrip("=")
     texts = [
