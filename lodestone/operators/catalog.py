@@ -59,7 +59,7 @@ def _by_rarest(queries: DataFrame, units: str, rows: DataFrame, row_units: Colum
 
 def is_plain(query: Column) -> Column:
     """Words alone, none of them an operator: what full text takes as all-of."""
-    return query.rlike(r"^[\w\s\u0080-￿]+$") & ~query.rlike(r"(^|\s)(AND|OR|NOT|NEAR)(\s|$)")
+    return query.rlike(r"^[\w\s\x{80}-\x{10ffff}]+$") & ~query.rlike(r"(^|\s)(AND|OR|NOT|NEAR)(\s|$)")
 
 
 def _tokens_in(columns: tuple[str, ...]) -> Column:
@@ -200,11 +200,15 @@ def searchable(catalog: DataFrame) -> DataFrame:
     return Scratch(catalog.sparkSession, "texts").put(texts_of(catalog, FUZZY_ROWS))
 
 
-def search(queries: DataFrame, catalog: DataFrame, k: int) -> DataFrame:
-    """(query, id, rank, tier): full text, else all words, else fuzzy; each tier sees what the one before left."""
+def search(queries: DataFrame, catalog: DataFrame, k: int, kept=None) -> DataFrame:
+    """(query, id, rank, tier): full text, else all words, else fuzzy; each tier sees what the one before left.
+
+    With a kept index full text takes query strings of the whole grammar.
+    """
     scratch, texts = Scratch(queries.sparkSession, "search"), searchable(catalog)
     queries = queries.select("query").distinct()
-    one = scratch.put(full_text(queries, catalog, k, texts=texts))  # read by the next tier and by the result
+    # read by the next tier and by the result
+    one = scratch.put(full_text(queries, catalog, k, texts=texts) if kept is None else kept.match(queries, k, scratch))
     left = queries.join(one.select("query").distinct(), "query", "left_anti")
     two = scratch.put(all_words(left, catalog, k, texts))
     three = fuzzy(left.join(two.select("query").distinct(), "query", "left_anti"), catalog, k, texts=texts).drop("score")

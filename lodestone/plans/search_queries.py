@@ -161,9 +161,9 @@ def _from(sql: str, source: str) -> str:
     return sql.replace("{source}", source)
 
 
-def cascade_sql(source: str) -> str:
-    """CTEs that end with hits (query, id, rank, tier) for the queries in source."""
-    return f"""{_from(_FTS, source)}, r1 AS (SELECT query FROM {source} WHERE query NOT IN (SELECT query FROM fts)), {_from(_LIKE_WORDS, 'r1')},
+def cascade_sql(source: str, first: str | None = _FTS) -> str:
+    """CTEs that end with hits (query, id, rank, tier) for the queries in source; first makes fts, unless it is made already."""
+    return f"""{_from(first, source) + ", " if first else ""}r1 AS (SELECT query FROM {source} WHERE query NOT IN (SELECT query FROM fts)), {_from(_LIKE_WORDS, 'r1')},
 r2 AS (SELECT query FROM r1 WHERE query NOT IN (SELECT query FROM likes)), {_from(_FUZZY, 'r2')},
 hits AS MATERIALIZED (SELECT * FROM (SELECT query, id, CAST(row_number() OVER (PARTITION BY query ORDER BY id) AS INTEGER) AS rank, 1 AS tier FROM fts UNION ALL SELECT query, id, CAST(row_number() OVER (PARTITION BY query ORDER BY id) AS INTEGER), 2 FROM likes
  UNION ALL SELECT query, id, CAST(row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS INTEGER), 3 FROM fuz) WHERE rank <= 5)"""

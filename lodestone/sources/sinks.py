@@ -7,19 +7,14 @@ import uuid
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.operators.index import build
 from lodestone.operators.releases import upsert
 
 NEEDED = {"id", "title", "artist"}
 
 
-def replace_catalog(new: DataFrame, path: str) -> DataFrame:
-    """Writes new beside path, counts it, and then puts it in path's place: (status, row_count, finished)."""
-    if missing := NEEDED - set(new.columns):
-        raise ValueError(f"a catalog needs the columns {sorted(missing)}")
-    spark = new.sparkSession
-    beside = f"{path}.{uuid.uuid4().hex}"
-    new.write.parquet(beside)
-    n = spark.read.parquet(beside).count()
+def _swap(spark, beside: str, path: str) -> None:
+    """Puts beside in path's place; what was there is put back if that fails."""
     jvm = spark._jvm
     target, made = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(beside)
     fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
@@ -32,6 +27,23 @@ def replace_catalog(new: DataFrame, path: str) -> DataFrame:
             raise OSError(f"the old catalog is in {before}, the new one in {beside}")
         raise OSError(f"{path} could not be replaced; the new catalog is in {beside}")
     fs.delete(before, True)
+
+
+def replace_catalog(new: DataFrame, path: str, indexed: bool = False) -> DataFrame:
+    """Writes new beside path, counts it, and then puts it in path's place: (status, row_count, finished).
+
+    If indexed, path holds the folders catalog and index, which are replaced together.
+    """
+    if missing := NEEDED - set(new.columns):
+        raise ValueError(f"a catalog needs the columns {sorted(missing)}")
+    spark = new.sparkSession
+    beside = f"{path}.{uuid.uuid4().hex}"
+    rows = f"{beside}/catalog" if indexed else beside
+    new.write.parquet(rows)
+    n = spark.read.parquet(rows).count()
+    if indexed:
+        build(spark.read.parquet(rows), f"{beside}/index")
+    _swap(spark, beside, path)
     return spark.range(1).select(F.lit("ok").alias("status"), F.lit(n).alias("row_count"), F.current_timestamp().alias("finished"))
 
 
