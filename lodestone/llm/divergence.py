@@ -39,7 +39,9 @@ from lodestone.llm.common import Scratch, arrow_schema, record_batch
 LEAST_DOCS, TOP = 10, 10
 SCALE = 1_000_000_000
 #: Bytes of text looked at together; entries a task sums; entries of a shard; sources in a block.
-BLOCK_BYTES, TABLE_ROWS, SHARD_ROWS, BLOCK = 4 << 20, 500_000, 1 << 18, 256
+BLOCK_BYTES, TABLE_ROWS, SHARD_ROWS, BLOCK = 8 << 20, 1_000_000, 1 << 18, 256
+#: A task's occurrences and texts of a term are one number, texts from this bit on.
+TEXTS_AT = 40
 _BYTES = np.arange(256)
 IS_UPPER = (_BYTES >= 0x41) & (_BYTES <= 0x5A)
 IS_TERM = IS_UPPER | (_BYTES >= 0x61) & (_BYTES <= 0x7A) | (_BYTES >= 0x80)
@@ -64,7 +66,7 @@ def boundaries(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
 def group_slices(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, digest: Callable = xxhash.xxh64_intdigest) -> tuple[np.ndarray, np.ndarray]:
     """The group of each slice and the slice that stands for each group; slices of a group are the same bytes."""
     view = memoryview(np.ascontiguousarray(data))
-    hashes = np.fromiter((digest(view[a:b]) for a, b in zip(starts.tolist(), ends.tolist())), np.uint64, len(starts))
+    hashes = np.fromiter(map(digest, map(view.__getitem__, map(slice, starts.tolist(), ends.tolist()))), np.uint64, len(starts))
     _, stands, group = np.unique(hashes, return_index=True, return_inverse=True)
     size = ends - starts
     odd = size != size[stands[group]]
@@ -110,9 +112,10 @@ def count_terms(batch: pa.RecordBatch) -> Iterator[tuple[tuple[str, str], list[b
         if len(starts):
             term, stands = group_slices(block, starts, ends)
             n = len(stands)
-            pairs, counts = np.unique(of_row[row:end][at] * n + term, return_counts=True)
-            in_text = np.unique(at * n + term)
-            _, docs = np.unique(of_row[row:end][in_text // n] * n + in_text % n, return_counts=True)
+            in_text, times = np.unique(at * n + term, return_counts=True)
+            pairs, back = np.unique(of_row[row:end][in_text // n] * n + in_text % n, return_inverse=True)
+            docs = np.bincount(back)
+            counts = np.bincount(back, times).astype(np.int64)
             view = memoryview(block)
             a, b = starts[stands].tolist(), ends[stands].tolist()
             cut = np.flatnonzero(np.diff(pairs // n)) + 1
@@ -127,30 +130,28 @@ def counted(docs: DataFrame) -> DataFrame:
     kinds = arrow_schema(docs.sparkSession, schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table: dict[tuple[str, str], dict[bytes, list[int]]] = {}
+        table: dict[tuple[str, str], dict[bytes, int]] = {}
         held = 0
         for batch in batches:
             for g in zip(batch.column("lang").to_pylist(), batch.column("source").to_pylist()):
-                table.setdefault(g, {b"": [0, 0]})
+                table.setdefault(g, {b"": 0})
             for group, terms, ns, ds in count_terms(batch):
                 own = table[group]
                 held -= len(own)
+                get = own.get
                 for t, n, d in zip(terms, ns, ds):
-                    if (was := own.get(t)) is None:
-                        own[t] = [n, d]
-                    else:
-                        was[0] += n
-                        was[1] += d
+                    own[t] = get(t, 0) + n + (d << TEXTS_AT)
                 held += len(own)
                 if held > TABLE_ROWS:
                     yield from flush(table)
-                    table, held = {g: {b"": [0, 0]} for g in table}, 0
+                    table, held = {g: {b"": 0} for g in table}, 0
         yield from flush(table)
 
     def flush(table: dict) -> Iterator[pa.RecordBatch]:
         for (lang, source), own in table.items():
-            n = len(own)
-            yield record_batch({"lang": [lang] * n, "source": [source] * n, "term": pa.array(own, pa.binary()).cast(pa.string()), "n": [x[0] for x in own.values()], "d": [x[1] for x in own.values()]}, kinds)
+            both = np.fromiter(own.values(), np.int64, len(own))
+            same = lambda x: pa.DictionaryArray.from_arrays(np.zeros(len(own), np.int32), pa.array([x], pa.string())).cast(pa.string())  # noqa: B023, E731
+            yield record_batch({"lang": same(lang), "source": same(source), "term": pa.array(own, pa.binary()).cast(pa.string()), "n": both & (1 << TEXTS_AT) - 1, "d": both >> TEXTS_AT}, kinds)
 
     named = docs.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source", "text")])
     return named.mapInArrow(run, schema)
