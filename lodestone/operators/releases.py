@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions.similarity import trigram_similarity, trigrams
-from lodestone.functions.text import artist_and_album, confidence, image_or_null, without_suffix
+from lodestone.functions.text import artist_and_album, confidence, image_or_null, is_compilation, tokens, without_suffix
 from lodestone.operators.catalog import full_text, holders
 from lodestone.operators.ranking import keep_first, top_k
 from lodestone.sources.scratch import Scratch
@@ -166,6 +166,73 @@ def supplemented(first: DataFrame, second: DataFrame, key: str, k: int, least: i
     return first_by_title(both, [key], [F.col("way"), F.col("place")], k).select(key, *_REMOTE)
 
 
+def _key(*columns: str) -> Column:
+    """A text for values of which some may be null."""
+    return F.to_json(F.struct(*columns), {"ignoreNullFields": "false"})
+
+
+def _words(*columns: str) -> Column:
+    """The full-text tokens of columns as a plain query."""
+    return F.array_join(tokens(F.concat_ws(" ", *columns)), " ")
+
+
+def by_track_tiers(asked: DataFrame, store: Store, k: int = 20, least: int = 3) -> DataFrame:
+    """by_track's rows with their source: store, or, for those it has nothing for, remote.
+
+    The remote search is strict, by track and artist; where that gives fewer
+    than `least`, one for all their words follows, without albums given before.
+    """
+    scratch = Scratch(asked.sparkSession, "track_tiers")
+    found = by_track(asked, store, k).withColumn("source", F.lit("store"))
+    if getattr(store, "remote", None) is None:
+        return found
+    found = scratch.put(found)
+    key = _key("track", "artist")
+    open_ = asked.where("track <> ''").select("track", "artist").distinct().withColumn("req_id", key)
+    left = scratch.put(open_.join(found.select(key.alias("req_id")).distinct(), "req_id", "left_anti"))
+    fields = left.select("req_id", F.nullif("artist", F.lit("")).alias("artist"), F.lit(None).cast("string").alias("album"), "track")
+    strict = scratch.put(strict_search(fields, store.remote, store.track, k))
+    enough = strict.groupBy("req_id").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("req_id")
+    words = scratch.put(left.join(enough, "req_id", "left_anti").select("req_id", _words("track", "artist").alias("query")).where("query <> ''"))
+    more = words.join(keyword_search(words, store.remote, k), "query").drop("query")
+    both = supplemented(strict, scratch.put(more), "req_id", k, least).withColumnRenamed("artist", "artist_name")
+    rows = left.join(both, "req_id").select("track", "artist", F.col("id").alias("release_id"), F.col("album").alias("title"), "artist_name", is_compilation(F.col("artist_name")).alias("is_compilation"), F.lit(None).cast(found.schema["sim"].dataType).alias("sim"), "rank", F.lit("remote").alias("source"))
+    return found.unionByName(rows)
+
+
+def search_tiers(asked: DataFrame, store: Store, k: int = 5) -> DataFrame:
+    """search's rows with their source: store, or, for requests it has nothing for, remote.
+
+    The remote search is strict, by artist and album; where that gives nothing
+    at all, one for all their words.
+    """
+    scratch = Scratch(asked.sparkSession, "search_tiers")
+    found = search(asked, store.release, store.artist, k).withColumn("source", F.lit("store"))
+    if getattr(store, "remote", None) is None:
+        return found
+    found = scratch.put(found)
+    left = scratch.put(asked.select("req_id", "artist", "album").join(found.select("req_id").distinct(), "req_id", "left_anti"))
+    strict = scratch.put(strict_search(left.withColumn("track", F.lit(None).cast("string")), store.remote, store.track, k))
+    words = scratch.put(left.join(strict.select("req_id").distinct(), "req_id", "left_anti").select("req_id", _words("artist", "album").alias("query")).where("query <> ''"))
+    more = words.join(keyword_search(words, store.remote, k), "query").drop("query")
+    rows = left.join(strict.unionByName(more).withColumnRenamed("artist", "artist_name").withColumnRenamed("album", "title"), "req_id")
+    sure = rows.withColumn("confidence", confidence(F.col("artist"), F.col("album"), F.col("artist_name"), F.col("title"))).withColumnRenamed("rank", "place")
+    ranked = top_k(sure, ["req_id"], [F.desc("confidence"), F.col("place")], k)
+    remote = ranked.select("req_id", F.col("id").alias("release_id"), "title", "artist_name", F.col("thumb").alias("artwork_url"), F.lit(None).cast(found.schema["score"].dataType).alias("score"), "confidence", "rank", F.lit("remote").alias("source"))
+    return found.unionByName(remote)
+
+
+def known_documents(store: Store, ids: DataFrame) -> DataFrame:
+    """(release_id, artist, tracklist) of ids (release_id): the store's, or else the remote documents'."""
+    own = documents(store, ids)
+    whole = lambda docs: docs.select("release_id", "artist", F.transform("tracklist", lambda t: F.struct(t["title"].alias("title"), t["artists"].alias("artists"))).alias("tracklist"))
+    if getattr(store, "remote_documents", None) is None:
+        return whole(own)
+    there = store.release.select(F.col("id").alias("release_id"))
+    missing = ids.select("release_id").distinct().join(there, "release_id", "left_anti")
+    return whole(own).unionByName(whole(keep_first(store.remote_documents, ["release_id"], [F.col("title")])).join(missing, "release_id", "left_semi"))
+
+
 def documents(store: Store, ids: DataFrame | None = None) -> DataFrame:
     """Each release, or each of ids (release_id), with its first artist, its images and its tracks in order, each with its artists."""
     some = (lambda rows: rows) if ids is None else (lambda rows: rows.join(ids.select("release_id").distinct(), "release_id", "left_semi"))
@@ -212,8 +279,8 @@ def validate(asked: DataFrame, docs: DataFrame) -> DataFrame:
 def releases_of_track(asked: DataFrame, store: Store, k: int = 20) -> DataFrame:
     """(track, artist, release_id, title, artist_name, rank) of by_track's releases; with an artist only those that have the track by that artist."""
     scratch = Scratch(asked.sparkSession, "of_track")
-    found = scratch.put(by_track(asked, store, k))
-    judged = validate(found.where("artist IS NOT NULL").select("release_id", "track", "artist").distinct(), documents(store, found.where("artist IS NOT NULL").select("release_id")))
+    found = scratch.put(by_track_tiers(asked, store, k))
+    judged = validate(found.where("artist IS NOT NULL").select("release_id", "track", "artist").distinct(), known_documents(store, found.where("artist IS NOT NULL").select("release_id")))
     good = judged.where("valid").drop("valid")
     kept = found.where("artist IS NULL").unionByName(found.join(good, ["release_id", "track", "artist"], "left_semi"))
     return kept.select("track", "artist", "release_id", "title", "artist_name", "rank")

@@ -146,7 +146,7 @@ def song_as_artist(requests: DataFrame, catalog: DataFrame, store: Store, k: int
     direct = scratch.put(_named(asked.join(found, "query"), catalog).where(starts_with(F.col("known"), F.col("query"))))
     left = scratch.put(asked.join(direct.select("req_id").distinct(), "req_id", "left_anti").withColumnRenamed("query", "song"))
     names = left.select(F.col("song").alias("req_id"), F.col("song").alias("artist"), _none().alias("album")).distinct()
-    on = releases.search(names, store.release, store.artist, ARTIST_RELEASES).where("title <> ''")
+    on = releases.search_tiers(names, store, ARTIST_RELEASES).where("title <> ''")
     albums = scratch.put(on.select(F.col("req_id").alias("song"), F.col("rank").alias("step"), F.col("title").alias("query")))
     in_catalog = catalog_search.search(albums.select("query"), catalog, k).select("query", "id", F.col("rank").alias("found"))
     rows = _named(left.join(albums, "song").join(in_catalog, "query"), catalog)
@@ -160,7 +160,7 @@ def first_releases(pairs: DataFrame, store: Store, k: int = K) -> DataFrame:
     """(artist, album, release_id, title, artist_name, artwork_url, confidence): the release found first for each distinct (artist, album), null for nothing asked."""
     key = F.to_json(F.struct("artist", "album"))
     asked = pairs.select("artist", "album").distinct().withColumn("req_id", key).withColumn("track", _none())
-    best = releases.search(releases.searchable(asked), store.release, store.artist, k).where("rank = 1").drop("rank", "score")
+    best = releases.search_tiers(releases.searchable(asked), store, k).where("rank = 1").drop("rank", "score", "source")
     return asked.select("req_id", "artist", "album").join(best, "req_id").drop("req_id")
 
 
@@ -175,7 +175,7 @@ def validated(rows: DataFrame, requests: DataFrame, catalog: DataFrame, store: S
     items = scratch.put(_named(rows.select("req_id", "id").join(asked, "req_id"), catalog.select("id", "artist", "title")))
     found = first_releases(items.select("artist", F.col("title").alias("album")), store).select(F.col("artist").alias("f_artist"), F.col("album").alias("f_album"), "release_id")
     checked = scratch.put(items.join(found, _on_pair("artist", "title")).select("req_id", "id", "release_id", F.col("song").alias("track"), "artist"))
-    judged = releases.validate(checked.select("release_id", "track", "artist").distinct(), releases.documents(store, checked.select("release_id"))).where("valid")
+    judged = releases.validate(checked.select("release_id", "track", "artist").distinct(), releases.known_documents(store, checked.select("release_id"))).where("valid")
     return checked.join(judged, ["release_id", "track", "artist"], "left_semi").select("req_id", "id")
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lodestone.functions.text import COMPILATION_KEYWORDS
 from lodestone.operators import events, releases
 from lodestone.plans.scalar_queries import similarity_sql
 from lodestone.sources import sinks, views
@@ -102,6 +103,32 @@ def remote_supplement(spark, sf_dir):
     return releases.supplemented(first, scratch.put(second), "req_id", K)
 
 
+def _with_remote(spark, sf_dir):
+    """The store's even releases, and all of them in the remote search."""
+    store = views.store(spark, sf_dir)
+    return views.Tiered.of(store._replace(release=store.release.where("id % 2 = 0"), artist=store.artist.where("release_id % 2 = 0")), _remote(spark, sf_dir))
+
+
+def _hard(spark, sf_dir):
+    """Titles by artists, by an artist's number alone, which is like no artist of the store, and artists as tracks."""
+    c, number = views.catalog(spark, sf_dir), F.regexp_extract("artist", "[0-9]+$", 0)
+    asked = F.array(*[F.struct(t.alias("track"), a.alias("artist")) for t, a in ((F.col("title"), F.col("artist")), (F.col("title"), number), (F.col("artist"), number), (F.col("artist"), _no()))])
+    return c.select(F.explode(asked).alias("x")).select("x.*").distinct()
+
+
+def releases_by_track_tiers(spark, sf_dir):
+    """Releases by track from the store or else from the remote search, strict and then by words."""
+    found = releases.by_track_tiers(_hard(spark, sf_dir), _with_remote(spark, sf_dir), 10)
+    return found.select("track", "artist", "release_id", "title", "artist_name", "is_compilation", F.round("sim", 6).alias("sim"), "rank", "source")
+
+
+def release_search_tiers(spark, sf_dir):
+    """Releases from the store or else from the remote search."""
+    asked = _hard(spark, sf_dir).select(F.concat_ws("|", "track", F.coalesce("artist", F.lit("-"))).alias("req_id"), F.nullif("artist", F.lit("")).alias("artist"), F.when(F.col("artist").rlike("^[0-9]*$") & ~F.col("track").contains("#"), F.concat_ws("", F.substring("track", 1, 1), F.lit("zq"))).otherwise(F.substring_index("track", "#", -1)).alias("album"))
+    found = releases.search_tiers(releases.searchable(asked.withColumn("track", _no())), _with_remote(spark, sf_dir), K)
+    return found.select("req_id", "release_id", "title", "artist_name", "artwork_url", F.round("score", 6).alias("score"), "confidence", "rank", "source")
+
+
 def release_nested(spark, sf_dir):
     docs = releases.documents(views.store(spark, sf_dir))
     shown = F.array_join(F.transform("tracklist", lambda t: F.concat_ws("|", t["sequence"].cast("string"), t["title"], t["duration"], F.array_join(t["artists"], "&"))), ";")
@@ -159,7 +186,7 @@ def _events(function):
     return query
 
 
-QUERIES = {f.__name__: f for f in (releases_by_track, releases_by_track_artist, releases_for_track, release_search_album, release_search_artist, release_search_both, search_guard, remote_rows, remote_keywords, remote_strict, remote_supplement, release_nested, validate_track, fallback_images, upsert_release, insert_if_absent, upsert_cached, telemetry, replace_children)} | {
+QUERIES = {f.__name__: f for f in (releases_by_track, releases_by_track_artist, releases_for_track, release_search_album, release_search_artist, release_search_both, search_guard, remote_rows, remote_keywords, remote_strict, remote_supplement, releases_by_track_tiers, release_search_tiers, release_nested, validate_track, fallback_images, upsert_release, insert_if_absent, upsert_cached, telemetry, replace_children)} | {
     "counters": _events(events.counters),
     "health_rollup": _events(events.health),
     "ttl_cache_hits": _events(events.cache_hits),
@@ -250,7 +277,38 @@ sm AS (SELECT s.artist AS qa, s.album AS qb, s.track AS qt, l.id, l.artist, l.al
 so AS ({_albums_once('sm', 'qa, qb, qt', 'id')}),
 strict AS (SELECT req_id, so.id, so.artist, so.album, so.thumb, rank FROM fields f JOIN so ON f.artist IS NOT DISTINCT FROM qa AND f.album IS NOT DISTINCT FROM qb AND f.track IS NOT DISTINCT FROM qt)"""
 
+_HARD = "hard AS (SELECT DISTINCT unnest([title, title, artist, artist]) AS track, unnest([artist, regexp_extract(artist, '[0-9]+$'), regexp_extract(artist, '[0-9]+$'), NULL]) AS artist FROM catalog)"
+#: The views with the store's even releases alone, and the remote search's rows of all.
+_EVEN = views.SQL.replace("release AS (", "all_release AS (").replace("release_artist AS (", "all_artist AS (").rstrip() + f""",
+release AS (SELECT * FROM all_release WHERE id % 2 = 0), release_artist AS (SELECT * FROM all_artist WHERE release_id % 2 = 0), {_REMOTE.replace('FROM release JOIN release_artist', 'FROM all_release JOIN all_artist')},
+tl AS MATERIALIZED (SELECT id, artist, album, thumb, {_TOK.format('artist')} AS ta, {_TOK.format('album')} AS tb FROM listed), tt AS MATERIALIZED (SELECT DISTINCT release_id, {_TOK.format('title')} AS t FROM release_track)"""
+_COMPILED = " OR ".join(f"contains(lower(artist_name), '{w}')" for w in COMPILATION_KEYWORDS)
+
+
+def _words_ctes(asked: str, k: int) -> str:
+    """kw (key, id, artist, album, thumb, rank): rows with all words q of asked (key, q)."""
+    return f"""km AS (SELECT a.key, tl.* FROM {asked} a JOIN tl ON len(q) > 0 AND list_has_all(list_concat(tb, ta), q) QUALIFY row_number() OVER (PARTITION BY key ORDER BY id) <= {2 * k}), kw AS ({_albums_once('km', 'key', 'id', k)})"""
+
+
+_TIERS = f"""open_ AS (SELECT track, h.artist, to_json([track, h.artist]) AS key FROM hard h WHERE track <> '' AND NOT EXISTS (SELECT 1 FROM found f WHERE f.track = h.track AND f.artist IS NOT DISTINCT FROM h.artist)),
+sm AS (SELECT key, tl.* FROM open_ o JOIN tl ON nullif(o.artist, '') IS NULL OR len({_TOK.format('o.artist')}) > 0 AND list_has_all(ta, {_TOK.format('o.artist')}) WHERE EXISTS (SELECT 1 FROM tt WHERE release_id = tl.id AND len({_TOK.format('o.track')}) > 0 AND list_has_all(t, {_TOK.format('o.track')}))),
+st AS ({_albums_once('sm', 'key', 'id', 10)}), few AS (SELECT key, {_TOK.format("concat_ws(' ', track, artist)")} AS q FROM open_ WHERE (SELECT count(*) FROM st WHERE st.key = open_.key) < 3), {_words_ctes('few', 10)},
+u AS (SELECT key, id, artist, album, thumb, 1 AS way, rank AS place FROM st UNION ALL SELECT key, id, artist, album, thumb, 2, rank FROM kw), s AS ({_albums_once('u', 'key', 'way, place', 10)})"""
+_SEARCH_TIERS = f"""open_ AS (SELECT * FROM asked WHERE req_id NOT IN (SELECT req_id FROM found)),
+sm AS (SELECT req_id AS key, tl.* FROM open_ o JOIN tl ON (o.artist IS NULL OR len({_TOK.format('o.artist')}) > 0 AND list_has_all(ta, {_TOK.format('o.artist')})) AND (o.album IS NULL OR len({_TOK.format('o.album')}) > 0 AND list_has_all(tb, {_TOK.format('o.album')}))),
+st AS ({_albums_once('sm', 'key', 'id', 5)}), few AS (SELECT req_id AS key, {_TOK.format("concat_ws(' ', artist, album)")} AS q FROM open_ WHERE req_id NOT IN (SELECT key FROM st)), {_words_ctes('few', 5)},
+u AS (SELECT key, id, artist AS artist_name, album AS title, thumb, rank AS place FROM st UNION ALL SELECT key, id, artist, album, thumb, rank FROM kw),
+c AS (SELECT *, {_PART.format(a='qa', b='la')} + {_PART.format(a='qb', b='lt')} AS t FROM (SELECT u.*, trim(lower(coalesce(o.artist, ''))) AS qa, trim(lower(coalesce(o.album, ''))) AS qb, trim(lower(artist_name)) AS la, trim(lower(title)) AS lt FROM u JOIN open_ o ON o.req_id = key)),
+d AS (SELECT *, least(CASE WHEN t >= 6 THEN t + 2 WHEN t = 0 THEN 2 ELSE t END, 10) / 10.0::DOUBLE AS confidence FROM c)"""
+
 ORACLE_SQL = {
+    "releases_by_track_tiers": f"""WITH {_EVEN}, {_HARD}, {by_track_ctes('hard', 'found', 10)}, {_TIERS}
+SELECT track, artist, release_id, title, artist_name, is_compilation, {_SIM}, rank, 'store' AS source FROM found UNION ALL
+SELECT track, artist, id, album, artist_name, {_COMPILED}, NULL, rank, 'remote' FROM (SELECT track, o.artist, id, album, s.artist AS artist_name, rank FROM open_ o JOIN s USING (key))""",
+    "release_search_tiers": f"""WITH {_EVEN}, {_HARD}, asked AS (SELECT DISTINCT req_id, nullif(artist, '') AS artist, nullif(album, '') AS album FROM (SELECT track || '|' || coalesce(artist, '-') AS req_id, artist, CASE WHEN regexp_matches(artist, '^[0-9]*$') AND NOT contains(track, '#') THEN track[1:1] || 'zq' ELSE split_part(track, '#', -1) END AS album FROM hard) WHERE coalesce(nullif(artist, ''), nullif(album, '')) IS NOT NULL),
+{search_ctes('asked', 'found')}, {_SEARCH_TIERS}
+SELECT req_id, release_id, title, artist_name, artwork_url, round(CAST(score AS DOUBLE), 6) AS score, confidence, rank, 'store' AS source FROM found UNION ALL
+SELECT key, id, title, artist_name, thumb, NULL, confidence, CAST(row_number() OVER (PARTITION BY key ORDER BY confidence DESC, place) AS INTEGER), 'remote' FROM d""",
     "releases_by_track": f"WITH {views.SQL}, asked AS (SELECT DISTINCT title AS track, CAST(NULL AS VARCHAR) AS artist FROM catalog), {by_track_ctes('asked', 'found', 20)} SELECT track, release_id, title, artist_name, is_compilation, {_SIM}, rank FROM found",
     "releases_by_track_artist": f"WITH {views.SQL}, {_SONGS}, {by_track_ctes('songs', 'found', 10)} SELECT track, artist, release_id, title, artist_name, is_compilation, {_SIM}, rank FROM found",
     "releases_for_track": f"WITH {views.SQL}, {_SONGS}, {of_track_ctes('songs', 'found', 10)} SELECT track, artist, release_id, title, artist_name, rank FROM found",

@@ -25,6 +25,19 @@ class Store(NamedTuple):
     label_image: DataFrame
 
 
+class Tiered(Store):
+    """A store and what lookups go on to where it has nothing: `remote`, rows (id, title, thumb) of a search, and `remote_documents`, as `json_rows.release_documents` gives them."""
+
+    remote: DataFrame | None = None
+    remote_documents: DataFrame | None = None
+
+    @classmethod
+    def of(cls, store: Store, remote: DataFrame, remote_documents: DataFrame | None = None) -> Tiered:
+        out = cls(*store)
+        out.remote, out.remote_documents = remote, remote_documents
+        return out
+
+
 def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     """id, title, artist and what a call number is made of; each eleventh row is a compilation."""
     return table(spark, sf_dir, "part").select(
