@@ -35,12 +35,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm import jaccard
+from lodestone.llm import ngram_join
 from lodestone.llm.common import Scratch, arrow_schema, connected_components, map_rows, record_batch
 
 BITS, RADIUS, SHINGLE, SEED = 64, 3, 3, 42
-#: For removing near-duplicates: words of a shingle, and the Jaccard similarity that links.
-DEDUP_WORDS, DEDUP_LEAST = 5, 0.8
+#: For removing near-duplicates: words of a shingle, and the Jaccard similarity, in hundredths, that links.
+DEDUP_WORDS, DEDUP_PERCENT = 5, 80
 #: Most fingerprints that the estimate looks at.
 SAMPLE = 2048
 #: Fingerprints in a bucket that one task compares with each other.
@@ -260,23 +260,20 @@ def near_duplicates(docs: DataFrame, words: int = SHINGLE, radius: int = RADIUS,
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, words: int = DEDUP_WORDS, least: float = DEDUP_LEAST, bucket_rows: int = jaccard.BUCKET_ROWS) -> DataFrame:
+def keep_one(docs: DataFrame, words: int = DEDUP_WORDS, percent: int = DEDUP_PERCENT, block_rows: int = ngram_join.BLOCK_ROWS) -> DataFrame:
     """docs without near-duplicates: of each component the row of least doc_id stays, null last; of rows that are the same, one.
 
     Links are pairs whose sets of five-word shingles have a Jaccard similarity
-    of 0.8 or more, by `jaccard`.
+    of 0.8 or more, all of them, by `ngram_join`; texts without words are one component.
     """
     scratch = Scratch(docs.sparkSession, "dedup")
     # a row's key has no null, so that plain joins find it
     id_ = F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1))
     row = F.xxhash64(*[F.col(f"`{c}`") for c, kind in docs.dtypes if "map<" not in kind])
-    keyed_texts = docs.select(id_.alias("doc_id"), row.alias("row_hash"), "text")
-    printed = jaccard.sketches(keyed_texts, words, ["doc_id", "row_hash"])
-    lowest = F.min(F.struct("doc_id", "row_hash"))
-    nodes = scratch.put(printed.groupBy("id").agg(lowest.alias("least"), *[F.first(c).alias(c) for c in ("keys", "x", "y", "n", "odd")]))
-    roots = jaccard.labels(nodes, keyed_texts, scratch, words, least, bucket_rows)
-    rooted = nodes.select("id", "least").join(roots.withColumnRenamed("node", "id"), "id", "left").select(F.coalesce("root", "id").alias("root"), "least")
-    kept = scratch.put(rooted.groupBy("root").agg(F.min("least").alias("kept")).select(F.col("kept.doc_id").alias("kept_id"), F.col("kept.row_hash").alias("kept_hash")))
+    found, rooted = ngram_join.components(docs.select(row.alias("doc_id"), "text"), scratch, words, percent, block_rows=block_rows)
+    root = found.join(rooted.select("id", "root"), "id", "left").select(F.col("doc_id").alias("row_hash"), "root")
+    rows = scratch.put(docs.select(id_.alias("doc_id"), row.alias("row_hash")).distinct().join(root.distinct(), "row_hash"))
+    kept = scratch.put(rows.groupBy("root").agg(F.min(F.struct("doc_id", "row_hash")).alias("kept")).select(F.col("kept.doc_id").alias("kept_id"), F.col("kept.row_hash").alias("kept_hash")))
     # the caller's columns go by numbers meanwhile, so that no name of theirs meets one of the work
     keyed = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)], id_.alias("kept_id"), row.alias("kept_hash"))
     stays = keyed.join(kept, ["kept_id", "kept_hash"], "left_semi").dropDuplicates(["kept_id", "kept_hash"])

@@ -210,8 +210,9 @@ def brute_join(rows, percent):
     return sorted(((rows[i][0], len(sets[i]), min((x for x in members[root(i)] if x is not None), default=None)) for i in range(len(rows))), key=str)
 
 
-@pytest.mark.parametrize("sizes", [{}, {"slots": 1, "block_rows": 4, "whole_rows": 3}, {"percent": 60}])
-def test_join(spark, sizes):
+@pytest.mark.parametrize("sizes, most", [({}, 4), ({"slots": 1, "block_rows": 4, "whole_rows": 3}, 0), ({"slots": 1, "block_rows": 4, "whole_rows": 3}, 100), ({"percent": 60}, 1)])
+def test_join(spark, sizes, most, monkeypatch):
+    monkeypatch.setattr(ngram_join, "OPEN", most)
     rows = join_rows()
     got = sorted((tuple(r) for r in ngram_join.join(frame(spark, rows), **sizes).collect()), key=str)
     want = brute_join(rows, sizes.get("percent", 85))
