@@ -3,7 +3,9 @@
 A longest common subsequence has no built-in function, and as nested
 aggregates over arrays it took some 300 microseconds a pair where the
 bit-parallel form below takes a few, so the edit ratios are pandas functions.
-Callers block first and score only distinct pairs that share a block.
+Callers block first, drop pairs whose upper bound, a Column expression of
+lengths and of letters in common, is below their threshold, and score only the
+distinct pairs left.
 """
 
 from __future__ import annotations
@@ -66,6 +68,43 @@ def token_set_ratio(a: Column, b: Column) -> Column:
     return _over(set_ratio)(a, b)
 
 
+def _numbered(x: Column) -> Column:
+    """Each letter with how often it has come up, so that sets of these meet in as many as the letters do."""
+
+    def at(i: Column) -> Column:
+        begun, letter = F.substring(x, F.lit(1), i), F.substring(x, i, F.lit(1))
+        return F.concat(letter, (F.length(begun) - F.length(F.replace(begun, letter, F.lit("")))).cast("string"))
+
+    return F.when(F.length(x) > 0, F.transform(F.sequence(F.lit(1), F.length(x)), at)).otherwise(F.array().cast("array<string>"))
+
+
+def letters(x: Column) -> Column:
+    """What bounds are told by: size, distinct words and numbered letters of the text and of those words."""
+    words = F.array_distinct(F.filter(F.split(x, r"(?U)[\s\x1c-\x1f]+"), lambda w: w != ""))
+    return F.struct(F.length(x).alias("size"), _numbered(x).alias("all"), words.alias("words"), _numbered(F.array_join(words, "")).alias("of_words"))
+
+
+def ratio_bound(a: Column, b: Column) -> Column:
+    """No less than `indel_ratio` of the texts that these are the `letters` of: a common subsequence has letters of both."""
+    both = a["size"] + b["size"]
+    return F.when(both == 0, F.lit(100.0)).otherwise(200.0 * F.size(F.array_intersect(a["all"], b["all"])) / both)
+
+
+def set_ratio_bound(a: Column, b: Column) -> Column:
+    """No less than `token_set_ratio` of the texts that these are the `letters` of: the same ratios, with letters in common for the common subsequence."""
+    x, y = a["words"], b["words"]
+    shared, only_x, only_y = F.array_intersect(x, y), F.array_except(x, y), F.array_except(y, x)
+    s, n, m = (F.length(F.array_join(w, " ")) for w in (shared, only_x, only_y))
+    spaces = F.greatest(F.least(F.size(only_x), F.size(only_y)) - 1, F.lit(0))
+    # shared words have all their letters in common
+    common = F.size(F.array_intersect(a["of_words"], b["of_words"])) - F.length(F.array_join(shared, "")) + spaces
+    gap = F.when(s > 0, 1).otherwise(0)
+    share = lambda apart, whole: 100.0 - 100.0 * apart / F.greatest(whole, F.lit(1))
+    apart = share(n + m - 2 * common, s + gap + n + s + gap + m)
+    with_shared = F.when((n == 0) | (m == 0), F.lit(100.0)).otherwise(F.greatest(apart, share(gap + n, s + s + gap + n), share(gap + m, s + s + gap + m)))
+    return F.when((F.size(x) == 0) | (F.size(y) == 0), F.lit(0.0)).when(s > 0, with_shared).otherwise(apart)
+
+
 def trigrams(x: Column) -> Column:
     """Distinct trigrams of the words of letters and digits, each with two spaces before and one after."""
     found = F.filter(F.split(F.lower(x), r"[^\p{L}\p{N}]+"), lambda w: w != "")

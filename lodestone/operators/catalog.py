@@ -16,13 +16,15 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.functions.similarity import indel_ratio, token_set_ratio
+from lodestone.functions.similarity import indel_ratio, letters, ratio_bound, set_ratio_bound, token_set_ratio
 from lodestone.functions.text import STOPWORDS, marked_words, plain_words, significant, tokens
 from lodestone.operators.ranking import first_hit, top_k
 from lodestone.sources.scratch import Scratch
 
 #: Rows that fuzzy search scores at most, its least score, and the artists that correction looks at. Fixed values.
 FUZZY_ROWS, FUZZY_SCORE, ARTISTS = 500, 70, 100
+#: Rounding of a bound, so that none cuts a score right at the threshold.
+SLACK = 1e-6
 #: Least score of an album found by some of its words. A fixed value.
 ALBUM_SCORE = 60
 
@@ -185,8 +187,11 @@ def fuzzy(queries: DataFrame, catalog: DataFrame, k: int, threshold: int = FUZZY
     words = texts.select("first", "id", F.lower(F.concat_ws(" ", F.coalesce("artist", F.lit("")), F.coalesce("title", F.lit("")))).alias("text"))
     block = top_k(held.join(words, "first").select("start", "id", "text"), ["start"], [F.col("id")], FUZZY_ROWS).drop("rank")
     # many rows share a text: each pair of texts is scored once
-    pairs = block.select("start", "text").distinct()
-    scored = asked.join(pairs, "start").withColumn("score", token_set_ratio(F.lower("query"), F.col("text"))).where(F.col("score") >= threshold)
+    texts_of_start = block.select("start", "text").distinct()
+    known = texts_of_start.select("text").distinct().withColumn("theirs", letters(F.col("text")))
+    met = asked.withColumn("own", letters(F.lower("query"))).join(texts_of_start.join(known, "text"), "start")
+    near = met.where(set_ratio_bound(F.col("own"), F.col("theirs")) >= threshold - SLACK).select("start", "query", "text")
+    scored = near.withColumn("score", token_set_ratio(F.lower("query"), F.col("text"))).where(F.col("score") >= threshold)
     return top_k(scored.join(block, ["start", "text"]).select("query", "id", "score"), ["query"], [F.desc("score"), F.col("id")], k)
 
 
@@ -232,7 +237,7 @@ def accepts(album: Column, title: Column) -> Column:
     """Whether the title holds two of the album's telling words, of all of them, and comes near enough to it."""
     low = F.lower(F.coalesce(title, F.lit("")))
     held = F.size(F.filter(significant(marked_words(album), 3), lambda w: low.contains(w)))
-    return (held >= 2) & (token_set_ratio(F.lower(album), low) >= ALBUM_SCORE)
+    return (held >= 2) & (set_ratio_bound(letters(F.lower(album)), letters(low)) >= ALBUM_SCORE - SLACK) & (token_set_ratio(F.lower(album), low) >= ALBUM_SCORE)
 
 
 def artist_block(artist: Column) -> Column:
@@ -245,9 +250,11 @@ def correct_artist(asked: DataFrame, catalog: DataFrame, threshold: int = 85) ->
     names = catalog.select("artist").where("artist IS NOT NULL").distinct()
     blocks = top_k(names.select(F.col("artist").alias("known"), F.lower(F.substring("artist", 1, 3)).alias("block")), ["block"], [F.col("known")], ARTISTS).drop("rank")
     low = F.lower("artist")
-    pairs = asked.select("artist").where("artist IS NOT NULL").distinct().withColumn("block", artist_block(F.col("artist"))).join(blocks, "block")
-    scored = pairs.withColumn("score", indel_ratio(low, F.lower("known")))
+    named = asked.select("artist").where("artist IS NOT NULL").distinct().select("artist", artist_block(F.col("artist")).alias("block"), letters(low).alias("own"))
+    pairs = named.join(blocks.withColumn("theirs", letters(F.lower("known"))), "block")
+    least = F.greatest(F.lit(threshold), 100 - 2 * F.length("artist"))
+    scored = pairs.where(ratio_bound(F.col("own"), F.col("theirs")) >= least - SLACK).select("artist", "known").withColumn("score", indel_ratio(low, F.lower("known")))
     best = Window.partitionBy("artist").orderBy(F.desc("score"), "known")
-    near = scored.where(F.col("score") >= F.greatest(F.lit(threshold), 100 - 2 * F.length("artist")))
+    near = scored.where(F.col("score") >= least)
     first = near.withColumn("place", F.row_number().over(best)).where("place = 1").select("artist", F.col("known").alias("corrected"))
     return first.where(F.lower("corrected") != low)

@@ -26,7 +26,9 @@ def nearest_texts(asked: DataFrame, known: DataFrame, k: int, scratch: Scratch)
     """(asked, known, sim): the k texts of known (known, first) most similar to each asked text, of equal ones those of least first, all of SIMILAR at least.
 
     Two texts as similar as t share one of their rarest trigrams: of n, any but
-    the last t * n less one. Only those are joined, then each pair is verified.
+    the last t * n less one. Only those are joined. A pair that has c of them in
+    common shares at most as many more as the side has left whose last one comes
+    first in that order, and of pairs that could still share enough each is verified.
     The greater t, the fewer and rarer they are, so the search starts from
     near equals and goes on for texts that have not found k yet.
     """
@@ -41,9 +43,18 @@ def nearest_texts(asked: DataFrame, known: DataFrame, k: int, scratch: Scratch)
 
     left, all_known, found = rarest_first(asked, "asked"), rarest_first(known, "known"), []
     for t in (*LEVELS, SIMILAR):
-        rarest = lambda rows, n, t=t: rows.withColumn(n, F.size("grams")).withColumn("gram", F.explode(F.slice("grams", F.lit(1), F.size("grams") - F.ceil(t * F.size("grams") - 1e-9).cast("int") + 1)["gram"])).drop("grams")
+
+        def rarest(rows: DataFrame, n: str, t: float = t) -> DataFrame:
+            """Rows by their first trigrams; the number of all is n, what comes after is rest_n, and the last of them last_n."""
+            cut = F.size("grams") - F.ceil(t * F.size("grams") - 1e-9).cast("int") + 1
+            some = rows.select("*", F.size("grams").alias(n), (F.size("grams") - cut).alias(f"rest_{n}"), F.get("grams", cut - 1).alias(f"last_{n}"), F.slice("grams", F.lit(1), cut)["gram"].alias("some"))
+            return some.withColumn("gram", F.explode("some")).drop("grams", "some")
+
         met = rarest(left, "n").join(rarest(all_known, "m"), "gram").where((F.col("m") >= t * F.col("n") - 1e-9) & (F.col("n") >= t * F.col("m") - 1e-9))
-        pairs = met.select("asked", "known", "first").distinct().withColumn("sim", trigram_similarity(F.col("asked"), F.col("known"))).where(F.col("sim") >= t)
+        rest = F.when(F.col("last_n") <= F.col("last_m"), F.col("rest_n")).otherwise(F.col("rest_m"))
+        enough = F.ceil(t / (1 + t) * (F.col("n") + F.col("m")) - 1e-9) - rest
+        could = met.groupBy("asked", "known", "first").agg(F.count("*").alias("common"), F.first(enough).alias("enough")).where("common >= enough")
+        pairs = verified(could.select("asked", "known", "first"), t)
         best = scratch.put(top_k(pairs, ["asked"], [F.desc("sim"), F.col("first"), F.col("known")], k).drop("rank", "first"))
         if t > SIMILAR:
             enough = best.groupBy("asked").agg(F.count("*").alias("n")).where(F.col("n") >= k).select("asked")
@@ -53,6 +64,11 @@ def nearest_texts(asked: DataFrame, known: DataFrame, k: int, scratch: Scratch)
     return reduce(DataFrame.unionByName, found)
 
 
+def verified(pairs: DataFrame, t: float) -> DataFrame:
+    """pairs (asked, known, ...) with sim, those of at least t."""
+    return pairs.withColumn("sim", trigram_similarity(F.col("asked"), F.col("known"))).where(F.col("sim") >= t)
+
+
 def first_by_title(rows: DataFrame, keys: list[str], order: list[Column], k: int) -> DataFrame:
     """The first row of each title in lower case, then the first k."""
     once = keep_first(rows.withColumn("low", F.lower("title")), [*keys, "low"], order).drop("low")
