@@ -20,7 +20,7 @@ from lodestone.functions import text
 from lodestone.operators import catalog as catalog_search
 from lodestone.operators import releases
 from lodestone.operators.ranking import keep_first, top_k
-from lodestone.sources.scratch import Scratch
+from lodestone.sources.scratch import Scratch, Steps
 from lodestone.sources.views import Store
 
 #: Results of a lookup, and releases looked at for the albums of a song, for a song on other releases and for an artist. Fixed values.
@@ -215,9 +215,9 @@ STRATEGIES = [
 ]
 
 
-def run_strategies(requests: DataFrame, albums: DataFrame, catalog: DataFrame, store: Store, strategies: list[Strategy] = STRATEGIES) -> tuple[DataFrame, DataFrame]:
+def run_strategies(requests: DataFrame, albums: DataFrame, catalog: DataFrame, store: Store, strategies: list[Strategy] = STRATEGIES, steps: Steps | None = None) -> tuple[DataFrame, DataFrame]:
     """Requests with found and last, the strategies that gave results and that were tried last, and song_not_found; and the rows of the results."""
-    scratch = Scratch(requests.sparkSession, "strategies")
+    scratch = Scratch(requests.sparkSession, "strategies", steps)
     having = albums.select("req_id").distinct().withColumn("has_album", F.lit(True))
     state = requests.join(having, "req_id", "left").select(*requests.columns, F.coalesce("has_album", F.lit(False)).alias("has_album"), _none().alias("found"), _none().alias("last"), F.lit(False).alias("song_not_found"))
     state, every = scratch.put(state), []
@@ -225,7 +225,7 @@ def run_strategies(requests: DataFrame, albums: DataFrame, catalog: DataFrame, s
         tried = F.coalesce(s.condition(), F.lit(False))
         todo = state.where(tried)
         if todo.limit(1).count():
-            rows = scratch.put(s.run(todo.select(*requests.columns), albums, catalog, store))
+            rows = scratch.put(s.run(todo.select(*requests.columns), albums, catalog, store), s.name)
             every.append(rows.withColumn("found", F.lit(s.name)))
             got = rows.groupBy("req_id").agg(F.bool_or("fallback").alias("fallback"))
             # the condition reads the state from before

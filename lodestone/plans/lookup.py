@@ -13,7 +13,7 @@ from lodestone.operators.strategies import K
 from lodestone.plans.release_queries import of_track_ctes, search_ctes, valid_ctes
 from lodestone.plans.search_queries import _FLAT, _WORDS, ALBUMS_SQL, cascade_sql, correction_sql, words_sql
 from lodestone.sources import views
-from lodestone.sources.scratch import Scratch
+from lodestone.sources.scratch import Scratch, Steps
 from lodestone.sources.views import Store
 
 
@@ -23,27 +23,27 @@ def corrected(requests: DataFrame, catalog: DataFrame) -> DataFrame:
     return requests.join(right, "artist", "left").withColumn("artist", F.coalesce("corrected_artist", "artist"))
 
 
-def lookup(requests: DataFrame, catalog: DataFrame, store: Store, k: int = K) -> DataFrame:
+def lookup(requests: DataFrame, catalog: DataFrame, store: Store, k: int = K, steps: Steps | None = None) -> DataFrame:
     """A row for each result of a request, or one without a result.
 
     req_id, rank, id, title and artist; release_id, album, release_artist,
     artwork_url and confidence of the release that goes with it; and for the
     request search_type, song_not_found, found_on_compilation, context and
-    corrected_artist.
+    corrected_artist. With steps, each step's rows and milliseconds are told.
     """
-    scratch, catalog = Scratch(requests.sparkSession, "lookup"), search.searchable(catalog)
-    known = scratch.put(corrected(requests, catalog))
+    scratch, catalog = Scratch(requests.sparkSession, "lookup", steps), search.searchable(catalog)
+    known = scratch.put(corrected(requests, catalog), "correction")
     asked = known.drop("corrected_artist")
-    albums = scratch.put(strategies.resolve_albums(asked, store))
-    state, rows = strategies.run_strategies(asked, albums, catalog, store)
-    rows = scratch.put(top_k(rows, ["req_id"], [F.col("place")], k).drop("place"))
+    albums = scratch.put(strategies.resolve_albums(asked, store), "albums")
+    state, rows = strategies.run_strategies(asked, albums, catalog, store, steps=steps)
+    rows = scratch.put(top_k(rows, ["req_id"], [F.col("place")], k).drop("place"), "search")
     # of results that stand in for the song, those that have it count alone, if there are any
     open_ = state.where("song_not_found")
-    good = scratch.put(strategies.validated(rows.join(open_.select("req_id"), "req_id", "left_semi"), open_, catalog, store))
+    good = scratch.put(strategies.validated(rows.join(open_.select("req_id"), "req_id", "left_semi"), open_, catalog, store), "validation")
     sure = good.select("req_id").distinct().withColumn("confirmed", F.lit(True))
     state = scratch.put(state.join(sure, "req_id", "left").withColumn("confirmed", F.coalesce("confirmed", F.lit(False))).withColumn("song_not_found", F.col("song_not_found") & ~F.col("confirmed")))
     kept = rows.join(state.where("confirmed").select("req_id"), "req_id", "left_anti").unionByName(rows.join(good, ["req_id", "id"], "left_semi"))
-    shown = scratch.put(strategies.artwork(top_k(kept.withColumnRenamed("rank", "place"), ["req_id"], [F.col("place")], k).drop("place"), catalog, store).drop("release_title"))
+    shown = scratch.put(strategies.artwork(top_k(kept.withColumnRenamed("rank", "place"), ["req_id"], [F.col("place")], k).drop("place"), catalog, store).drop("release_title"), "artwork")
     named = shown.withColumnRenamed("album", "release_album").join(catalog.select("id", "title", F.col("artist").alias("known")), "id")
     whole = state.join(known.select("req_id", "corrected_artist"), "req_id").join(named, "req_id", "left")
     on_compilation = F.coalesce(F.col("found") == "track_on_compilation", F.lit(False))
@@ -73,8 +73,21 @@ def _requests(spark, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return Scratch(spark, "requests").put(corrected(views.requests(spark, sf_dir), catalog)), catalog
 
 
+def _written(spark, sf_dir: str) -> Store:
+    """The store with its releases and tracks written once, as a lookup searches them several times."""
+    scratch, store = Scratch(spark, "store"), views.store(spark, sf_dir)
+    return Store(*map(scratch.put, store[:4]), *store[4:])
+
+
 def lookup_e2e(spark, sf_dir: str) -> DataFrame:
-    return lookup(views.requests(spark, sf_dir), views.catalog(spark, sf_dir), views.store(spark, sf_dir))
+    return lookup(views.requests(spark, sf_dir), views.catalog(spark, sf_dir), _written(spark, sf_dir))
+
+
+def lookup_steps(spark, sf_dir: str) -> DataFrame:
+    """(step, calls, rows) of a lookup of all requests, as its own steps tell of themselves."""
+    steps = Steps(spark)
+    lookup(views.requests(spark, sf_dir), views.catalog(spark, sf_dir), _written(spark, sf_dir), steps=steps)
+    return steps.frame().groupBy("step").agg(F.count("*").alias("calls"), F.sum("rows").alias("rows"))
 
 
 def lookup_response(spark, sf_dir: str) -> DataFrame:
@@ -150,7 +163,7 @@ def search_type(spark, sf_dir: str) -> DataFrame:
     return _flags(spark, sf_dir).select("req_id", strategies.search_type(F.col("found"), F.col("last"), F.col("missing")).alias("search_type"))
 
 
-QUERIES = {f.__name__: f for f in (lookup_e2e, lookup_response, album_resolution, with_fallback, swapped, compilation, song_as_artist, track_validation, artwork_enrich, context_message, search_type)}
+QUERIES = {f.__name__: f for f in (lookup_e2e, lookup_steps, lookup_response, album_resolution, with_fallback, swapped, compilation, song_as_artist, track_validation, artwork_enrich, context_message, search_type)}
 
 #: Corrected requests, albums for their search, and what is asked of the store for them.
 _FIXED = f"""{correction_sql('requests', 'right_')},
@@ -238,7 +251,20 @@ answer AS MATERIALIZED (SELECT t.req_id, k.rank, k.id, k.title, k.artist, k.rele
 _FOUND = "SELECT req_id, id, place, release_title, fallback FROM"
 _KIND = "CASE WHEN req_id % 7 = 0 THEN 'track_on_compilation' WHEN req_id % 7 < 3 THEN 'artist_plus_album' WHEN req_id % 7 = 3 THEN 'swapped_interpretation' WHEN req_id % 7 = 4 THEN 'song_as_artist' END"
 
+_STEPS = {
+    "correction": "fixed",
+    "albums": "albums_for",
+    "artist_plus_album": "fallback_found",
+    "swapped_interpretation": "swap_found JOIN more USING (req_id) WHERE NOT a AND can_b",
+    "track_on_compilation": "comp_found JOIN more USING (req_id) WHERE fell AND can_c",
+    "song_as_artist": "name_found JOIN more USING (req_id) WHERE NOT a AND NOT b AND can_d",
+    "search": "results",
+    "validation": "good",
+    "artwork": "kept",
+}
+
 ORACLE_SQL = {
+    "lookup_steps": f"WITH {_ALL} " + " UNION ALL ".join(f"SELECT '{step}' AS step, CAST(1 AS BIGINT) AS calls, count(*) AS rows FROM {rows}" for step, rows in _STEPS.items()),
     "lookup_e2e": f"WITH {_ALL} SELECT * FROM answer",
     "lookup_response": f"WITH {_ALL} SELECT req_id, count(id) AS total, max(CASE WHEN rank = 1 THEN id END) AS first_id, max(CASE WHEN rank = 1 THEN artwork_url END) AS first_image, max(search_type) AS search_type, max(context) AS context FROM answer GROUP BY req_id",
     "album_resolution": f"WITH {views.SQL}, {_FIXED}, {_RESOLVED} SELECT req_id, place, album FROM albums_for",

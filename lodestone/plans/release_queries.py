@@ -155,6 +155,14 @@ def upsert_release(spark, sf_dir):
     return releases.upsert(views.release(spark, sf_dir), _new_releases(spark, sf_dir), ["id"])
 
 
+def upsert_merged(spark, sf_dir):
+    """The same upsert into a table in buckets, of which those with new releases are written anew."""
+    path = f"{Scratch(spark, 'bucketed').base}/release"
+    sinks.create_bucketed(views.release(spark, sf_dir), path, ["id"], 16)
+    sinks.merge_bucketed(_new_releases(spark, sf_dir), path, ["id"], 16)
+    return spark.read.parquet(path).drop("_bucket")
+
+
 def insert_if_absent(spark, sf_dir):
     old = views.release(spark, sf_dir).where("release_year < 1997")
     return releases.insert_absent(old, _new_releases(spark, sf_dir), ["id"])
@@ -186,7 +194,7 @@ def _events(function):
     return query
 
 
-QUERIES = {f.__name__: f for f in (releases_by_track, releases_by_track_artist, releases_for_track, release_search_album, release_search_artist, release_search_both, search_guard, remote_rows, remote_keywords, remote_strict, remote_supplement, releases_by_track_tiers, release_search_tiers, release_nested, validate_track, fallback_images, upsert_release, insert_if_absent, upsert_cached, telemetry, replace_children)} | {
+QUERIES = {f.__name__: f for f in (releases_by_track, releases_by_track_artist, releases_for_track, release_search_album, release_search_artist, release_search_both, search_guard, remote_rows, remote_keywords, remote_strict, remote_supplement, releases_by_track_tiers, release_search_tiers, release_nested, validate_track, fallback_images, upsert_release, upsert_merged, insert_if_absent, upsert_cached, telemetry, replace_children)} | {
     "counters": _events(events.counters),
     "health_rollup": _events(events.health),
     "ttl_cache_hits": _events(events.cache_hits),
@@ -331,6 +339,7 @@ SELECT r.id AS release_id, r.title, r.release_year, a.artist_name AS artist, r.a
     "validate_track": f"""WITH {views.SQL}, q AS (SELECT r.id AS release_id, r.title AS track, a.artist_name AS artist FROM release r JOIN release_artist a ON a.release_id = r.id), {valid_ctes('q', 'v')}
 SELECT q.*, (release_id, track, artist) IN (SELECT (release_id, track, artist) FROM v) AS valid FROM q""",
     "upsert_release": f"WITH {views.SQL} SELECT id, CASE WHEN release_year >= 1998 THEN upper(title) ELSE title END AS title, release_year, artwork_url, artist_id, label_id FROM release",
+    "upsert_merged": f"WITH {views.SQL} SELECT id, CASE WHEN release_year >= 1998 THEN upper(title) ELSE title END AS title, release_year, artwork_url, artist_id, label_id FROM release",
     "insert_if_absent": f"WITH {views.SQL} SELECT id, CASE WHEN release_year >= 1998 THEN upper(title) ELSE title END AS title, release_year, artwork_url, artist_id, label_id FROM release WHERE release_year < 1997 OR release_year >= 1998",
     "replace_children": f"WITH {views.SQL} SELECT release_id, sequence, position, CASE WHEN release_id % 3 = 0 THEN upper(title) ELSE title END AS title, duration FROM release_track WHERE release_id % 3 <> 0 OR sequence = 1",
     "counters": """SELECT user_id, count(*) FILTER (event_type = 'view') AS memory_hits, count(*) FILTER (event_type = 'click') AS pg_hits, count(*) FILTER (event_type = 'error') AS pg_misses,

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lodestone.operators.index import build
 from lodestone.operators.releases import upsert
+from lodestone.sources.scratch import Scratch
 
 NEEDED = {"id", "title", "artist"}
 
@@ -47,6 +48,35 @@ def replace_catalog(new: DataFrame, path: str, indexed: bool = False) -> DataFra
     return spark.range(1).select(F.lit("ok").alias("status"), F.lit(n).alias("row_count"), F.current_timestamp().alias("finished"))
 
 
+def bucket_of(keys: list[str], buckets: int) -> Column:
+    return F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
+
+
+def create_bucketed(rows: DataFrame, path: str, keys: list[str], buckets: int = 64) -> None:
+    """Writes rows to a new table whose folders are the buckets of their keys."""
+    spread = rows.withColumn("_bucket", bucket_of(keys, buckets))
+    spread.repartition("_bucket").sortWithinPartitions("_bucket", *keys).write.partitionBy("_bucket").parquet(path)
+
+
+def merge_bucketed(new: DataFrame, path: str, keys: list[str], buckets: int = 64) -> DataFrame:
+    """Upserts new by its keys into a table of `create_bucketed`: (buckets, rows) written anew; folders without a new key stay as they are.
+
+    The merged buckets are written beside the table first, so that they are
+    whole before any is replaced, and a run that failed can be repeated.
+    """
+    spark = new.sparkSession
+    scratch = Scratch(spark, "merge")
+    fresh = scratch.put(new.withColumn("_bucket", bucket_of(keys, buckets)))
+    # no more than `buckets` numbers
+    touched = sorted(r[0] for r in fresh.select("_bucket").distinct().collect())
+    old = spark.read.schema(fresh.schema).parquet(path).where(F.col("_bucket").isin(touched))
+    merged = scratch.put(upsert(old.select(*fresh.columns), fresh, keys).repartition("_bucket").sortWithinPartitions("_bucket", *keys))
+    n = merged.count()
+    merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_bucket").parquet(path)
+    scratch.drop()
+    return spark.createDataFrame([(len(touched), n)], "buckets int, rows long")
+
+
 def upsert_cached(old: DataFrame, new: DataFrame, keys: list[str], source: str = "api_fetch", now: Column | None = None) -> DataFrame:
     """Rows (keys, source, cached_at): those of new are cached now, whether or not old has them."""
     fresh = new.select(*keys).distinct().select(*keys, F.lit(source).alias("source"), (F.current_timestamp() if now is None else now).alias("cached_at"))
