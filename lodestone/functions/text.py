@@ -19,6 +19,10 @@ PLACEHOLDER = "spacer.gif"
 VERSION = r"\((.*?(?:remix|mix|version|edit).*?)\)"
 
 
+#: White space of all scripts, and the four separators that count as such.
+SPACE = r"[\s\x1c-\x1f]"
+
+
 def _marks() -> str:
     """A regular expression's class of all combining characters."""
     codes = [c for c in range(sys.maxunicode + 1) if unicodedata.combining(chr(c))]
@@ -42,16 +46,16 @@ def norm(x: Column) -> Column:
 
 def squeeze(x: Column) -> Column:
     """Runs of white space as one space, none at the ends."""
-    return F.regexp_replace(F.regexp_replace(x, r"\s+", " "), r"^ | $", "")
+    return F.regexp_replace(F.regexp_replace(x, f"(?U){SPACE}+", " "), r"^ | $", "")
 
 
 def strip(x: Column) -> Column:
-    return F.regexp_replace(x, r"^\s+|\s+$", "")
+    return F.regexp_replace(x, f"(?U)^{SPACE}+|{SPACE}+$", "")
 
 
 def words(x: Column) -> Column:
     """What stands between white space."""
-    return F.filter(F.split(x, r"\s+"), lambda w: w != "")
+    return F.filter(F.split(x, f"(?U){SPACE}+"), lambda w: w != "")
 
 
 def plain_words(x: Column) -> Column:
@@ -101,7 +105,7 @@ DASHED = r"(.+?)\s*-\s+(.+)|(.+?)\s+-\s*(.+)"
 def ambiguous_parts(x: Column) -> Column:
     """(part1, part2) of "X - Y" or else of "X. Y", trimmed; null where either is empty or there is no separator."""
     # most texts have no dash and are not searched
-    group = lambda i: F.when(x.contains("-"), F.regexp_extract(x, f"(?d){DASHED}", i)).otherwise(F.lit(""))
+    group = lambda i: F.when(x.contains("-"), F.regexp_extract(x, f"(?dU){DASHED}", i)).otherwise(F.lit(""))
     by_dash = (group(1) != "") & (group(2) != "")
     first, second = (strip(F.when(by_dash, group(i)).otherwise(group(i + 2))) for i in (1, 2))
     at = F.instr(x, ". ")
@@ -114,8 +118,8 @@ def artist_and_album(x: Column) -> Column:
     """"Artist - Album" at the first separator, trimmed; without one all is the album."""
     at = F.instr(x, " - ")
     return F.struct(
-        F.when(at > 0, F.trim(F.substring(x, F.lit(1), at - 1))).otherwise("").alias("artist"),
-        F.when(at > 0, F.trim(F.substring(x, at + 3, F.length(x)))).otherwise(x).alias("album"),
+        F.when(at > 0, strip(F.substring(x, F.lit(1), at - 1))).otherwise("").alias("artist"),
+        F.when(at > 0, strip(F.substring(x, at + 3, F.length(x)))).otherwise(x).alias("album"),
     )
 
 

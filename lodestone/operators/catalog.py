@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions.similarity import indel_ratio, letters, ratio_bound, set_ratio_bound, token_set_ratio
-from lodestone.functions.text import STOPWORDS, marked_words, plain_words, significant, tokens
+from lodestone.functions.text import STOPWORDS, marked_words, plain_words, significant, tokens, words
 from lodestone.operators.ranking import first_hit, top_k
 from lodestone.sources.scratch import Scratch
 
@@ -108,7 +108,7 @@ def phrase(queries: DataFrame, catalog: DataFrame, k: int, columns: tuple[str, .
 
 
 def near(queries: DataFrame, catalog: DataFrame, k: int, within: int = 10, columns: tuple[str, ...] = BOTH) -> DataFrame:
-    """(query, id, rank): rows one of whose columns has the query's first and last token with `within` tokens between them at most."""
+    """(query, id, rank): rows one of whose columns has the query's first and last token, whatever is between these in the query, with `within` tokens between them at most. `index.match` has NEAR of any words."""
     texts = texts_of(catalog, k)
     ends = F.array(F.get("asked", F.lit(0)), F.element_at("asked", -1))
     asked = queries.select("query", tokens(F.col("query")).alias("asked")).where(F.size("asked") > 1).select("query", ends.alias("asked"))
@@ -205,13 +205,35 @@ def searchable(catalog: DataFrame) -> DataFrame:
     return Scratch(catalog.sparkSession, "texts").put(texts_of(catalog, FUZZY_ROWS))
 
 
-def search(queries: DataFrame, catalog: DataFrame, k: int, kept=None) -> DataFrame:
+class Searched:
+    """A searchable catalog with what a search for many texts has found: asked for these again it looks them up."""
+
+    def __init__(self, texts: DataFrame, queries: DataFrame, k: int):
+        scratch = Scratch(texts.sparkSession, "searched")
+        self.texts, self.k = texts, k
+        self.asked = scratch.put(queries.select("query").where("query IS NOT NULL").distinct())
+        self.hits = scratch.put(search(self.asked, texts, k))
+
+    def __getattr__(self, name: str):
+        return getattr(self.texts, name)
+
+
+def _looked_up(queries: DataFrame, known: Searched, k: int) -> DataFrame:
+    """search for queries of which most have been asked."""
+    found = known.hits.join(queries, "query", "left_semi")
+    left = Scratch(queries.sparkSession, "left").put(queries.join(known.asked, "query", "left_anti"))
+    return found.unionByName(search(left, known.texts, k)) if left.limit(1).count() else found
+
+
+def search(queries: DataFrame, catalog: DataFrame | Searched, k: int, kept=None) -> DataFrame:
     """(query, id, rank, tier): full text, else all words, else fuzzy; each tier sees what the one before left.
 
     With a kept index full text takes query strings of the whole grammar.
     """
-    scratch, texts = Scratch(queries.sparkSession, "search"), searchable(catalog)
     queries = queries.select("query").distinct()
+    if isinstance(catalog, Searched):
+        return _looked_up(queries, catalog, k) if k == catalog.k and kept is None else search(queries, catalog.texts, k, kept)
+    scratch, texts = Scratch(queries.sparkSession, "search"), searchable(catalog)
     # read by the next tier and by the result
     one = scratch.put(full_text(queries, catalog, k, texts=texts) if kept is None else kept.match(queries, k, scratch))
     left = queries.join(one.select("query").distinct(), "query", "left_anti")
@@ -242,7 +264,7 @@ def accepts(album: Column, title: Column) -> Column:
 
 def artist_block(artist: Column) -> Column:
     """First three letters of the first word of three or more; null without one."""
-    return F.substring(F.get(F.filter(F.split(F.lower(artist), r"\s+"), lambda w: F.length(w) >= 3), F.lit(0)), 1, 3)
+    return F.substring(F.get(F.filter(words(F.lower(artist)), lambda w: F.length(w) >= 3), F.lit(0)), 1, 3)
 
 
 def correct_artist(asked: DataFrame, catalog: DataFrame, threshold: int = 85) -> DataFrame:

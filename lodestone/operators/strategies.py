@@ -82,16 +82,41 @@ def resolve_albums(requests: DataFrame, store: Store) -> DataFrame:
     return requests.where(~unknown & there("album")).select("req_id", F.lit(1).alias("place"), "album").unionByName(once)
 
 
-def with_fallback(requests: DataFrame, albums: DataFrame, catalog: DataFrame, k: int = K) -> DataFrame:
-    """Artist with each album; else artist with song; else the artist alone. The last two are fallbacks."""
-    scratch = Scratch(requests.sparkSession, "fallback")
+def _ways(requests: DataFrame, albums: DataFrame) -> DataFrame:
+    """(req_id, artist, way, step, wanted, query): the artist with each album, with the song, and alone."""
     r = requests.where(there("artist")).select("req_id", "artist", "song")
     query = lambda *parts: F.concat_ws(" ", *parts).alias("query")
     way = lambda n, step, wanted: (F.lit(n).alias("way"), step.alias("step"), wanted.alias("wanted"))
     with_album = r.join(albums, "req_id").select("req_id", "artist", *way(0, F.col("place"), F.col("album")), query("artist", "album"))
     with_song = r.where(there("song")).select("req_id", "artist", *way(1, F.lit(1), F.col("song")), query("artist", "song"))
     alone = r.select("req_id", "artist", *way(2, F.lit(1), _none()), query("artist"))
-    ways = scratch.put(with_album.union(with_song).union(alone))
+    return with_album.union(with_song).union(alone)
+
+
+def _readings(requests: DataFrame) -> DataFrame:
+    """(req_id, way, artist, query): both readings of a message "X - Y"."""
+    parts = requests.select("req_id", text.ambiguous_parts(F.col("raw_message")).alias("parts")).where("parts IS NOT NULL").select("req_id", "parts.*")
+    reading = lambda n, a, b: parts.select("req_id", F.lit(n).alias("way"), F.col(a).alias("artist"), F.concat_ws(" ", a, b).alias("query"))
+    return reading(1, "part1", "part2").union(reading(2, "part2", "part1"))
+
+
+def _songs(requests: DataFrame) -> DataFrame:
+    """(req_id, artist, song, track, words) of requests for a song by an artist."""
+    r = requests.where(there("song") & there("artist"))
+    return r.select("req_id", "artist", "song", text.song_with_version(F.col("song"), F.coalesce("raw_message", F.lit(""))).alias("track"), text.keyword_query(F.col("artist"), F.col("song")).alias("words"))
+
+
+def texts(requests: DataFrame, albums: DataFrame) -> DataFrame:
+    """(query): what the strategies search the catalog for, as far as requests and their albums tell."""
+    alone = requests.where(there("song") & ~there("artist")).select(F.col("song").alias("query"))
+    every = [_ways(requests, albums), _readings(requests), _songs(requests).select(F.col("words").alias("query")).where("query <> ''"), alone]
+    return reduce(DataFrame.union, [x.select("query") for x in every]).distinct()
+
+
+def with_fallback(requests: DataFrame, albums: DataFrame, catalog: DataFrame, k: int = K) -> DataFrame:
+    """Artist with each album; else artist with song; else the artist alone. The last two are fallbacks."""
+    scratch = Scratch(requests.sparkSession, "fallback")
+    ways = scratch.put(_ways(requests, albums))
     found = catalog_search.search(ways.select("query"), catalog, k).select("query", "id", F.col("rank").alias("found"))
     rows = _named(ways.join(found, "query"), catalog).where(starts_with(F.col("known"), F.col("artist")))
     kept = scratch.put(rows.where((F.col("way") > 0) | overlaps(F.col("wanted"), F.col("title"))))
@@ -106,9 +131,7 @@ def with_fallback(requests: DataFrame, albums: DataFrame, catalog: DataFrame, k:
 def swapped(requests: DataFrame, catalog: DataFrame, k: int = K) -> DataFrame:
     """A message "X - Y" read both ways, X and then Y as the artist."""
     scratch = Scratch(requests.sparkSession, "swapped")
-    parts = requests.select("req_id", text.ambiguous_parts(F.col("raw_message")).alias("parts")).where("parts IS NOT NULL").select("req_id", "parts.*")
-    reading = lambda n, a, b: parts.select("req_id", F.lit(n).alias("way"), F.col(a).alias("artist"), F.concat_ws(" ", a, b).alias("query"))
-    ways = scratch.put(reading(1, "part1", "part2").union(reading(2, "part2", "part1")))
+    ways = scratch.put(_readings(requests))
     found = catalog_search.search(ways.select("query"), catalog, k).select("query", "id", F.col("rank").alias("found"))
     rows = _named(ways.join(found, "query"), catalog).where(starts_with(F.col("known"), F.col("artist")))
     return _shaped(keep_first(rows, ["req_id", "id"], [F.col("way"), F.col("found")]), [F.col("way"), F.col("found")], k)
@@ -117,8 +140,7 @@ def swapped(requests: DataFrame, catalog: DataFrame, k: int = K) -> DataFrame:
 def track_on_compilation(requests: DataFrame, catalog: DataFrame, store: Store, k: int = K) -> DataFrame:
     """Releases that have the song by the artist, looked for in the catalog; where none is there, the first row with telling words of both."""
     scratch = Scratch(requests.sparkSession, "compilation")
-    r = requests.where(there("song") & there("artist"))
-    asked = scratch.put(r.select("req_id", "artist", "song", text.song_with_version(F.col("song"), F.coalesce("raw_message", F.lit(""))).alias("track"), text.keyword_query(F.col("artist"), F.col("song")).alias("words")))
+    asked = scratch.put(_songs(requests))
     on = releases.releases_of_track(asked.select("track", "artist"), store, SONG_RELEASES).withColumnRenamed("rank", "step")
     low = lambda c: text.strip(F.lower(c))
     telling = (low("title") != low("artist")) & (F.length(text.strip(F.col("title"))) >= 3)

@@ -35,6 +35,8 @@ def lookup(requests: DataFrame, catalog: DataFrame, store: Store, k: int = K, st
     known = scratch.put(corrected(requests, catalog), "correction")
     asked = known.drop("corrected_artist")
     albums = scratch.put(strategies.resolve_albums(asked, store), "albums")
+    # one search for the texts of all strategies
+    catalog = search.Searched(catalog, strategies.texts(asked, albums), k)
     state, rows = strategies.run_strategies(asked, albums, catalog, store, steps=steps)
     rows = scratch.put(top_k(rows, ["req_id"], [F.col("place")], k).drop("place"), "search")
     # of results that stand in for the song, those that have it count alone, if there are any

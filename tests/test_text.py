@@ -92,3 +92,15 @@ def test_versions_keywords_and_keys(spark):
     assert all(a == b != c for a, b, c in keys) and keys[0][0] != keys[1][0]
     assert column(spark, ["http://x/1.jpg", "http://x/spacer.gif", "", None], text.image_or_null) == ["http://x/1.jpg", None, None, None]
     assert column(spark, ["7", None], lambda x: text.url_of("http://y?id=", x)) == ["http://y?id=7", None]
+
+
+def test_white_space_of_all_scripts(spark):
+    """Words end where str.split() ends them, and strip goes as far as str.strip()."""
+    spaces = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2003\u200a\u2028\u2029\u202f\u205f\u3000"
+    texts = [f"{c}one{c}{c}two three{c}" for c in spaces] + ["\u200bone\u200b", "a\ufeffb"]
+    rows = spark.createDataFrame([(t,) for t in texts], "x string").select("x", text.words(F.col("x")).alias("w"), text.strip(F.col("x")).alias("s"), text.marked_words(F.col("x")).alias("m"), text.artist_and_album(F.concat("x", F.lit(" - "), "x")).alias("a"))
+    for r in rows.collect():
+        assert r["w"] == r["x"].split() and r["s"] == r["x"].strip()
+        assert r["a"].artist == r["x"].strip() == r["a"].album
+        if "\u200b" not in r["x"] and "\ufeff" not in r["x"]:
+            assert r["m"] == ["one", "two", "three"]
