@@ -20,7 +20,8 @@ the seed: reruns agree.
 Edge cases: null text has no words; a null source is a source, last in order;
 documents without words settle by their own hash; repeated rows are mixed each;
 rows of the same id and size are told apart by a hash of all their columns, so
-that the order they arrive in plays no part; a text of any length is one number
+that the order they arrive in plays no part; all copies of one row are in one
+chunk, which is one task's and goes through them one by one; a text of any length is one number
 here, its words; an empty table gives an empty table; other columns pass
 through whatever their names, but for those of the results, which take their
 place.

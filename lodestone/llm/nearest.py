@@ -20,8 +20,9 @@ each; what leaves a task is the best k of each query. Queries that found fewer
 than k meet all rows in blocks of BLOCK queries, so none comes back short.
 
 Edge cases: vectors that are null, empty, zero, or that hold null or non-finite
-numbers take no part; vectors of several lengths are searched length by length,
-as there is no distance between them; rows that share a vec_id are rows of
+numbers take no part, nor do rows without a vec_id, which no result could name;
+vectors of several lengths are searched length by length, as there is no distance
+between them; rows that share a vec_id are rows of
 their own, each a candidate, and each a query if its vec_id is one; ties go to
 the smaller vec_id; an empty table gives an empty table; other columns are not
 read.

@@ -65,3 +65,10 @@ def test_probes_come_in_order_of_success(probes):
     score = lambda move: sum(f[i] ** 2 if step < 0 else (1 - f[i]) ** 2 for i, step in move)
     order = nearest.probe_order(f, probes)
     assert order[0] == [] and [score(m) for m in order] == sorted(score(m) for m in order)
+
+
+def test_rows_without_an_id_take_no_part(spark):
+    rows = [(i, [float(i), 1.0]) for i in range(30)]
+    found = lambda some: sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in nearest.nearest(frame_of(spark, some), F.col("vec_id") % 10 == 0, k=3).collect())
+    plain = found(rows)
+    assert len(plain) == 9 and found([*rows, (None, [0.5, 1.0]), (None, [10.0, 1.0])]) == plain
