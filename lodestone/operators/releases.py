@@ -30,7 +30,8 @@ def nearest_texts(asked: DataFrame, known: DataFrame, k: int, scratch: Scratch)
     common shares at most as many more as the side has left whose last one comes
     first in that order, and of pairs that could still share enough each is verified.
     The greater t, the fewer and rarer they are, so the search starts from
-    near equals and goes on for texts that have not found k yet.
+    near equals and goes on for texts that have not found k yet. What comes
+    last is not written: whoever reads the result more than once puts it.
     """
     grams = lambda side, text: side.select("*", F.explode(trigrams(F.col(text))).alias("gram"))
     asked = asked.where("asked IS NOT NULL").select("asked").distinct()
@@ -55,8 +56,9 @@ def nearest_texts(asked: DataFrame, known: DataFrame, k: int, scratch: Scratch)
         enough = F.ceil(t / (1 + t) * (F.col("n") + F.col("m")) - 1e-9) - rest
         could = met.groupBy("asked", "known", "first").agg(F.count("*").alias("common"), F.first(enough).alias("enough")).where("common >= enough")
         pairs = verified(could.select("asked", "known", "first"), t)
-        best = scratch.put(top_k(pairs, ["asked"], [F.desc("sim"), F.col("first"), F.col("known")], k).drop("rank", "first"))
+        best = top_k(pairs, ["asked"], [F.desc("sim"), F.col("first"), F.col("known")], k).drop("rank", "first")
         if t > SIMILAR:
+            best = scratch.put(best)
             enough = best.groupBy("asked").agg(F.count("*").alias("n")).where(F.col("n") >= k).select("asked")
             left = left.join(enough, "asked", "left_anti")
             best = best.join(enough, "asked", "left_semi")

@@ -190,28 +190,53 @@ def _on_pair(a: str, b: str) -> Column:
     return F.col(a).eqNullSafe(F.col("f_artist")) & F.col(b).eqNullSafe(F.col("f_album"))
 
 
-def validated(rows: DataFrame, requests: DataFrame, catalog: DataFrame, store: Store) -> DataFrame:
-    """(req_id, id) of those rows (req_id, id, ...) whose release has the song by the artist, for requests that have both."""
-    scratch = Scratch(requests.sparkSession, "validated")
+def _to_validate(rows: DataFrame, requests: DataFrame, catalog: DataFrame) -> DataFrame:
+    """Rows (req_id, id, song, artist, title) of requests that have a song and an artist."""
     asked = requests.where(there("song") & there("artist")).select("req_id", "song", "artist")
-    items = scratch.put(_named(rows.select("req_id", "id").join(asked, "req_id"), catalog.select("id", "artist", "title")))
-    found = first_releases(items.select("artist", F.col("title").alias("album")), store).select(F.col("artist").alias("f_artist"), F.col("album").alias("f_album"), "release_id")
+    return _named(rows.select("req_id", "id").join(asked, "req_id"), catalog.select("id", "artist", "title"))
+
+
+def _to_picture(rows: DataFrame, catalog: DataFrame) -> DataFrame:
+    """rows with the artist (by) and title (wanted) that artwork is looked for by."""
+    known = catalog.select("id", F.when(text.is_compilation(F.col("artist")), "Various").otherwise(F.coalesce("artist", F.lit(""))).alias("by"), F.col("title").alias("own_title"))
+    return rows.join(known, "id").withColumn("wanted", F.coalesce("release_title", "own_title")).drop("own_title")
+
+
+def releases_for(rows: DataFrame, requests: DataFrame, catalog: DataFrame, store: Store) -> DataFrame:
+    """first_releases of what validated and artwork ask for rows (req_id, id, release_title) of requests, in one search."""
+    own = _to_validate(rows, requests, catalog).select("artist", F.col("title").alias("album"))
+    return first_releases(own.union(_to_picture(rows, catalog).select("by", "wanted")), store)
+
+
+def validated(rows: DataFrame, requests: DataFrame, catalog: DataFrame, store: Store, found: DataFrame | None = None) -> DataFrame:
+    """(req_id, id) of those rows (req_id, id, ...) whose release has the song by the artist, for requests that have both.
+
+    found has the releases of at least these rows, if they are known already.
+    """
+    scratch = Scratch(requests.sparkSession, "validated")
+    items = _to_validate(rows, requests, catalog)
+    if found is None:
+        items = scratch.put(items)
+        found = first_releases(items.select("artist", F.col("title").alias("album")), store)
+    found = found.select(F.col("artist").alias("f_artist"), F.col("album").alias("f_album"), "release_id")
     checked = scratch.put(items.join(found, _on_pair("artist", "title")).select("req_id", "id", "release_id", F.col("song").alias("track"), "artist"))
     judged = releases.validate(checked.select("release_id", "track", "artist").distinct(), releases.known_documents(store, checked.select("release_id"))).where("valid")
     return checked.join(judged, ["release_id", "track", "artist"], "left_semi").select("req_id", "id")
 
 
-def artwork(rows: DataFrame, catalog: DataFrame, store: Store) -> DataFrame:
+def artwork(rows: DataFrame, catalog: DataFrame, store: Store, found: DataFrame | None = None) -> DataFrame:
     """rows (req_id, id, release_title, ...) with release_id, album, release_artist, artwork_url and confidence of the release found first for each.
 
     The release's title stands for the catalog's where it led to the row; a
     compilation is asked for as by "Various". Without an image of its own a
-    release has its artist's, or else its label's.
+    release has its artist's, or else its label's. found has the releases of at
+    least these rows, if they are known already.
     """
     scratch = Scratch(rows.sparkSession, "artwork")
-    known = catalog.select("id", F.when(text.is_compilation(F.col("artist")), "Various").otherwise(F.coalesce("artist", F.lit(""))).alias("by"), F.col("title").alias("own_title"))
-    items = scratch.put(rows.join(known, "id").withColumn("wanted", F.coalesce("release_title", "own_title")).drop("own_title"))
-    found = scratch.put(first_releases(items.select(F.col("by").alias("artist"), F.col("wanted").alias("album")), store))
+    items = _to_picture(rows, catalog)
+    if found is None:
+        items = scratch.put(items)
+        found = scratch.put(first_releases(items.select(F.col("by").alias("artist"), F.col("wanted").alias("album")), store))
     images = releases.fallback_images(found.where("artwork_url IS NULL").select("release_id"), store)
     shown = found.join(images, "release_id", "left").select(
         F.col("artist").alias("f_artist"), F.col("album").alias("f_album"), "release_id", F.col("title").alias("album"), F.col("artist_name").alias("release_artist"), F.coalesce("artwork_url", "image").alias("artwork_url"), "confidence"

@@ -41,11 +41,13 @@ def lookup(requests: DataFrame, catalog: DataFrame, store: Store, k: int = K, st
     rows = scratch.put(top_k(rows, ["req_id"], [F.col("place")], k).drop("place"), "search")
     # of results that stand in for the song, those that have it count alone, if there are any
     open_ = state.where("song_not_found")
-    good = scratch.put(strategies.validated(rows.join(open_.select("req_id"), "req_id", "left_semi"), open_, catalog, store), "validation")
+    # one search of the store for validation and artwork
+    found = scratch.put(strategies.releases_for(rows, open_, catalog, store))
+    good = scratch.put(strategies.validated(rows, open_, catalog, store, found), "validation")
     sure = good.select("req_id").distinct().withColumn("confirmed", F.lit(True))
     state = scratch.put(state.join(sure, "req_id", "left").withColumn("confirmed", F.coalesce("confirmed", F.lit(False))).withColumn("song_not_found", F.col("song_not_found") & ~F.col("confirmed")))
     kept = rows.join(state.where("confirmed").select("req_id"), "req_id", "left_anti").unionByName(rows.join(good, ["req_id", "id"], "left_semi"))
-    shown = scratch.put(strategies.artwork(top_k(kept.withColumnRenamed("rank", "place"), ["req_id"], [F.col("place")], k).drop("place"), catalog, store).drop("release_title"), "artwork")
+    shown = scratch.put(strategies.artwork(top_k(kept.withColumnRenamed("rank", "place"), ["req_id"], [F.col("place")], k).drop("place"), catalog, store, found).drop("release_title"), "artwork")
     named = shown.withColumnRenamed("album", "release_album").join(catalog.select("id", "title", F.col("artist").alias("known")), "id")
     whole = state.join(known.select("req_id", "corrected_artist"), "req_id").join(named, "req_id", "left")
     on_compilation = F.coalesce(F.col("found") == "track_on_compilation", F.lit(False))
