@@ -6,18 +6,24 @@ order of estimated success: the squared distance to the walls it crosses.
 Candidates of all tables are compared by their exact distance in double
 precision and merged.
 
-The numbers of tables (LEAST_TABLES to MOST_TABLES), projections and probes and
-the width are fitted on a bounded sample (SAMPLE vectors): the cheapest setting
-that captures TARGET of the sample's pairs at the distance where the k-th
-neighbour among all rows is expected. Every row is indexed. On vectors that lie
-in groups a query meets few of all rows; among random ones in many dimensions
+Rows may lie close together in one place and far apart in another, so one width
+does not do for all. How far away a k-th neighbour is, is measured on a bounded
+sample of queries (ASKED), each against all rows, and these distances fall into
+levels, each no wider than SPREAD. A level's numbers of tables (LEAST_TABLES to
+MOST_TABLES), projections and probes and its width are fitted on a bounded
+sample (SAMPLE vectors): the cheapest setting that captures TARGET of the pairs
+at the level's greatest distance. A query starts at the narrowest level. The k-th
+distance that it finds there is no less than the true one: where it is within the
+level's reach, all its neighbours are, and it is done; else it goes on to the next
+level, and beyond the last meets all rows. Every row is indexed at every level
+that a query gets to. On vectors that lie in groups a query meets few of all rows; among random ones in many dimensions
 the tenth neighbour is nearly as far as any row, cells come out wide and
 queries meet most rows. The README has recall and share for both.
 
 A cell is dealt over tasks in slices of about CELL_ROWS rows, each against
 blocks of about CELL_QUERIES queries, so that no task holds more than one of
 each; what leaves a task is the best k of each query. Queries that found fewer
-than k meet all rows in blocks of BLOCK queries, so none comes back short.
+than k meet all rows in blocks of BLOCK queries, as do those beyond the last level, so none comes back short.
 
 Edge cases: vectors that are null, empty, zero, or that hold null or non-finite
 numbers take no part, nor do rows without a vec_id, which no result could name;
@@ -43,6 +49,8 @@ from lodestone.llm.common import Scratch, arrow_schema, map_rows, record_batch
 K = 10
 #: Vectors that the fit looks at, pairs of them that stand for neighbours, and the share to be captured.
 SAMPLE, PAIRS, TARGET = 2048, 150, 0.96
+#: Queries whose true k-th distances are measured, the greatest over the least of a level, how far beyond them it reaches, and the levels at most.
+ASKED, SPREAD, BEYOND, LEVELS = 128, 2.0, 1.05, 6
 LEAST_TABLES, MOST_TABLES = 4, 24
 CELL_ROWS, CELL_QUERIES, BLOCK = 2048, 1024, 2048
 #: Queries whose best a task keeps before it lets them go.
@@ -101,17 +109,36 @@ class Tables:
         return np.unique(self.cells(numbers))
 
 
-def fit(sample: np.ndarray, n: int, k: int = K) -> Tables:
-    """The setting of least work that captures TARGET of the pairs as far apart as k-th neighbours among n rows."""
+def levels(apart: np.ndarray, spread: float = SPREAD, most: int = LEVELS) -> list[float]:
+    """How far each level reaches, so that k-th distances within `spread` of each other share one; copies go with the nearest."""
+    kth = np.sort(apart[apart > 0])
+    out: list[float] = []
+    while len(kth):
+        # the last level takes what is left
+        within = kth if len(out) == most - 1 else kth[kth <= spread * kth[0]]
+        out.append(BEYOND * float(within[-1]))
+        kth = kth[len(within) :]
+    return out
+
+
+def fit(sample: np.ndarray, n: int, k: int = K, reach: float | None = None) -> Tables:
+    """The setting of least work that captures TARGET of the pairs `reach` apart, by default as far as k-th neighbours among n rows of one density."""
     dims, rng = sample.shape[1], np.random.default_rng(7)
     square = (sample**2).sum(axis=1)
     a, b = np.triu_indices(len(sample), 1)
     apart = np.sqrt(np.maximum(0, (square[:, None] + square[None] - 2 * sample @ sample.T)[a, b]))
     if not len(apart):
         return Tables(dims, 1, 1, 1.0, 1)
-    reach = float(np.quantile(apart, min(1.0, k / n))) or float(np.median(apart)) or 1.0
-    near = np.argsort(np.abs(apart - reach), kind="stable")[:PAIRS]
     far = rng.integers(0, len(apart), PAIRS)
+    if reach is None:
+        reach = float(np.quantile(apart, min(1.0, k / n))) or float(np.median(apart)) or 1.0
+        near = np.argsort(np.abs(apart - reach), kind="stable")[:PAIRS]
+    else:
+        # the directions being normal, only the distance of a pair counts: partners are put that far from some of the sample
+        some, way = rng.integers(0, len(sample), PAIRS), rng.standard_normal((PAIRS, dims))
+        partners = sample[some] + reach * way / np.sqrt((way**2).sum(axis=1, keepdims=True))
+        a, b = np.append(a, some), np.append(b, len(sample) + np.arange(PAIRS))
+        near, sample = len(apart) + np.arange(PAIRS), np.concatenate([sample, partners])
     asking = np.unique(a[np.concatenate([near, far])]).tolist()
     best = None
     for m in (2, 3, 4, 6, 8, 12, 16, 24):
@@ -261,27 +288,46 @@ def candidates(vectors: DataFrame, asking: DataFrame, tables: Tables, scratch: S
     return dealt.unionByName(sent).drop("slices", "blocks")
 
 
-def _of_one_length(vectors: DataFrame, queries, k: int, tables: Tables | None, scratch: Scratch, **sizes: int) -> DataFrame:
-    n = vectors.count()
-    if tables is None:
-        sample = [r["vec"] for r in vectors.orderBy(F.xxhash64("vec_id"), "vec_id", "row").limit(SAMPLE).collect()]
-        tables = fit(np.array(sample), n, k)
-    asking = vectors.where(queries)
-    best = scratch.put(_top(scratch.put(_compare(candidates(vectors, asking, tables, scratch, **sizes), k)), k))
-    # whoever came back short meets everything, a block of queries at a time
-    want = min(k, n - 1)
-    full = best.groupBy("query_row").agg(F.count("*").alias("got")).where(F.col("got") >= want)
-    short = scratch.put(asking.join(full, F.col("row") == F.col("query_row"), "left_anti"))
-    n_short = short.count() if want > 0 else 0
-    if not n_short:
-        return best
-    blocks = -(-n_short // BLOCK)
-    more = None
+def _kth_distances(vectors: DataFrame, queries, n: int, k: int) -> np.ndarray:
+    """The true k-th distance of at most ASKED queries, in one pass over all rows."""
+    some = vectors.where(queries).orderBy(F.xxhash64("row"), "row").limit(ASKED).collect()
+    last = _top(_exhaust(vectors, some, k), k).where(F.col("rank") == min(k, n - 1))
+    return np.array([r["score"] for r in last.select("score").collect()])
+
+
+def _blocks_of(short: DataFrame, n: int, vectors: DataFrame, k: int, scratch: Scratch) -> DataFrame:
+    """Queries against all rows, about BLOCK of them at a time."""
+    blocks, more = -(-n // BLOCK), None
     for i in range(blocks):
-        some = short.where(F.pmod(F.xxhash64("row"), F.lit(blocks)) == i).collect()  # about BLOCK queries
+        some = short.where(F.pmod(F.xxhash64("row"), F.lit(blocks)) == i).collect()
         part = scratch.put(_exhaust(vectors, some, k))
         more = part if more is None else more.union(part)
-    return best.join(short.select(F.col("row").alias("query_row")), "query_row", "left_anti").unionByName(_top(more, k))
+    return _top(more, k)
+
+
+def _of_one_length(vectors: DataFrame, queries, k: int, tables: Tables | None, scratch: Scratch, **sizes: int) -> DataFrame:
+    n, left = vectors.count(), vectors.where(queries)
+    want = min(k, n - 1)
+    if tables is None:
+        sample = np.array([r["vec"] for r in vectors.orderBy(F.xxhash64("vec_id"), "vec_id", "row").limit(SAMPLE).collect()])
+        reaches = levels(_kth_distances(vectors, queries, n, k)) or [None]
+        settings = [(fit(sample, n, k, reach), reach) for reach in reaches]
+    else:
+        settings = [(tables, None)]
+    found = None
+    for setting, reach in settings:
+        best = scratch.put(_top(scratch.put(_compare(candidates(vectors, left, setting, scratch, **sizes), k)), k))
+        # a query is done with k rows, all of them within reach
+        far = F.lit(True) if reach is None else F.max("score") <= reach
+        done = scratch.put(best.groupBy("query_row").agg(F.count("*").alias("got"), far.alias("near")).where((F.col("got") >= want) & F.col("near")).select("query_row"))
+        kept = best.join(done, "query_row", "left_semi")
+        found = kept if found is None else found.unionByName(kept)
+        left = scratch.put(left.join(done, F.col("row") == F.col("query_row"), "left_anti"))
+        n_left = left.count() if want > 0 else 0
+        if not n_left:
+            return found
+    # whoever is left meets everything
+    return found.unionByName(_blocks_of(left, n_left, vectors, k, scratch))
 
 
 def nearest(rows: DataFrame, queries, id_column: str = "vec_id", vector_column: str = "embedding", k: int = K, tables: Tables | None = None, **sizes: int) -> DataFrame:

@@ -72,3 +72,17 @@ def test_rows_without_an_id_take_no_part(spark):
     found = lambda some: sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in nearest.nearest(frame_of(spark, some), F.col("vec_id") % 10 == 0, k=3).collect())
     plain = found(rows)
     assert len(plain) == 9 and found([*rows, (None, [0.5, 1.0]), (None, [10.0, 1.0])]) == plain
+
+
+def test_vectors_of_several_sizes(spark):
+    """Norms of which some are a hundred times as large as others: the neighbours of all are found, not only those of the densest."""
+    rng = np.random.default_rng(3)
+    x = np.exp(rng.standard_normal(2000))[:, None] * rng.standard_normal((2000, 32))
+    got = nearest.nearest(frame_of(spark, enumerate(x)), "vec_id % 100 = 0").collect()
+    assert recall(got, x, range(0, 2000, 100)) >= 0.9
+
+
+def test_levels():
+    assert nearest.levels(np.array([0.0, 0.0])) == []
+    assert np.allclose(np.array(nearest.levels(np.array([0.0, 1.0, 1.9, 100.0, 150.0]))) / nearest.BEYOND, [1.9, 150.0])
+    assert len(nearest.levels(10.0 ** np.arange(20))) == nearest.LEVELS
