@@ -202,3 +202,36 @@ def test_stream_counts(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted(r["n"] for r in spark.table("counted").collect()) == [1, 2]
+
+
+def test_strict_search_meets_rows_once_for_all_who_ask(spark, monkeypatch):
+    """Requests for one artist of every row: the rows are ranked once for all of them, with the results of a plain search for each."""
+    rows = [(i, f"Band {'One' if i % 2 else 'Two'} - {'Red' if i % 3 else 'Blue'} Album {i % 7}", None) for i in range(120)] + [(None, "Band One - No Number", None), (500, "No separator", None)]
+    on_tracks = [(i, f"Song {i % 5}") for i in range(120) for _ in range(2)]
+    asked = [(n, "band one", None, None) for n in range(150)]
+    asked += [(200, None, "red", None), (201, "one", "blue album", None), (202, "two", None, "song 3"), (203, "band", "red 4", "SONG 1"), (204, None, None, "song 2"), (205, "nobody", "red", None), (206, "#", "red", None), (207, None, None, None)]
+    seen, plain = [], releases.first_by_title
+
+    def counted(ranked, keys, order, k):
+        seen.append(ranked.count())
+        return plain(ranked, keys, order, k)
+
+    monkeypatch.setattr(releases, "first_by_title", counted)
+    fields = spark.createDataFrame(asked, "req_id long, artist string, album string, track string")
+    remote, tracks = spark.createDataFrame(rows, "id long, title string, thumb string"), spark.createDataFrame(on_tracks, "release_id long, title string")
+    got = sorted((r["req_id"], r["rank"], r["id"]) for r in releases.strict_search(fields, remote, tracks, 3).collect())
+    holds = lambda entry, text: text is None or (set(text.lower().split()) <= set(entry.lower().split()) and text != "#")
+    want = []
+    for req, artist, album, track in asked:
+        if artist is None and album is None and track is None:
+            continue
+        once = {}
+        for i, title, _ in rows:
+            if i is None:
+                continue
+            theirs, name = title.split(" - ") if " - " in title else ("", title)
+            if holds(theirs, artist) and holds(name, album) and (track is None or any(r == i and holds(t, track) for r, t in on_tracks)):
+                once.setdefault(name.lower(), i)
+        want += [(req, n, i) for n, i in enumerate(sorted(once.values())[:3], 1)]
+    assert got == sorted(want) and len(got) > 450
+    assert sum(seen) < 1000, seen
