@@ -77,3 +77,18 @@ def test_few_pairs_are_verified(spark, monkeypatch, shape):
     got = releases.nearest_texts(spark.createDataFrame([(a,) for a in asked], "asked string"), spark.createDataFrame(known, "known string, first long"), 10, Scratch(spark, "t"))
     assert {(r["asked"], r["known"], round(float(r["sim"]), 9)) for r in got.collect()} == brute(set(asked), known, 10)
     assert sum(counts) < (0.02 if shape == "names" else 0.03) * len(set(asked)) * len(known)
+
+
+def test_names_that_differ_by_number_alone_meet_few(spark, monkeypatch):
+    """Trigrams that no known text has use up most of a text's rarest ones, so that it is compared with hardly any but those of its own number."""
+    known, asked = [(f"customer#{i:09d}", i) for i in range(3000)], [f"supplier#{i:09d}" for i in range(0, 3000, 30)]
+    counts, plain = [], releases.meeting
+
+    def counted(ours, theirs):
+        counts.append(plain(ours, theirs).count())
+        return plain(ours, theirs)
+
+    monkeypatch.setattr(releases, "meeting", counted)
+    got = releases.nearest_texts(spark.createDataFrame([(a,) for a in asked], "asked string"), spark.createDataFrame(known, "known string, first long"), 10, Scratch(spark, "t"))
+    assert {(r["asked"], r["known"], round(float(r["sim"]), 9)) for r in got.collect()} == brute(set(asked), known, 10)
+    assert sum(counts) < 0.02 * len(asked) * len(known), sum(counts)
