@@ -14,7 +14,7 @@ STOP = ", ".join(f"'{w}'" for w in text.STOPWORDS)
 
 
 def norm_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return views.table(spark, sf_dir, "documents").select("doc_id", F.md5(text.norm(F.col("text"))).alias("norm_md5"), F.length(text.norm(F.col("text"))).cast("long").alias("n"))
+    return views.table(spark, sf_dir, "documents").select("doc_id", text.norm(F.col("text")).alias("norm")).select("doc_id", F.md5("norm").alias("norm_md5"), F.length("norm").cast("long").alias("n"))
 
 
 def compilation_flag(spark, sf_dir):

@@ -104,3 +104,24 @@ def test_white_space_of_all_scripts(spark):
         assert r["a"].artist == r["x"].strip() == r["a"].album
         if "\u200b" not in r["x"] and "\ufeff" not in r["x"]:
             assert r["m"] == ["one", "two", "three"]
+
+
+def test_normal_form_is_computed_once(spark, tmp_path):
+    """A text is decomposed for its digest and its length together."""
+    from lodestone.plans import scalar_queries
+
+    spark.createDataFrame([(1, "Ä b"), (2, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = scalar_queries.norm_text(spark, str(tmp_path))
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("decompose") == 1
+    assert {(r["doc_id"], r["n"]) for r in found.collect()} == {(1, 3), (2, 0)}
+
+
+def test_class_of_combining_marks(spark):
+    import unicodedata
+
+    from lodestone.functions import text
+
+    chars = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    rows = spark.createDataFrame([("".join(chars[i : i + 4096]),) for i in range(0, len(chars), 4096)], "t string")
+    left = {c for r in rows.selectExpr(f"regexp_replace(t, r'{text._MARKS}', '') AS t").collect() for c in r["t"]}
+    assert set(chars) - left == {c for c in chars if unicodedata.combining(c)}
