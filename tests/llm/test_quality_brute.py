@@ -106,3 +106,30 @@ def test_names_that_clash(spark):
     assert as_rows(plain) == as_rows(clashing)
     assert {c for c in clashing.columns if c not in plain.columns} == {"nll", "symbols", "l_", "own_mean", "row", "c0", "word", "rank", "a.b"}
     assert clashing.select("nll", "c0", "`a.b`").distinct().collect() == [("mine",) * 3]
+
+
+@pytest.mark.parametrize("bound", [10**6, 0])
+def test_all_trusted_documents_count(spark, monkeypatch, bound):
+    """A sample's size has no effect: counts are of every trusted document."""
+    monkeypatch.setattr(quality_model, "SAMPLE", 10)
+    monkeypatch.setattr(quality_model.training_ids, "__defaults__", (10,))
+    rng = random.Random(6)
+    rows = [(i, " ".join("".join(rng.choices("abcdé\U0001f600", k=rng.randint(1, 7))) for _ in range(rng.randint(1, 40))), "x") for i in range(150)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(100)], "doc_id long, quality int, toxic int")
+    folds = [r["fold"] for r in docs.coalesce(1).select(quality_model.fold_of("text").alias("fold")).collect()]
+    nll = [plain_model([t for (d, t, _), f in zip(rows, folds) if d < 100 and f != i], quality_model.ORDER) for i in range(2)]
+    got = {r["doc_id"]: r["perplexity"] for r in quality_model.judge_documents(docs, labels, broadcast_grams=bound).collect()}
+    for (d, t, _), f in zip(rows, folds):
+        assert got[d] == pytest.approx(math.exp(sum(map(nll[f], t.split())) / sum(len(w) + 1 for w in t.split())), rel=1e-9)
+
+
+def test_words_longer_than_what_is_scored_at_a_time(monkeypatch):
+    p, g = {"a": -1.0, "b": -2.0, "ab": -0.5, "aab": -0.25, END: -3.0}, {"": -0.1, "a": -0.2, "ba": -0.4}
+    scorer, some = quality_model.Scorer(p, g, 3), ["ab", "aabab?", "b" * 50 + "aab" * 7, "\x00a"]
+    whole = scorer.words(some)[0].tolist()
+    monkeypatch.setattr(quality_model, "PLACES", 5)
+    assert scorer.words(some)[0].tolist() == pytest.approx(whole)
+    # a by its own, b after it, and the end with the weight of a history that is known
+    assert whole[0] == pytest.approx(1.0 + 0.5 + 3.0)
+    assert scorer.texts(["", "ab ab", " "])[0].tolist() == pytest.approx([0, 2 * whole[0], 0])
