@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import Scratch, map_rows, texts
+from lodestone.llm.common import Scratch, map_rows, slices, texts
 
 CAPACITY, END_ID = 4096, 1
 #: Pieces of one length and salt that one task ranks, on average over all lengths.
@@ -113,7 +113,7 @@ def tokenized_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPAC
 
         def each(batch: pa.RecordBatch) -> Iterator[dict]:
             out: dict[str, list] = {k: [] for k in ("doc_id", "piece", "start", "length", "ids_crc32")}
-            for doc, text in zip(batch.column("doc_id").to_pylist(), texts(batch), strict=True):
+            for doc, text in ((d, t) for part in slices(batch) for d, t in zip(part.column("doc_id").to_pylist(), texts(part), strict=True)):
                 ids = tokenizer.encode(text) + end
                 for i, at in enumerate(range(0, len(ids), 4 * capacity)):
                     some = ids[at : at + 4 * capacity]

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import map_rows, record_batch, texts
+from lodestone.llm.common import map_rows, record_batch, slices, texts
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -295,9 +295,9 @@ def redact(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
     kinds, schema = to_arrow_schema(docs.schema), docs.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            columns = {f.name: batch.column(f.name) for f in kinds}
-            old = batch.column("text").to_pylist()
+        for part in (part for batch in batches for part in slices(batch)):
+            columns = {f.name: part.column(f.name) for f in kinds}
+            old = part.column("text").to_pylist()
             new = [None if t is None else masked(t, mark) for t in old]
             columns["text"] = new
             if "n_chars" in columns:
