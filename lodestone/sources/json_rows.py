@@ -78,6 +78,11 @@ NAMED = "array<struct<id: bigint, name: string>>"
 RELEASE = f"id bigint, title string, year int, artists {NAMED}, labels {NAMED}, genres array<string>, styles array<string>, tracklist array<struct<position: string, title: string, duration: string, artists: {NAMED}>>, images array<struct<uri: string>>"
 
 
+def computed_once(rows: DataFrame, name: str, value: Column) -> DataFrame:
+    """rows with one more column, which what follows reads: Spark would else compute it anew for each filter and field that asks for it."""
+    return rows.select("*", F.explode(F.array(value)).alias(name))
+
+
 def release_documents(rows: DataFrame, base: str = "") -> tuple[DataFrame, DataFrame]:
     """Releases of the rows (id, value), and the rows whose text is no release.
 
@@ -86,7 +91,7 @@ def release_documents(rows: DataFrame, base: str = "") -> tuple[DataFrame, DataF
     with a value of another kind than the schema's is no release.
     """
     broken = "_broken"
-    read = rows.select("id", "value", F.from_json("value", f"{RELEASE}, {broken} string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": broken}).alias("r"))
+    read = computed_once(rows.select("id", "value"), "r", F.from_json("value", f"{RELEASE}, {broken} string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": broken}))
     failed = F.col("value").isNull() | F.col("r").isNull() | F.col(f"r.{broken}").isNotNull() | F.col("r.id").isNull()
     listed = lambda x, kind: F.coalesce(x, F.array().cast(kind))
     first = lambda name, field: F.get(F.col(f"r.{name}"), F.lit(0))[field]

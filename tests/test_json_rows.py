@@ -4,6 +4,7 @@ import json
 
 import pytest
 
+from lodestone.plans import json_queries
 from lodestone.sources.json_rows import FORMS, release_documents, requests
 
 
@@ -57,3 +58,15 @@ def test_release_documents(spark):
     bare = {"title": "", "artist": "", "year": None, "label": None, "artist_id": None, "label_id": None, "genres": [], "styles": [], "tracklist": [], "artwork_url": None}
     assert found[6] == {"release_id": 6, "release_url": "r/6"} | bare and found[7] == {"release_id": 7, "release_url": "r/7"} | bare
     assert found[8]["artwork_url"] is None and found[8]["tracklist"] == []
+
+
+def test_documents_are_written_and_parsed_once(spark):
+    """What reads a document's fields, and what tells broken ones, read one parsed value."""
+    rows = spark.createDataFrame([(1, '{"id":5,"title":"a"}'), (2, "{"), (3, None)], "id long, value string")
+    good, failed = release_documents(rows, "http://r/")
+    for df in (good, failed):
+        assert df._jdf.queryExecution().optimizedPlan().toString().count("from_json(") == 1
+    assert [(r["release_id"], r["release_url"]) for r in good.collect()] == [(5, "http://r/5")]
+    assert sorted(r["id"] for r in failed.collect()) == [2, 3]
+    plan = json_queries.release_document(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("StructsToJsonEvaluator") == 1
