@@ -36,7 +36,7 @@ would be hashed anew.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -337,6 +337,13 @@ def ends(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
 
 
+def unconnected(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """pairs (a, b) without those whose ends have one root of roots (node, root)."""
+    of = lambda c, out: roots.select(F.col("node").alias(c), F.col("root").alias(out))
+    both = pairs.join(of("a", "x"), "a", "left").join(of("b", "y"), "b", "left")
+    return both.where("x IS NULL OR y IS NULL OR x <> y").select("a", "b")
+
+
 def exact(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """pairs (a, b) with linked, from the overlaps of their rows."""
     rows = sets.select("id", "grams").join(ends(pairs), "id", "left_semi").dropDuplicates(["id"])
@@ -358,8 +365,8 @@ def exact(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return map_rows(both.select("a", "b", "s", "t"), make, "a long, b long, linked boolean", rows=256)
 
 
-def labels(docs: DataFrame, least: DataFrame, counts: np.ndarray, scratch: Scratch, words: int, percent: int, seed: int, block_rows: int, whole_rows: int) -> DataFrame:
-    """(node, root) of the sets of docs that links connect with others. least: (id, doc_id) of each set; counts: of n-grams by slot."""
+def labels(docs: DataFrame, least: DataFrame, counts: np.ndarray, scratch: Scratch, words: int, percent: int, seed: int, block_rows: int, whole_rows: int, known: DataFrame | None = None) -> DataFrame:
+    """(node, root) of the sets of docs that links connect with others. least: (id, doc_id) of each set; counts: of n-grams by slot; known: links (a, b) that need no check."""
     filed = scratch.put(prefixes(docs, words, counts, percent, seed))
     sketches = scratch.put(filed.where("key IS NULL").select("id", "n", "odd").dropDuplicates(["id"]))
     # most n-grams are in one document alone; equal documents have them more than once
@@ -375,9 +382,13 @@ def labels(docs: DataFrame, least: DataFrame, counts: np.ndarray, scratch: Scrat
     part = F.when(F.col("id") == F.col("pivot"), F.sequence(F.lit(0), slices - 1)).otherwise(F.array(F.pmod(F.xxhash64("id"), slices).cast("int")))
     dealt = shared.select("key", "id", (F.col("id") != F.col("pivot")).alias("first"), F.explode(part).alias("part")).join(sketches, "id")
     pairs = scratch.put(by_block(dealt, "forest", percent).select("a", "b"))
+    if known is not None:
+        pairs = scratch.put(unconnected(pairs, connected_components(known, scratch)))
     sets = scratch.put(matrix(docs, least.join(ends(pairs), "id"), words, seed))
     judged = scratch.put(exact(pairs, sets, percent))
     links, refused = judged.where("linked").select("a", "b"), judged.where("NOT linked").select("a", "b")
+    if known is not None:
+        links = links.union(known)
     crowded = shared.where(F.col("size") > block_rows).select("key").distinct()
     roots = connected_components(links, scratch)
     if refused.limit(1).count() or crowded.limit(1).count():
@@ -406,8 +417,14 @@ def labels(docs: DataFrame, least: DataFrame, counts: np.ndarray, scratch: Scrat
     return roots
 
 
-def components(docs: DataFrame, scratch: Scratch, words: int, percent: int, slots: int = SLOTS, block_rows: int = BLOCK_ROWS, whole_rows: int = WHOLE_ROWS) -> tuple[DataFrame, DataFrame]:
-    """Rows (doc_id, n, id) of docs (doc_id, text), and (id, root) of each set that documents have."""
+def components(
+    docs: DataFrame, scratch: Scratch, words: int, percent: int, slots: int = SLOTS, block_rows: int = BLOCK_ROWS, whole_rows: int = WHOLE_ROWS, nominate: Callable[[DataFrame], DataFrame] | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, n, id) of docs (doc_id, text), and (id, root) of each set that documents have.
+
+    nominate gives pairs (a, b) of sets from rows (doc_id, id): they are checked
+    first, and the product is left with what their links do not connect.
+    """
     seed = SEED
     while True:
         counted = scratch.put(hashed(docs, words, slots, seed))
@@ -417,7 +434,13 @@ def components(docs: DataFrame, scratch: Scratch, words: int, percent: int, slot
             break
         seed += 1
     least = scratch.put(rows.where("id IS NOT NULL").groupBy("id").agg(F.min("doc_id").alias("doc_id")))
-    roots = labels(docs, least, slot_counts(counted, slots), scratch, words, percent, seed, block_rows, whole_rows)
+    known = None
+    if nominate is not None:
+        near = scratch.put(nominate(rows.where("id IS NOT NULL").select("doc_id", "id").distinct()))
+        sets = scratch.put(matrix(docs, least.join(ends(near), "id"), words, seed))
+        known = scratch.put(exact(near, sets, percent)).where("linked").select("a", "b")
+        scratch.drop(near, sets)
+    roots = labels(docs, least, slot_counts(counted, slots), scratch, words, percent, seed, block_rows, whole_rows, known)
     rooted = least.join(roots.withColumnRenamed("node", "id"), "id", "left").select("id", "doc_id", F.coalesce("root", "id").alias("root"))
     return rows.drop("check"), rooted
 

@@ -260,17 +260,30 @@ def near_duplicates(docs: DataFrame, words: int = SHINGLE, radius: int = RADIUS,
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def nominated(docs: DataFrame, sets: DataFrame, words: int, scratch: Scratch, radius: int = RADIUS) -> DataFrame:
+    """Pairs (a, b) that connect the sets (doc_id, id) of docs (doc_id, text) whose fingerprints of distinct shingles are within the radius; equal fingerprints meet as one, each with the least of its sets."""
+    printed = scratch.put(fingerprints(docs, {"fp": (words, True)}).distinct().join(sets, "doc_id").select("id", "fp").distinct())
+    firsts = scratch.put(printed.groupBy("fp").agg(F.min("id").alias("id")))
+    near = links(firsts.select("id", "fp", F.col("fp").alias("second")), scratch, radius)
+    same = printed.join(firsts.withColumnRenamed("id", "first"), "fp").select(F.col("first").alias("a"), F.col("id").alias("b"))
+    return near.union(same).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def keep_one(docs: DataFrame, words: int = DEDUP_WORDS, percent: int = DEDUP_PERCENT, block_rows: int = ngram_join.BLOCK_ROWS) -> DataFrame:
     """docs without near-duplicates: of each component the row of least doc_id stays, null last; of rows that are the same, one.
 
     Links are pairs whose sets of five-word shingles have a Jaccard similarity
-    of 0.8 or more, all of them, by `ngram_join`; texts without words are one component.
+    of 0.8 or more, all of them; texts without words are one component. Pairs of
+    fingerprints of those shingles within the radius come first, each checked
+    exactly; what their links leave apart goes through `ngram_join`, for two texts of
+    0.8 often have fingerprints farther apart than any radius that keeps buckets small.
     """
     scratch = Scratch(docs.sparkSession, "dedup")
     # a row's key has no null, so that plain joins find it
     id_ = F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1))
     row = F.xxhash64(*[F.col(f"`{c}`") for c, kind in docs.dtypes if "map<" not in kind])
-    found, rooted = ngram_join.components(docs.select(row.alias("doc_id"), "text"), scratch, words, percent, block_rows=block_rows)
+    texts = docs.select(row.alias("doc_id"), "text")
+    found, rooted = ngram_join.components(texts, scratch, words, percent, block_rows=block_rows, nominate=lambda sets: nominated(texts, sets, words, scratch))
     root = found.join(rooted.select("id", "root"), "id", "left").select(F.col("doc_id").alias("row_hash"), "root")
     rows = scratch.put(docs.select(id_.alias("doc_id"), row.alias("row_hash")).distinct().join(root.distinct(), "row_hash"))
     kept = scratch.put(rows.groupBy("root").agg(F.min(F.struct("doc_id", "row_hash")).alias("kept")).select(F.col("kept.doc_id").alias("kept_id"), F.col("kept.row_hash").alias("kept_hash")))

@@ -98,3 +98,25 @@ def test_large_group_that_is_not_near_enough(spark):
                 old, new = max(label[i], label[j]), min(label[i], label[j])
                 label = [new if x == old else x for x in label]
     assert kept == set(label)
+
+
+def test_fingerprints_come_first(spark, monkeypatch):
+    """Pairs within the radius are checked exactly, and those that link are not left for the product."""
+    rng = random.Random(7)
+    rows = []
+    for _ in range(30):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(400)]
+        rows += [" ".join(base), " ".join([*base, "end"])]
+    rows += ["same print one", "same print two"]
+    real = simhash.fingerprint
+    checked, product = [], []
+    nominated, unconnected = simhash.nominated, ngram_join.unconnected
+    monkeypatch.setattr(simhash, "nominated", lambda *a, **k: checked.append(out := nominated(*a, **k)) or out)
+    monkeypatch.setattr(ngram_join, "unconnected", lambda pairs, roots: product.append((pairs.count(), out := unconnected(pairs, roots), out.count())) or out)
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    kept = sorted(r["doc_id"] for r in simhash.keep_one(docs).collect())
+    assert kept == [*range(0, 60, 2), 60, 61]
+    near = sum(bin(real(rows[i], 5, True) ^ real(rows[i + 1], 5, True)).count("1") <= simhash.RADIUS for i in range(0, 60, 2))
+    assert near > 10 and checked[0].count() >= near
+    (before, _, after), = product
+    assert before == 30 and after == 30 - near
