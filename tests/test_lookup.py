@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from lodestone.operators import strategies
 from lodestone.plans.lookup import lookup
+from lodestone.sources.scratch import Scratch
 from lodestone.sources.views import Store
 
 CATALOG = [
@@ -130,3 +131,18 @@ def test_empty_tables(requests, catalog, store):
     bare = Store(*(t.limit(0) for t in store))
     got = lookup(requests.where("req_id IN (1, 4)"), catalog, bare).collect()
     assert sorted((r["req_id"], r["id"], r["release_id"]) for r in got if r["id"]) == [(1, 1, None)]
+
+
+def test_requests_are_not_broadcast(spark, monkeypatch):
+    """Many requests for few texts: the texts' rows go to the requests, as a table told to be the smaller side."""
+    plans, plain = [], Scratch.put
+    told = lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString())
+    monkeypatch.setattr(Scratch, "put", lambda self, df, step=None: told(df) or plain(self, df, step))
+    catalog = spark.createDataFrame([(1, "Night Songs", "Harbour"), (2, "Deep Wood", "Fern")], "id long, title string, artist string")
+    requests = spark.range(20000).selectExpr("id AS req_id", "if(id % 2 = 0, 'Harbour', 'Fern') AS artist", "'Tide' AS song", "CAST(NULL AS STRING) AS album", "concat('m', id) AS raw_message")
+    albums = spark.createDataFrame([(i, 1, "Night Songs") for i in range(0, 20000, 2)], "req_id long, place int, album string")
+    found = strategies.with_fallback(requests, albums, catalog)
+    told(found)
+    joins = [line for plan in plans if "wanted#" in plan and "known#" in plan for line in plan.split("\n") if "Join [query#" in line]
+    assert joins and not any("BuildLeft" in line for line in joins), joins
+    assert found.count() == 20000 and found.where("fallback").count() == 10000
