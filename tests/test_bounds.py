@@ -92,3 +92,13 @@ def test_names_that_differ_by_number_alone_meet_few(spark, monkeypatch):
     got = releases.nearest_texts(spark.createDataFrame([(a,) for a in asked], "asked string"), spark.createDataFrame(known, "known string, first long"), 10, Scratch(spark, "t"))
     assert {(r["asked"], r["known"], round(float(r["sim"]), 9)) for r in got.collect()} == brute(set(asked), known, 10)
     assert sum(counts) < 0.02 * len(asked) * len(known), sum(counts)
+
+
+def test_pairs_are_spread_over_tasks(spark, monkeypatch):
+    """Few bytes of pairs are much work: what meets and what is verified is dealt over all tasks of a shuffle, not left to one for its size."""
+    seen, meeting, verified = [], releases.meeting, releases.verified
+    monkeypatch.setattr(releases, "meeting", lambda ours, theirs: seen.append(ours.rdd.getNumPartitions()) or meeting(ours, theirs))
+    monkeypatch.setattr(releases, "verified", lambda pairs, t: seen.append(pairs.rdd.getNumPartitions()) or verified(pairs, t))
+    known, asked = [(f"customer#{i:09d}", i) for i in range(300)], [(f"supplier#{i:09d}",) for i in range(20)]
+    releases.nearest_texts(spark.createDataFrame(asked, "asked string"), spark.createDataFrame(known, "known string, first long"), 10, Scratch(spark, "t")).count()
+    assert len(seen) == 4 and set(seen) == {int(spark.conf.get("spark.sql.shuffle.partitions"))}, seen
