@@ -102,3 +102,26 @@ def test_pairs_are_spread_over_tasks(spark, monkeypatch):
     known, asked = [(f"customer#{i:09d}", i) for i in range(300)], [(f"supplier#{i:09d}",) for i in range(20)]
     releases.nearest_texts(spark.createDataFrame(asked, "asked string"), spark.createDataFrame(known, "known string, first long"), 10, Scratch(spark, "t")).count()
     assert len(seen) == 4 and set(seen) == {int(spark.conf.get("spark.sql.shuffle.partitions"))}, seen
+
+
+def test_names_of_many_numbers_meet_by_several_trigrams(spark, monkeypatch):
+    """Where numbers share most of their trigrams, keys of several of them leave few pairs to meet, and the same nearest texts."""
+    rng = random.Random(9)
+    numbers = rng.sample(range(100000, 400000), 3000)
+    known = [(f"customer#{i:09d}", i) for i in numbers] + [("ab", 1), ("a", 2), ("x y", 3), ("customer", 4), (" ".join(f"w{i}" for i in range(12)), 5)]
+    asked = [f"supplier#{i:09d}" for i in numbers[:150]] + ["ab", "a", "x", "abc", "custom", " ".join(f"w{i}" for i in range(2, 14))]
+    counts, widths, plain = [], set(), releases.meeting
+
+    def counted(ours, theirs):
+        counts.append(plain(ours, theirs).count())
+        if "width" in ours.columns:
+            widths.update(r["width"] for r in ours.select("width").distinct().collect())
+        return plain(ours, theirs)
+
+    monkeypatch.setattr(releases, "meeting", counted)
+    monkeypatch.setattr(releases, "MEETINGS", 0, raising=False)
+    monkeypatch.setattr(releases, "MEETINGS_EACH", 0, raising=False)
+    got = releases.nearest_texts(spark.createDataFrame([(a,) for a in asked], "asked string"), spark.createDataFrame(known, "known string, first long"), 10, Scratch(spark, "t"))
+    assert {(r["asked"], r["known"], round(float(r["sim"]), 9)) for r in got.collect()} == brute(set(asked), known, 10)
+    assert sum(counts) < 0.0125 * len(asked) * len(known), counts
+    assert len(widths) > 1, widths
