@@ -148,6 +148,8 @@ block AS (SELECT s.start, c.id, lower(c.artist || ' ' || c.title) AS text FROM (
 tp AS (SELECT DISTINCT query, lower(query) AS a, text FROM starts JOIN block USING (start)),
 sc AS ({token_set_sql('tp', 'a', 'text', 'query, text')}),
 fuz AS (SELECT query, id, score FROM starts JOIN block USING (start) JOIN sc USING (query, text) WHERE score >= 70 QUALIFY row_number() OVER (PARTITION BY query ORDER BY score DESC, id) <= 5)"""
+#: The same over all rows that hold a start.
+_FUZZY_WHOLE = _FUZZY.replace(" QUALIFY row_number() OVER (PARTITION BY s.start ORDER BY c.id) <= 500", "")
 _TOP = "SELECT query, id, CAST(row_number() OVER (PARTITION BY query ORDER BY id) AS INTEGER) AS rank FROM {} QUALIFY rank <= 5"
 _WORDS = r"list_filter(regexp_split_to_array(regexp_replace(lower({}), '[^\p{{L}}\p{{N}}_\s]', ' ', 'g'), '\s+'), lambda x: x <> '' AND length(x) > {} AND x NOT IN (" + STOP + "))"
 _FLAT = r"trim(regexp_replace(regexp_replace(lower({}), '[^\p{{L}}\p{{N}}_\s]', ' ', 'g'), '\s+', ' ', 'g'))"
@@ -161,10 +163,10 @@ def _from(sql: str, source: str) -> str:
     return sql.replace("{source}", source)
 
 
-def cascade_sql(source: str, first: str | None = _FTS) -> str:
+def cascade_sql(source: str, first: str | None = _FTS, fuzzy: str = _FUZZY) -> str:
     """CTEs that end with hits (query, id, rank, tier) for the queries in source; first makes fts, unless it is made already."""
     return f"""{_from(first, source) + ", " if first else ""}r1 AS (SELECT query FROM {source} WHERE query NOT IN (SELECT query FROM fts)), {_from(_LIKE_WORDS, 'r1')},
-r2 AS (SELECT query FROM r1 WHERE query NOT IN (SELECT query FROM likes)), {_from(_FUZZY, 'r2')},
+r2 AS (SELECT query FROM r1 WHERE query NOT IN (SELECT query FROM likes)), {_from(fuzzy, 'r2')},
 hits AS MATERIALIZED (SELECT * FROM (SELECT query, id, CAST(row_number() OVER (PARTITION BY query ORDER BY id) AS INTEGER) AS rank, 1 AS tier FROM fts UNION ALL SELECT query, id, CAST(row_number() OVER (PARTITION BY query ORDER BY id) AS INTEGER), 2 FROM likes
  UNION ALL SELECT query, id, CAST(row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS INTEGER), 3 FROM fuz) WHERE rank <= 5)"""
 

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from lodestone.operators import strategies
 from lodestone.plans.lookup import lookup
-from lodestone.sources.scratch import Scratch
+from lodestone.sources.scratch import Scratch, Steps
 from lodestone.sources.views import Store
 
 CATALOG = [
@@ -146,3 +146,17 @@ def test_requests_are_not_broadcast(spark, monkeypatch):
     joins = [line for plan in plans if "wanted#" in plan and "known#" in plan for line in plan.split("\n") if "Join [query#" in line]
     assert joins and not any("BuildLeft" in line for line in joins), joins
     assert found.count() == 20000 and found.where("fallback").count() == 10000
+
+
+@pytest.fixture(scope="module")
+def last_of_many(spark, store):
+    """A lookup of an album with a misspelled word, among whose rows that hold the start of its longest word the album's is the last of 601 by id, and its steps."""
+    rows = [(i, f"Harp Piece {i}", "Reed") for i in range(600)] + [(1000, "Night Songs Garden", "Harbour"), (1001, "Other Thing", "Harbour")]
+    catalog = spark.createDataFrame(rows, "id long, title string, artist string")
+    asked = spark.createDataFrame([(1, "Harbour", None, "Night Songs Gardem", "m")], "req_id long, artist string, song string, album string, raw_message string")
+    steps = Steps(spark)
+    return lookup(asked, catalog, store, steps=steps).cache(), steps.frame()
+
+
+def test_fuzzy_scores_all_rows(last_of_many):
+    assert [(r["id"], r["search_type"], r["song_not_found"]) for r in last_of_many[0].collect()] == [(1000, "direct", False)]
