@@ -1,11 +1,14 @@
 """Lookups end to end on a small invented catalog and store, request by request."""
 
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
 from lodestone.operators import strategies
 from lodestone.plans.lookup import lookup
 from lodestone.sources.scratch import Scratch, Steps
+from lodestone.sources.sinks import responses
 from lodestone.sources.views import Store
 
 CATALOG = [
@@ -160,3 +163,9 @@ def last_of_many(spark, store):
 
 def test_fuzzy_scores_all_rows(last_of_many):
     assert [(r["id"], r["search_type"], r["song_not_found"]) for r in last_of_many[0].collect()] == [(1000, "direct", False)]
+
+
+def test_responses_hold_the_last_of_many(last_of_many):
+    (r,) = responses(last_of_many[0]).collect()
+    said = json.loads(r["response"])
+    assert [x["id"] for x in said["results"]] == [1000] and said["total"] == 1 and said["search_type"] == "direct"
