@@ -169,3 +169,8 @@ def test_responses_hold_the_last_of_many(last_of_many):
     (r,) = responses(last_of_many[0]).collect()
     said = json.loads(r["response"])
     assert [x["id"] for x in said["results"]] == [1000] and said["total"] == 1 and said["search_type"] == "direct"
+
+
+def test_steps_count_the_last_of_many(last_of_many):
+    """One row by the album; the artist alone would give two."""
+    assert {r["step"]: r["rows"] for r in last_of_many[1].collect() if r["step"] in ("artist_plus_album", "search")} == {"artist_plus_album": 1, "search": 1}
