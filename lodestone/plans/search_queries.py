@@ -171,10 +171,11 @@ hits AS MATERIALIZED (SELECT * FROM (SELECT query, id, CAST(row_number() OVER (P
  UNION ALL SELECT query, id, CAST(row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS INTEGER), 3 FROM fuz) WHERE rank <= 5)"""
 
 
-def correction_sql(source: str, out: str) -> str:
-    """CTEs that end with `out` (artist, corrected) for the artists in source."""
+def correction_sql(source: str, out: str, most: int | None = search.ARTISTS) -> str:
+    """CTEs that end with `out` (artist, corrected) for the artists in source, by the first `most` artists of a block or all."""
+    first = "" if most is None else f" QUALIFY row_number() OVER (PARTITION BY lower(artist[1:3]) ORDER BY artist) <= {most}"
     return f"""{out}a AS (SELECT DISTINCT artist, list_filter(regexp_split_to_array(lower(artist), '\\s+'), lambda w: length(w) >= 3)[1][1:3] AS block FROM {source} WHERE artist IS NOT NULL),
-{out}k AS (SELECT artist AS known, lower(artist[1:3]) AS block FROM (SELECT DISTINCT artist FROM catalog) QUALIFY row_number() OVER (PARTITION BY lower(artist[1:3]) ORDER BY artist) <= 100),
+{out}k AS (SELECT artist AS known, lower(artist[1:3]) AS block FROM (SELECT DISTINCT artist FROM catalog){first}),
 {out}p AS (SELECT a.artist, known, lower(a.artist) AS la, lower(known) AS lk FROM {out}a a JOIN {out}k USING (block)),
 {out}s AS (SELECT artist, known, {ratio_sql('la', 'lk')} AS score FROM {out}p),
 {out} AS MATERIALIZED (SELECT artist, known AS corrected FROM (SELECT * FROM {out}s WHERE score >= greatest(85, 100 - 2 * length(artist)) QUALIFY row_number() OVER (PARTITION BY artist ORDER BY score DESC, known) = 1) WHERE lower(known) <> lower(artist))"""
